@@ -1,12 +1,13 @@
 """Queries and SQL of this subpackage, by name."""
 
-from readlake.llm import language_id, line_dedup, quality_classifier, quality_rules
+from readlake.llm import language_id, line_dedup, quality_classifier, quality_rules, toxicity
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op6_language_id": language_id.op6_language_id,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op7_line_dedup": line_dedup.ORACLE,
