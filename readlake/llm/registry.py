@@ -1,8 +1,9 @@
 """Queries and SQL of this subpackage, by name."""
 
-from readlake.llm import language_id, line_dedup, quality_classifier, quality_rules, toxicity
+from readlake.llm import language_id, line_dedup, quality_classifier, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op6_language_id": language_id.op6_language_id,
     "op7_line_dedup": line_dedup.op7_line_dedup,
