@@ -1,11 +1,12 @@
 """Queries and SQL of this subpackage, by name."""
 
-from readlake.llm import language_id, line_dedup, mixing, quality_classifier, quality_rules, substring_dedup, toxicity
+from readlake.llm import language_id, line_dedup, mixing, pii, quality_classifier, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_source_mixing": mixing.op4_source_mixing,
+    "op5_private_data": pii.op5_private_data,
     "op6_language_id": language_id.op6_language_id,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
