@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, by name."""
 
-from readlake.llm import language_id, line_dedup, mixing, pii, quality_classifier, quality_rules, substring_dedup, toxicity
+from readlake.llm import decontaminate, language_id, line_dedup, mixing, pii, quality_classifier, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_private_data": pii.op5_private_data,
     "op6_language_id": language_id.op6_language_id,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_toxicity": toxicity.op10_toxicity,
 }
