@@ -1,9 +1,10 @@
 """Queries and SQL of this subpackage, by name."""
 
-from readlake.llm import decontaminate, language_id, line_dedup, mixing, pii, quality_classifier, quality_rules, substring_dedup, toxicity
+from readlake.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_private_data": pii.op5_private_data,
