@@ -17,16 +17,13 @@ from pyspark.sql import functions as F
 
 from readlake.llm.common import LOWER, SPACES, UPPER, table
 
-_BLANK = F.lit(SPACES)
-
-
 def _lower(text: Column) -> Column:
     """A-Z only. For texts of one-byte characters the built-in does the same, faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def _keys(text: Column) -> Column:
-    return F.transform(F.split(_lower(F.coalesce(text, F.lit(""))), "\n"), lambda line: F.btrim(line, _BLANK))
+    return F.transform(F.split(_lower(F.coalesce(text, F.lit(""))), "\n"), lambda line: F.btrim(line, F.lit(SPACES)))
 
 
 def _hashed(key: Column) -> Column:
