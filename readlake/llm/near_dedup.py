@@ -9,8 +9,8 @@ Equal sets are one class, found by a 128-bit fingerprint with map-side combine;
 verified exactly on full sets. Groups of near copies are not expanded into pairs: in each round every class meets at most
 one class of its buckets, the one with the smallest priority, if that is not of its component yet; verified links are merged by
 alternating large and small stars, in Spark, from checkpoint to checkpoint. The first priority is doc_id, later ones are hashes, so
-that a stranger in a bucket can't keep the others apart. What is left after that are pairs of different components in one bucket:
-all of them are verified, so no link is lost to the rounds.
+that a stranger in a bucket can't keep the others apart. Once the pairs of different components that share a bucket are few for
+the rows there are (or after the last round), all of them are verified, so no link is lost to the rounds.
 
 Defined results: texts without words have an empty set and are linked with nothing. Rows that repeat a doc_id are one document
 for linking. A null doc_id is smaller than all others and comes back as null. Empty tables give empty results. Columns besides doc_id
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from readlake.llm import common as c
 
-WIDTH, PERCENT, GROUPS, ROUNDS = 5, 85, 8, 3
+WIDTH, PERCENT, GROUPS, ROUNDS = 5, 85, 8, 4
+PAIRS_PER_ROW = 2  # pairs of different components in common buckets, per row of the buckets, that are verified at once
 _NULL = np.iinfo(np.int64).min
 
 
@@ -117,21 +118,22 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, width:
     return both.select("u", "v", "pu", "pv").mapInArrow(run, "u long, v long")
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Every u hangs on one v, and no v hangs on anything."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
+    return ends.groupBy("id").agg(F.sum("as_u").alias("as_u"), F.sum("as_v").alias("as_v")).where("as_u > 1 OR (as_u > 0 AND as_v > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every id in edges (u, v): component is the smallest id reachable."""
+    """(id, component) of every id in edges (u, v): component is the smallest id reachable. Large and small stars take turns."""
     edges = c.cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
-    seen = None
-    while True:
+    while not _is_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         edges = c.cut(small.where("u != v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     roots = edges.select(F.col("v").alias("id")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
 
@@ -149,22 +151,26 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT, groups: int = GRO
     asked = members.select(F.col("rep").alias("id")).distinct()
     texts = c.cut(packed_texts(docs).join(asked, "id", "left_semi").distinct())
     labels = asked.select("id", F.col("id").alias("component"))
-    for turn in range(rounds):
-        rank = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), F.col("id"))
+    for turn in range(rounds + 1):
         live = _mixed(members, labels)
-        first = live.groupBy("key").agg(F.min_by("id", rank).alias("u"), F.min_by("component", rank).alias("of"))
-        met = live.join(first, "key").where(F.col("component") != F.col("of"))
-        met = met.groupBy(F.col("id").alias("v")).agg(F.min_by("u", F.xxhash64(F.lit(turn), F.col("u")) if turn else F.col("u")).alias("u"))
-        found = c.cut(verified(met.select("u", "v"), texts, percent, width))
-        if found.isEmpty():
-            continue
-        labels = _merged(labels, found)
-    live = _mixed(members, labels)
-    other = live.select("key", F.col("id").alias("u"), F.col("component").alias("cu"))
-    left = live.join(other, "key").where((F.col("u") < F.col("id")) & (F.col("cu") != F.col("component"))).select("u", F.col("id").alias("v")).distinct()
-    found = c.cut(verified(left, texts, percent, width))
-    if not found.isEmpty():
-        labels = _merged(labels, found)
+        by_component = live.groupBy("key", "component").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        n, apart = by_component.agg(F.sum("n"), F.sum(F.col("n") * F.col("n") - F.col("own")) / 2).first()
+        if not n:
+            break
+        last = turn == rounds or apart <= PAIRS_PER_ROW * n
+        if last:
+            other = live.select("key", F.col("id").alias("u"), F.col("component").alias("cu"))
+            asked = live.join(other, "key").where((F.col("u") < F.col("id")) & (F.col("cu") != F.col("component"))).select("u", F.col("id").alias("v")).distinct()
+        else:
+            rank = F.xxhash64(F.lit(turn), F.col("id")) if turn else F.col("id")
+            first = live.groupBy("key").agg(F.min_by("id", rank).alias("u"), F.min_by("component", rank).alias("of"))
+            met = live.join(first, "key").where(F.col("component") != F.col("of"))
+            asked = met.groupBy(F.col("id").alias("v")).agg(F.min_by("u", F.xxhash64(F.lit(turn), F.col("u")) if turn else F.col("u")).alias("u")).select("u", "v")
+        found = c.cut(verified(asked, texts, percent, width))
+        if not found.isEmpty():
+            labels = _merged(labels, found)
+        if last:
+            break
     return sig, classes, labels
 
 
