@@ -6,11 +6,11 @@ second, so that m * m tables of four minhashes cost 4 * m minhash functions, not
 table with probability (1 - (1 - s^2)^m)^2: with m = 8, 0.99993 at 0.85.
 
 Equal sets are one class, found by a 128-bit fingerprint with map-side combine; only its smallest doc_id goes on. Links are
-verified exactly on full sets. Groups of near copies are not expanded into pairs: in each round every class meets at most
-one class of its buckets, the one with the smallest priority, if that is not of its component yet; verified links are merged by
-alternating large and small stars, in Spark, from checkpoint to checkpoint. The first priority is doc_id, later ones are hashes, so
-that a stranger in a bucket can't keep the others apart. Once the pairs of different components that share a bucket are few for
-the rows there are (or after the last round), all of them are verified, so no link is lost to the rounds.
+verified exactly on full sets. Groups of near copies are not expanded into pairs. In a first round every class meets the smallest doc_id of
+its buckets, in a second the class there with the smallest share of shingles of its own, each only if it is of another component
+yet; verified links are merged by alternating large and small stars, in Spark, from checkpoint to checkpoint. Classes that still
+share buckets with other components, and could have a partner there at all, are joined by exact prefix and position filters over their
+shingles, and what comes out is verified. So no link is lost to the rounds, and unlinked near copies do not meet by all pairs.
 
 Defined results: texts without words have an empty set and are linked with nothing. Rows that repeat a doc_id are one document
 for linking. A null doc_id is smaller than all others and comes back as null. Empty tables give empty results. Columns besides doc_id
@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 
 from readlake.llm import common as c
 
-WIDTH, PERCENT, GROUPS, ROUNDS = 5, 85, 8, 4
-PAIRS_PER_ROW = 2  # pairs of different components in common buckets, per row of the buckets, that are verified at once
+WIDTH, PERCENT, GROUPS = 5, 85, 8
 _NULL = np.iinfo(np.int64).min
 
 
@@ -138,7 +137,7 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
 
 
-def classes_and_links(docs: DataFrame, percent: int = PERCENT, groups: int = GROUPS, width: int = WIDTH, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def classes_and_links(docs: DataFrame, percent: int = PERCENT, groups: int = GROUPS, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signatures of all rows; classes (fa, fb, n_shingles, rep); and (id, component) of the representatives with links."""
     sig = c.cut(signatures(docs, groups, width))
     classes = sig.where("n_shingles > 0").groupBy("fa", "fb", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -148,35 +147,81 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT, groups: int = GRO
     shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     members = c.cut(keys.join(shared.select("key"), "key"))
 
-    asked = members.select(F.col("rep").alias("id")).distinct()
-    texts = c.cut(packed_texts(docs).join(asked, "id", "left_semi").distinct())
-    labels = asked.select("id", F.col("id").alias("component"))
-    for turn in range(rounds + 1):
-        live = _mixed(members, labels)
-        by_component = live.groupBy("key", "component").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        n, apart = by_component.agg(F.sum("n"), F.sum(F.col("n") * F.col("n") - F.col("own")) / 2).first()
-        if not n:
+    ids = members.select(F.col("rep").alias("id")).distinct()
+    texts = c.cut(packed_texts(docs).join(ids, "id", "left_semi").distinct())
+    labels = ids.select("id", F.col("id").alias("component"))
+    caps = held = None
+    for turn in range(3):
+        live = _mixed(members, labels, caps)
+        if live.isEmpty():
             break
-        last = turn == rounds or apart <= PAIRS_PER_ROW * n
-        if last:
-            other = live.select("key", F.col("id").alias("u"), F.col("component").alias("cu"))
-            asked = live.join(other, "key").where((F.col("u") < F.col("id")) & (F.col("cu") != F.col("component"))).select("u", F.col("id").alias("v")).distinct()
+        if turn == 1:
+            held = c.cut(held_shingles(live.select("id").distinct(), texts, width))
+            caps = c.cut(partner_caps(held, percent))
+            live = _mixed(members, labels, caps)
+        if turn < 2:
+            rank = F.struct(F.lit(0.0), F.col("id")) if not turn else F.struct(F.col("own"), F.col("id"))
+            first = live.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), F.col("id"), F.col("component"))).alias("first"))
+            met = live.join(first, "key").where(F.col("component") != F.col("first.component"))
+            asked = met.groupBy(F.col("id").alias("v")).agg(F.min("first").alias("first")).select(F.col("first.id").alias("u"), "v")
         else:
-            rank = F.xxhash64(F.lit(turn), F.col("id")) if turn else F.col("id")
-            first = live.groupBy("key").agg(F.min_by("id", rank).alias("u"), F.min_by("component", rank).alias("of"))
-            met = live.join(first, "key").where(F.col("component") != F.col("of"))
-            asked = met.groupBy(F.col("id").alias("v")).agg(F.min_by("u", F.xxhash64(F.lit(turn), F.col("u")) if turn else F.col("u")).alias("u")).select("u", "v")
+            asked = prefix_pairs(live, held, percent)
         found = c.cut(verified(asked, texts, percent, width))
         if not found.isEmpty():
             labels = _merged(labels, found)
-        if last:
-            break
     return sig, classes, labels
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, id, component of the buckets that hold more than one component."""
+def held_shingles(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(id, h, k): the shingles of these sets, and how many of these sets have each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for part in c.slices(batch, 1 << 20, "packed"):
+                found, at = shingle_sets(pa.array([unpack(x) for x in part.column("packed").to_pylist()], pa.large_binary()).cast(pa.large_string()), width)
+                yield pa.record_batch([pa.array(np.repeat(part.column("id").to_numpy(), np.diff(at))), pa.array(found.view(np.int64))], ["id", "h"])
+
+    rows = texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, h long")
+    return rows.join(rows.groupBy("h").agg(F.count("*").alias("k")), "h")
+
+
+def partner_caps(held: DataFrame, percent: int) -> DataFrame:
+    """(id, n, alone, cap, own): the size of each set, how many of its shingles no other set has (and their share), and the greatest size
+    that a partner can have. If g shingles are shared at all, a link asks for percent * (n + size) <= (100 + percent) * g."""
+    sizes = held.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("k") == 1).alias("alone"))
+    cap = F.floor((F.col("n") - F.col("alone")) * (100 + percent) / percent).cast("long") - F.col("n")
+    return sizes.select("id", "n", "alone", cap.alias("cap"), (F.col("alone") / F.col("n")).alias("own"))
+
+
+def prefix_pairs(live: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """(u, v): all pairs of different components among these sets that can be linked, by exact prefix and position filters.
+
+    Order the shingles of each set by how few sets have them. Linked sets meet in their prefixes: a set of n whose partners have at least
+    m needs an overlap of percent * (n + m) / (100 + percent), so one shingle of the first n - overlap + 1 is shared. A pair also
+    goes unless the places at which it meets leave room for the overlap. Near copies with edits of their own, in whatever number,
+    have prefixes full of these edits and never meet; buckets would bring all of them together.
+    """
+    least = live.groupBy("key").agg(F.min("n").alias("m"))
+    about = live.join(least, "key").groupBy("id").agg(F.min("m").alias("m"), F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("component").alias("component"))
+    m = F.greatest(F.col("m"), F.ceil(F.col("n") * percent / 100).cast("long"))
+    prefix = F.col("n") - F.ceil(percent * (F.col("n") + m) / (100 + percent)).cast("int") + 1 - F.col("alone")
+    about = about.select("id", "n", "alone", "component", prefix.cast("int").alias("prefix")).where("prefix > 0")
+    kept = held.where("k > 1").join(about.select("id"), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("order"))
+    rows = kept.join(about, "id").select("id", "n", "component", F.posexplode_outer(F.slice("order", F.lit(1), F.col("prefix"))).alias("at", "token"), "alone")
+    rows = c.cut(rows.where("token IS NOT NULL").select(F.col("token.h").alias("h"), "id", "n", "component", (F.col("n") - F.col("alone") - F.col("at")).alias("room")))
+    other = rows.select("h", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), F.col("room").alias("room_u"))
+    fits = (100 + percent) * F.least("room", "room_u") >= percent * (F.col("n") + F.col("nu"))
+    return rows.join(other, "h").where((F.col("u") < F.col("id")) & (F.col("cu") != F.col("component")) & fits).select("u", F.col("id").alias("v")).distinct()
+
+
+def _mixed(members: DataFrame, labels: DataFrame, caps: DataFrame | None = None) -> DataFrame:
+    """key, id, component of the buckets that hold more than one component; with caps, of sets that can have a partner in the bucket."""
     rows = members.join(labels, members["rep"] == labels["id"]).select("key", "id", "component")
+    if caps is not None:
+        rows = rows.join(caps, "id")
+        ends = rows.groupBy("key").agg(F.min("n").alias("least"), F.max("cap").alias("most"))
+        rows = rows.join(ends, "key").where("cap >= least AND n <= most").drop("least", "most")
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     return c.cut(rows.join(mixed, "key"))
 
@@ -188,9 +233,9 @@ def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
     return c.cut(labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, groups: int = GROUPS, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, groups: int = GROUPS, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
-    sig, classes, labels = classes_and_links(docs, percent, groups, width, rounds)
+    sig, classes, labels = classes_and_links(docs, percent, groups, width)
     # a class of many equal sets makes one skewed key of plain shuffles, which adaptive execution splits
     rows = sig.select("doc_id", "n_shingles", "fa", "fb").join(classes, ["fa", "fb", "n_shingles"], "left")
     rows = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
