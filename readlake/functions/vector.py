@@ -43,7 +43,7 @@ def digamma(x: Column) -> Column:
 def lgamma(x: Column) -> Column:
     """Stirling's series after a shift by 6."""
     y = x + 6
-    series = (y - 0.5) * F.ln(y) - y + F.lit(0.9189385332046727) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    series = (y - 0.5) * F.ln(y) - y + F.lit(0.9189385332046727) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - 1 / (1680 * y * y * y * y * y * y * y)
     return series - F.ln(x) - F.ln(x + 1) - F.ln(x + 2) - F.ln(x + 3) - F.ln(x + 4) - F.ln(x + 5)
 
 

@@ -104,7 +104,7 @@ def nearest(reads: DataFrame, cents: DataFrame, broadcast_rows: int = BROADCAST_
         return rows.mapInArrow(run, schema)
 
     blocks = cents.groupBy(F.pmod(F.xxhash64("label"), F.lit(parts)).alias("part")).agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("cs"))
-    met = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long")).withColumn("salt", F.pmod(F.xxhash64("read_id"), F.lit(64)))
+    met = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>"))).withColumn("salt", F.pmod(F.xxhash64("read_id"), F.lit(64)))
 
     def grouped(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -113,7 +113,7 @@ def nearest(reads: DataFrame, cents: DataFrame, broadcast_rows: int = BROADCAST_
         got = find(np.array([x["centroid"] for x in cs]), np.array([x["label"] for x in cs]), dense(left.column("embedding")))
         return pa.table({"read_id": left.column("read_id"), "nearest": pa.array(got[0], pa.int32()), "distance": pa.array(got[1])})
 
-    salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("long"))
+    salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<long>")))
     each = met.groupBy("part", "salt").cogroup(salted.groupBy("part", "salt")).applyInArrow(grouped, schema)
     return each.groupBy("read_id").agg(F.min(F.struct("distance", "nearest")).alias("m")).select("read_id", F.col("m.nearest").alias("nearest"), F.col("m.distance").alias("distance"))
 

@@ -557,7 +557,7 @@ def label_change_rate(spark: SparkSession, d: str) -> DataFrame:
 
 def _lgamma(x: str) -> str:
     y = f"({x} + 6)"
-    return f"(({y} - 0.5) * ln({y}) - {y} + 0.9189385332046727 + 1 / (12 * {y}) - 1 / (360 * {y} * {y} * {y}) + 1 / (1260 * {y} * {y} * {y} * {y} * {y}) - " + " - ".join(f"ln({x} + {k})" for k in range(6)) + ")"
+    return f"(({y} - 0.5) * ln({y}) - {y} + 0.9189385332046727 + 1 / (12 * {y}) - 1 / (360 * {y} * {y} * {y}) + 1 / (1260 * {y} * {y} * {y} * {y} * {y}) - 1 / (1680 * {y} * {y} * {y} * {y} * {y} * {y} * {y}) - " + " - ".join(f"ln({x} + {k})" for k in range(6)) + ")"
 
 
 _LAB = E + ",\nl AS (SELECT *, [a1, a2, a3, a4][(label % 4) + 1] AS al FROM ev)"
