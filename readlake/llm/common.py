@@ -38,6 +38,14 @@ def use_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="readlake-checkpoint-"))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from a reliable checkpoint."""
     use_checkpoints(df.sparkSession)

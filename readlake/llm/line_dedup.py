@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm.common import LOWER, SPACES, UPPER, table
+from readlake.llm.common import LOWER, SPACES, UPPER, free, table
 
 def _lower(text: Column) -> Column:
     """A-Z only. For texts of one-byte characters the built-in does the same, faster."""
@@ -38,28 +38,31 @@ def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     """(id, text_hash, drops): the sorted 0-based positions of the lines that a row loses; rows that lose none are absent."""
     rows = docs.select(_id().alias("id"), F.xxhash64("text").alias("text_hash"), _keys(F.col("text")).alias("keys"))
     long = lambda k: F.char_length(k) >= min_chars
-    once = rows.select("id", F.explode(F.array_distinct(F.transform(F.filter("keys", long), _hashed))).alias("h"))
+    # outer explodes infer no filter, which would compute the keys a second time
+    once = rows.select("id", F.explode_outer(F.array_distinct(F.transform(F.filter("keys", long), _hashed))).alias("h")).where("h IS NOT NULL")
     hot = once.groupBy("h.a", "h.b").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs)
-    at = rows.select("id", "text_hash", F.posexplode("keys").alias("pos", "key")).where(long(F.col("key")))
+    at = rows.select("id", "text_hash", F.posexplode_outer("keys").alias("pos", "key")).where(long(F.col("key")))
     at = at.select("id", "text_hash", "pos", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(7), F.col("key")).alias("b"))
     found = at.join(hot.select("a", "b", "last"), ["a", "b"]).where(F.col("id") != F.col("last"))
     return found.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
 
 
 def keep_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs with the text cut (column text) and the struct dedup_lines(n_lines, n_dropped)."""
-    drops = dropped_positions(docs, min_chars, min_docs).select(F.col("id").alias("dedup_id"), F.col("text_hash").alias("dedup_hash"), F.col("drops").alias("dedup_drops"))
-    joined = docs.join(drops, (_id() == F.col("dedup_id")) & (F.xxhash64("text") == F.col("dedup_hash")), "left")
+    """docs with the text cut (column text) and the struct dedup_lines(n_lines, n_dropped), which takes the place of any of that name."""
+    docs = docs.drop("dedup_lines")
+    id_, hash_, drops, cuts, every = (free(docs, n) for n in ("dedup_id", "dedup_hash", "dedup_drops", "dedup_cuts", "dedup_all"))
+    found = dropped_positions(docs, min_chars, min_docs).toDF(id_, hash_, drops)
+    joined = docs.join(found, (_id() == F.col(id_)) & (F.xxhash64("text") == F.col(hash_)), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     # the runs of lines between two drops, so that the work is in proportion to the lines
     runs = F.transform(
-        F.sequence(F.lit(1), F.size("dedup_cuts") - 1),
-        lambda j: F.slice(F.col("dedup_all"), F.element_at("dedup_cuts", j) + 2, F.element_at("dedup_cuts", j + 1) - F.element_at("dedup_cuts", j) - 1),
+        F.sequence(F.lit(1), F.size(cuts) - 1),
+        lambda j: F.slice(F.col(every), F.element_at(cuts, j) + 2, F.element_at(cuts, j + 1) - F.element_at(cuts, j) - 1),
     )
-    counts = F.struct(F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("dedup_drops"), F.lit(0)).cast("long").alias("n_dropped"))
-    joined = joined.withColumns({"dedup_lines": counts, "dedup_cuts": F.concat(F.array(F.lit(-1)), F.col("dedup_drops"), F.array(F.size(lines))), "dedup_all": lines})
-    text = F.when(F.col("dedup_drops").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
-    return joined.withColumn("text", text).drop("dedup_id", "dedup_hash", "dedup_drops", "dedup_cuts", "dedup_all")
+    counts = F.struct(F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(drops), F.lit(0)).cast("long").alias("n_dropped"))
+    joined = joined.withColumns({"dedup_lines": counts, cuts: F.concat(F.array(F.lit(-1)), F.col(drops), F.array(F.size(lines))), every: lines})
+    text = F.when(F.col(drops).isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
+    return joined.withColumn("text", text).drop(id_, hash_, drops, cuts, every)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

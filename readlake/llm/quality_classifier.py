@@ -104,12 +104,12 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     return Model(made, tuple(logistic(x, y, share)), prior, settings)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the column quality_score."""
+def score(docs: DataFrame, model: Model, out: str = "quality_score") -> DataFrame:
+    """docs with one more column, the score."""
     from pyspark.sql.types import DoubleType, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields]).add("quality_score", DoubleType())
+    schema = StructType([*docs.schema.fields]).add(out, DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -123,14 +123,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     raw = data.tobytes()
                     x = features(ways, [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], m.settings.piece)
                     p = 1 / (1 + np.exp(-np.clip(x @ np.array(m.weights), -30, 30)))
-                yield pa.record_batch([*part.columns, pa.array(p)], [*part.schema.names, "quality_score"])
+                yield pa.record_batch([*part.columns, pa.array(p)], [*part.schema.names, out])
 
     return docs.mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score is at least the threshold, with the columns of docs."""
-    return score(docs, model).where(F.col("quality_score") >= threshold).drop("quality_score")
+    out = c.free(docs, "quality_score")
+    return score(docs, model, out).where(F.col(out) >= threshold).drop(out)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
