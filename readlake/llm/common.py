@@ -5,6 +5,7 @@ A word is a maximal run of characters other than space and 0x09-0x0D. A null tex
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -52,6 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle and checkpoint files of tables that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def in_fold(doc_id: Column | str) -> Column:
     """True for held-out documents: crc32 of doc_id as text, modulo 5, is 0."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0

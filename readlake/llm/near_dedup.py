@@ -133,6 +133,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         edges = c.cut(small.where("u != v").distinct())
+        del both, least, large, down, small
+        c.release(edges.sparkSession)
     roots = edges.select(F.col("v").alias("id")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
 
@@ -149,6 +151,8 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT, groups: int = GRO
 
     ids = members.select(F.col("rep").alias("id")).distinct()
     texts = c.cut(packed_texts(docs).join(ids, "id", "left_semi").distinct())
+    del own, pairs, keys, shared
+    c.release(docs.sparkSession)
     labels = ids.select("id", F.col("id").alias("component"))
     caps = held = None
     for turn in range(3):
@@ -164,11 +168,14 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT, groups: int = GRO
             first = live.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), F.col("id"), F.col("component"))).alias("first"))
             met = live.join(first, "key").where(F.col("component") != F.col("first.component"))
             asked = met.groupBy(F.col("id").alias("v")).agg(F.min("first").alias("first")).select(F.col("first.id").alias("u"), "v")
+            del first, met
         else:
             asked = prefix_pairs(live, held, percent)
         found = c.cut(verified(asked, texts, percent, width))
         if not found.isEmpty():
             labels = _merged(labels, found)
+        del live, asked, found
+        c.release(docs.sparkSession)
     return sig, classes, labels
 
 

@@ -82,7 +82,9 @@ class Sparse:
     """Rows of distinct slots, as flat arrays."""
 
     def __init__(self, texts: list[str], bits: int):
-        self.row, self.slot, self.n = word_slots(pa.array(texts, pa.large_string()), bits)
+        parts = [word_slots(pa.array(texts[a : a + 256], pa.large_string()), bits) for a in range(0, len(texts), 256)]
+        self.row = np.concatenate([p[0] + 256 * i for i, p in enumerate(parts)])
+        self.slot, self.n = np.concatenate([p[1] for p in parts]), len(texts)
 
     def keep(self, slots: np.ndarray) -> None:
         ok = slots[self.slot]
