@@ -30,8 +30,6 @@ _ALPHA = np.zeros(256, bool)
 _ALPHA[65:91] = _ALPHA[97:123] = _ALPHA[128:] = True
 _CAPITAL = np.zeros(256, bool)
 _CAPITAL[65:91] = True
-_SMALL = np.zeros(256, bool)
-_SMALL[97:123] = True
 
 
 class Measures:
@@ -92,8 +90,9 @@ class Measures:
     def capitals(self) -> np.ndarray:
         return self.words.per_doc(_CAPITAL[self.words.data])
 
-    def smalls(self) -> np.ndarray:
-        return self.words.per_doc(_SMALL[self.words.data])
+    def letters(self) -> np.ndarray:
+        """Bytes of letters; those of other scripts count as letters without case."""
+        return self.words.per_doc(_ALPHA[self.words.data])
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -123,7 +122,7 @@ RULES = (
     Rule("symbols per word", "n_symbols", "n_words", 0.0, 0.1),
     Rule("repeated lines", "n_dup_lines", "n_lines", 0.0, 0.5),
     Rule("words with a letter", "alpha_words", "n_words", 0.8, 1.0),
-    Rule("capitals per small letter", "capitals", "smalls", 0.0, 1.0),
+    Rule("capitals among letters", "capitals", "letters", 0.0, 0.5),
 )
 SAMPLE_ROWS = 512
 
