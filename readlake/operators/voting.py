@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readlake.session import keep
+
 
 def vote(rows: DataFrame, cluster: str = "cid", tag: str = "tag", order: str | None = None) -> DataFrame:
     """(cluster, tag, n, total): the commonest tag of each cluster. Ties: least `order` (first seen) if given, else least tag.
@@ -79,12 +81,15 @@ def to_blocks(rows: DataFrame, voted: DataFrame, cluster: str = "cid") -> DataFr
 
 
 def numbered(rows: DataFrame, order: str, chunk: int = 5_000_000) -> DataFrame:
-    """line_no (1-based, by `order`) and chunk_id. Ranges of `order` are numbered in parallel and moved by the counts before them."""
-    dealt = rows.repartitionByRange(order).withColumn("range_id", F.spark_partition_id())
+    """line_no (1-based, by `order`) and chunk_id. Ranges of `order` are numbered in parallel and moved by the counts before them.
+
+    The ranges are kept first: they come from a sample, and both uses must see the same ones.
+    """
+    dealt = keep(rows.repartitionByRange(order).withColumn("range_id", F.spark_partition_id()))
     over = Window.partitionBy("range_id").orderBy(order)
     before = dealt.groupBy("range_id").agg(F.count("*").alias("n"))
     before = before.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy().orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    out = dealt.withColumn("in_range", F.row_number().over(over)).join(F.broadcast(before), "range_id")
+    out = dealt.withColumn("in_range", F.row_number().over(over)).join(F.broadcast(before), "range_id")  # one row for each partition
     return out.withColumn("line_no", F.col("in_range") + F.col("before")).withColumn("chunk_id", F.expr(f"(line_no - 1) div {chunk}")).drop("range_id", "in_range", "before")
 
 

@@ -5,6 +5,7 @@ Doubles are rounded to 6 places on both sides; votes and matches have total orde
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 
 from readlake.functions import sequence as s
 from readlake.functions import vector as v
-from readlake.operators import cluster, decode, federated, match, metrics, refine, voting
-from readlake.plans import views
-from readlake.session import keep
+from readlake.operators import batches, cluster, decode, federated, match, metrics, refine, scorer, voting
+from readlake.plans import rounds, views
+from readlake.session import keep, shared_root
 from readlake.streaming import votes as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -742,3 +743,59 @@ def parse_header(spark: SparkSession, d: str) -> DataFrame:
 def stream_vote(spark: SparkSession, d: str) -> DataFrame:
     """The vote again, from a stream that reads the votes as files and ends when all are read."""
     return stream.streamed_vote(spark, d)
+
+
+# ---------------------------------------------------------------- scorer, batches, rounds
+
+
+@query(R + "\nSELECT read_id, kmer, count(*) AS n FROM (SELECT read_id, substr(seq, k, 3) AS kmer FROM (SELECT read_id, seq, unnest(range(1, length(seq) - 1)) AS k FROM r WHERE length(seq) >= 3)) GROUP BY 1, 2")
+def kmer_counts(spark: SparkSession, d: str) -> DataFrame:
+    return scorer.kmer_counts(views.reads(spark, d), 3)
+
+
+_SIZES = R + ",\nz AS (SELECT cid, count(*) AS n FROM r GROUP BY 1),\nb AS (SELECT cid, n, CASE WHEN n < 2 THEN -1 ELSE coalesce(sum(CASE WHEN n >= 2 THEN n END) OVER (ORDER BY cid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 64 END::BIGINT AS batch_id FROM z)"
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return batches.pack(views.reads(spark, d).groupBy("cid").agg(F.count("*").alias("n")), 64)
+
+
+@query(_SIZES + "\nSELECT cid, n, batch_id FROM b")
+def batch_packing(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).select("cid", "n", "batch_id")
+
+
+@query(_SIZES + "\nSELECT count(*) AS n_batches, round(avg(s), 6)::DOUBLE AS mean_size, sum(k)::BIGINT AS n_clusters, (SELECT count(*) FROM b WHERE batch_id < 0) AS n_singletons FROM (SELECT batch_id, sum(n) AS s, count(*) AS k FROM b WHERE batch_id >= 0 GROUP BY 1)")
+def batch_stats(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(batches.batch_statistics(_packed(spark, d)))
+
+
+@query("WITH a AS (SELECT unnest(['A', 'T', 'G', 'C']) AS c) SELECT x.c || y.c || z.c AS word FROM a x, a y, a z")
+def prefix_permutations(spark: SparkSession, d: str) -> DataFrame:
+    return batches.permutations(spark, 3)
+
+
+@query(R + ",\ntruth AS (SELECT DISTINCT substr(seq, 1, 80) AS key FROM r WHERE lang = 'en')\nSELECT count(*) AS n_reads, round(avg(CASE WHEN key IS NULL THEN 0.0 ELSE 1.0 END), 6)::DOUBLE AS match_rate FROM r LEFT JOIN truth ON substr(seq, 1, 80) = key")
+def gt_match_rate(spark: SparkSession, d: str) -> DataFrame:
+    return prefix_gt_left_join(spark, d).agg(F.count("*").alias("n_reads"), r6(F.avg((F.col("tag") != "-1").cast("double"))).alias("match_rate"))
+
+
+@query("SELECT max(length(line))::INT AS longest, count(*) AS n_lines FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)")
+def longest_line(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.table(spark, d, "documents").select(F.explode_outer(F.split("text", "\n")).alias("line"))
+    return rows.agg(F.max(F.length("line")).alias("longest"), F.count("*").alias("n_lines"))
+
+
+@query()
+def difference_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What differs between each reference and its best prediction; tests hold the text against examples."""
+    best = match.best_by_edit(_pred(spark, d), views.references(spark, d))
+    both = best.join(_pred(spark, d), "pred_id").join(views.references(spark, d), "gt_id")
+    return both.select("gt_id", "pred_id", batches.difference("gt_seq", "pred_seq").alias("difference"))
+
+
+@query()
+def refinement_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Two rounds over all reads, clustered by prefix at first; iterative, so there is no SQL. Tests hold its properties."""
+    rows = keep(_labelled_reads(spark, d).select("read_id", "seq", "label"))
+    return rounds.iterate(rows.select("read_id", "seq"), rows.select("read_id", "label"), f"{shared_root(spark)}/rounds-{uuid.uuid4().hex}", 2)
