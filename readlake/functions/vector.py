@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,9 +20,14 @@ def norm(x: Column) -> Column:
     return F.sqrt(dot(x, x))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def unit(x: Column) -> Column:
     """x / |x|; a zero vector stays."""
-    return F.when(norm(x) > 0, F.transform(x, lambda v: v / norm(x))).otherwise(x)
+    return let(x, lambda a: let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda v: v / n)).otherwise(a)))
 
 
 def unit_distance(a: Column, b: Column) -> Column:
@@ -49,15 +56,14 @@ def lgamma(x: Column) -> Column:
 
 def epistemic(alpha: Column) -> Column:
     """Of one position: sum rho (psi(a + 1) - psi(S + 1)) - sum rho ln rho, at least 0."""
-    s = total(alpha)
-    parts = F.transform(alpha, lambda a: a / s * (digamma(a + 1) - digamma(s + 1)) - a / s * F.ln(a / s))
+    parts = let(F.struct(alpha.alias("x"), total(alpha).alias("s")), lambda t: F.transform(t["x"], lambda a: a / t["s"] * (digamma(a + 1) - digamma(t["s"] + 1)) - a / t["s"] * F.ln(a / t["s"])))
     return F.greatest(total(parts), F.lit(0.0))
 
 
 def aleatoric(alpha: Column, most: float = 0.95) -> Column:
     """Of one position: sum rho (psi(S + 1) - psi(a + 1)), kept in 0 to `most`."""
-    s = total(alpha)
-    return F.least(F.greatest(total(F.transform(alpha, lambda a: a / s * (digamma(s + 1) - digamma(a + 1)))), F.lit(0.0)), F.lit(most))
+    parts = let(F.struct(alpha.alias("x"), total(alpha).alias("s")), lambda t: F.transform(t["x"], lambda a: a / t["s"] * (digamma(t["s"] + 1) - digamma(a + 1))))
+    return F.least(F.greatest(total(parts), F.lit(0.0)), F.lit(most))
 
 
 def bayes_risk(alpha: Column, label: Column) -> Column:
