@@ -1,9 +1,11 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Each source is dealt by hash of doc_id into blocks of a few thousand documents. A target of r whole sources and a rest asks for
-r draws of every block and one more of the first blocks of a permutation; the block that the rest ends in gives documents
-as far as they fit, and the one document not yet taken that comes closest to what is still missing is added, if that
-brings the source nearer to its target. A tree then splits the block draws of all sources among the output shards: at each node
+r draws of every block and one more of the first blocks of a permutation. The block that the rest ends in gives every document that
+still fits in its turn, and so do the blocks after it in the permutation, until no document of the source fits: what is missing is
+then less than any document not taken. The one document that comes closest to it is added, if that brings the source
+nearer to its target. Where it ends nearer if the block gives only the documents before the first that does not fit, and the
+closest one, that is done instead. These documents go where the block goes that the rest ends in. A tree then splits the block draws of all sources among the output shards: at each node
 the left half's share of each source is a draw from the multivariate hypergeometric distribution, so quotas are exact at every
 level and no shard is favoured. A shard takes disjoint runs of each source's permuted draws and orders documents by a hash.
 
@@ -20,7 +22,8 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readlake.llm import common as c
@@ -53,6 +56,71 @@ def split_draws(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np
     return np.concatenate([split_draws(part, left, rng), split_draws(quotas - part, shards - left, rng)])
 
 
+def _scan(block: pa.Table) -> pa.Table:
+    """The documents of a block that fit into what is left, each in its turn."""
+    block = block.sort_by([("key", "ascending"), ("doc_id", "ascending")])
+    left, fits = block.column("left")[0].as_py(), []
+    for size in block.column("size").to_pylist():
+        fits.append(size <= left)
+        left -= size if fits[-1] else 0
+    return block.filter(pa.array(fits)).select(["s", "key", "doc_id", "size"])
+
+
+def _run(block: pa.Table) -> pa.Table:
+    """The documents of a block before the first that does not fit into what is left."""
+    block = block.sort_by([("key", "ascending"), ("doc_id", "ascending")])
+    fits = np.cumsum(block.column("size").to_numpy()) <= block.column("left")[0].as_py()
+    return block.filter(pa.array(fits)).select(["s", "key", "doc_id", "size"])
+
+
+def filled(units: DataFrame, rooms: dict[int, tuple[int, int]]) -> tuple[DataFrame, dict[int, int]]:
+    """(s, key, doc_id, size) of the documents that fill each source's room from the block after the given rank on, and what is missing then.
+
+    A round passes over the documents that fit at all: the blocks before the one in which the room ends go in whole, that one is scanned.
+    What a block does not give then never fits again, so each round begins after it and the last one leaves no document that fits.
+    """
+    spark = units.sparkSession
+    found, gaps, open_ = units.where(F.lit(False)).select("s", "key", "doc_id", "size"), {s: room for s, (room, _) in rooms.items()}, dict(rooms)
+    while open_:
+        state = spark.createDataFrame([(s, gap, after) for s, (gap, after) in open_.items()], "s int, gap long, after long")
+        live = units.join(F.broadcast(state), "s").where("rank > after AND size <= gap")
+        ends = live.groupBy("s", "rank", "gap").agg(F.sum("size").alias("total")).withColumn("upto", F.sum("total").over(Window.partitionBy("s").orderBy("rank")))
+        stops = ends.groupBy("s").agg(F.min(F.when(F.col("upto") > F.col("gap"), F.col("rank"))).alias("stop"), F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))).alias("got")).collect()
+        if not stops:
+            break
+        state = spark.createDataFrame([(r["s"], *open_[r["s"]], r["stop"], open_[r["s"]][0] - (r["got"] or 0)) for r in stops], "s int, gap long, after long, stop long, left long")
+        live = units.join(F.broadcast(state), "s").where("rank > after AND size <= gap")
+        scanned = live.where("rank = stop").select("s", "key", "doc_id", "size", "left").groupBy("s").applyInArrow(_scan, found.schema)
+        part = c.cut(live.where("stop IS NULL OR rank < stop").select("s", "key", "doc_id", "size").unionByName(scanned))
+        for r in part.groupBy("s").agg(F.sum("size").alias("size")).collect():
+            gaps[r["s"]] -= r["size"]
+        found = found.unionByName(part)
+        open_ = {r["s"]: (gaps[r["s"]], r["stop"]) for r in stops if r["stop"] is not None and gaps[r["s"]]}
+    return found, gaps
+
+
+def run_filled(units: DataFrame, rooms: dict[int, tuple[int, int]]) -> tuple[DataFrame, dict[int, int]]:
+    """The same as filled(), of the documents of the first block before the first that does not fit."""
+    state = units.sparkSession.createDataFrame([(s, room, after + 1) for s, (room, after) in rooms.items()], "s int, left long, rank long")
+    block = units.join(F.broadcast(state), ["s", "rank"]).select("s", "key", "doc_id", "size", "left")
+    found = c.cut(block.groupBy("s").applyInArrow(_run, block.drop("left").schema))
+    got = {r["s"]: r["size"] for r in found.groupBy("s").agg(F.sum("size").alias("size")).collect()}
+    return found, {s: room - got.get(s, 0) for s, (room, _) in rooms.items()}
+
+
+def closest(units: DataFrame, found: DataFrame, gaps: dict[int, int]) -> dict[int, tuple[int, int | None, int | None]]:
+    """By source: how far it is from its target with the one more document that comes closest, and key and doc_id of that, if any."""
+    rest = units.join(found.select(*(F.col(n).alias(f"fit_{n}") for n in ("s", "key", "doc_id"))), _is_fit(), "left_anti")
+    missing = units.sparkSession.createDataFrame([*gaps.items()], "s int, gap long")
+    near = F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("key"), F.col("doc_id"))).alias("near")
+    nearest = {r["s"]: r["near"] for r in rest.join(F.broadcast(missing), "s").groupBy("s").agg(near).collect()}
+    return {s: (*nearest[s],) if s in nearest and nearest[s]["off"] < gap else (gap, None, None) for s, gap in gaps.items()}
+
+
+def _is_fit() -> Column:
+    return (F.col("s") == F.col("fit_s")) & (F.col("key") == F.col("fit_key")) & F.col("doc_id").eqNullSafe(F.col("fit_doc_id"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS, block_docs: int = BLOCK_DOCS, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, and draws: shard, epoch and place (a sort key in the shard) of each take."""
     spark = docs.sparkSession
@@ -74,25 +142,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sha
     blocks = blocks.select("s", "block", "rank", F.when(F.col("upto") <= F.col("rest"), "all").when(F.col("upto") - F.col("block_size") < F.col("rest"), "some").otherwise("none").alias("extra"), (F.col("rest") - F.col("upto") + F.col("block_size")).alias("room"))
     blocks = c.cut(blocks)
 
-    drawn = {r["s"]: r for r in blocks.groupBy("s").agg(F.count("*").alias("n"), F.count_if(F.col("extra") != "none").alias("more"), F.max(F.when(F.col("extra") == "some", F.col("rank"))).alias("last")).collect()}
+    drawn = {r["s"]: r for r in blocks.groupBy("s").agg(F.count("*").alias("n"), F.count_if(F.col("extra") != "none").alias("more"), F.max(F.when(F.col("extra") == "some", F.col("rank"))).alias("last"), F.max(F.when(F.col("extra") == "some", F.col("room"))).alias("room")).collect()}
     quotas = np.array([k * drawn[i]["n"] + drawn[i]["more"] for i, k in enumerate(whole)], np.int64)
     split = split_draws(quotas, shards, np.random.default_rng(seed)) if len(quotas) else np.zeros((shards, 0), np.int64)
     ends = [(i, drawn[i]["n"], drawn[i]["last"] if drawn[i]["last"] is not None else max(0, drawn[i]["more"] - 1), [int(x) for x in np.cumsum(split[:, i])]) for i in range(len(plan))]
     ends = spark.createDataFrame(ends, "s int, in_source long, last long, shard_ends array<long>")
 
     rows = rows.join(blocks, ["s", "block"])
-    inside = Window.partitionBy("s").orderBy("key", "doc_id", "size")
-    some = rows.where(F.col("extra") == "some").withColumn("upto", F.sum("size").over(inside))
-    some = some.where(F.col("upto") <= F.col("room")).select("s", F.col("key").alias("fit"), "upto")
-    fits = some.groupBy("s").agg(F.max("fit").alias("last_fit"), F.max("upto").alias("got"))
-    gaps = blocks.groupBy("s").agg(F.max(F.when(F.col("extra") == "some", F.col("room"))).alias("room")).join(fits, "s", "left")
-    gaps = gaps.select("s", "last_fit", (F.coalesce("room", F.lit(0)) - F.coalesce("got", F.lit(0))).alias("gap"))
-    rows = rows.join(gaps, "s").withColumn("fitted", (F.col("extra") == "all") | ((F.col("extra") == "some") & F.coalesce(F.col("key") <= F.col("last_fit"), F.lit(False))))
-    near = F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("key"), F.col("doc_id"))
-    closest = rows.where(~F.col("fitted") & (F.col("gap") > 0) & (F.col("whole") < cap)).groupBy("s").agg(F.min(near).alias("near"), F.first("gap").alias("g")).where(F.col("near.off") < F.col("g"))
-    rows = rows.join(closest.select("s", F.col("near.key").alias("near_key"), F.col("near.doc_id").alias("near_id")), "s", "left")
+    # rows that repeat a doc_id are taken alike, so they fit together or not at all
+    units = rows.where((F.col("extra") != "all") & (F.col("size") > 0) & (F.col("whole") < cap)).groupBy("s", "rank", "key", "doc_id").agg(F.sum("size").alias("size"))
+    units = c.cut(units)
+    rooms = {i: (r["room"], r["last"] - 1) for i, r in drawn.items() if r["room"]}
+    (fits, gaps), (run, run_gaps) = filled(units, rooms), run_filled(units, rooms)
+    ways = [closest(units, fits, gaps), closest(units, run, run_gaps)]
+    pick = {i: int(ways[1][i][0] < ways[0][i][0]) for i in rooms}
+    picked = spark.createDataFrame([(i, k, *ways[k][i][1:]) for i, k in pick.items()], f"s int, way int, near_key long, near_id {units.schema['doc_id'].dataType.simpleString()}")
+    fits = fits.withColumn("way", F.lit(0)).unionByName(run.withColumn("way", F.lit(1))).join(F.broadcast(picked), ["s", "way"])
+    rows = rows.join(fits.select(*(F.col(n).alias(f"fit_{n}") for n in ("s", "key", "doc_id"))), _is_fit(), "left")
+    rows = rows.withColumn("fitted", F.col("extra") == "all").join(F.broadcast(picked.drop("way")), "s", "left")
     near_is_it = F.coalesce((F.col("key") == F.col("near_key")) & F.col("doc_id").eqNullSafe(F.col("near_id")), F.lit(False))
-    rows = rows.withColumn("one_more", F.col("fitted") | near_is_it).join(ends, "s")
+    rows = rows.withColumn("one_more", F.col("fitted") | F.col("fit_key").isNotNull() | near_is_it).join(ends, "s")
 
     epochs = F.sequence(F.lit(0), F.col("whole") + F.col("one_more").cast("int") - 1)
     epochs = F.when(F.col("whole") + F.col("one_more").cast("int") > 0, epochs).otherwise(F.array().cast("array<int>"))
