@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
+import xxhash
 import zstandard
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 LEVEL, PIECE = 6, 1024
 
@@ -18,6 +21,23 @@ def dictionary(texts: list[str], most: int) -> bytes:
     return b"\n".join(t.encode("utf-8", "replace")[:share] for t in texts)[:most]
 
 
+SLICE = 256
+
+
+def spread(text: Column, most: int, size: int = 512) -> Column:
+    """An array of pieces of that many characters from all over the text, at equal distances, at most `most` characters in all."""
+    n = F.least(F.ceil(F.char_length(text) / size), F.lit(most // size)).cast("int")
+    begin = lambda i: F.floor(i * (F.char_length(text) - size) / F.greatest(n - 1, F.lit(1))).cast("int") + 1
+    return F.when(n <= 1, F.array(F.substring(text, 1, size))).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, begin(i), F.lit(size))))
+
+
+def filled(texts: list[str], most: int, size: int = SLICE) -> bytes:
+    """At most that many bytes: slices of all texts, by their hash, so that no text and no part of one comes first."""
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    slices = {r[i : i + size] for r in raw for i in range(0, len(r), size)}
+    return b"\n".join(sorted(slices, key=lambda x: (xxhash.xxh3_64_intdigest(x), x)))[:most]
+
+
 class Compressors:
     """A compressor for each dictionary; made on the executor."""
 
