@@ -53,6 +53,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+HEAVY_KEYS = 4096
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, values: list[str], spread: Column, most: int = HEAVY_KEYS) -> DataFrame:
+    """rows with the values of counted (null where it has none): a left join whose hot keys need no adaptive splitting.
+
+    counted has one row for each key and in column n how many rows have it; it should be cut from its lineage, as it is read three times.
+    At most `most` keys can have more than sum(n) / most rows. These are broadcast, so that the bound is proven, and their rows go to the
+    shuffled join under keys made from `spread`, a hash that differs from row to row. All keys are of type long.
+    """
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    heavy = counted.where(F.col(n) > total // most).select(*(F.col(k).alias(f"heavy_{k}") for k in keys), F.struct(*values).alias("heavy_values"))
+    marked = rows.join(F.broadcast(heavy), [F.col(k) == F.col(f"heavy_{k}") for k in keys], "left")
+    is_heavy = F.col("heavy_values").isNotNull()
+    marked = marked.withColumns({f"light_{k}": F.when(is_heavy, F.xxhash64(F.lit(i), spread)).otherwise(F.col(k)) for i, k in enumerate(keys)})
+    light = counted.where(F.col(n) <= total // most).select(*(F.col(k).alias(f"light_{k}") for k in keys), F.struct(*values).alias("light_values"))
+    joined = marked.join(light, [f"light_{k}" for k in keys], "left")
+    found = F.when(is_heavy, F.col("heavy_values")).otherwise(F.col("light_values"))
+    return joined.select(*rows.columns, *(found[v].alias(v) for v in values))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle and checkpoint files of tables that nothing refers to any more."""
     gc.collect()

@@ -1,33 +1,36 @@
 """Line dedup: lines that many documents share stay in one document only. DataFrame functions only.
 
-The key of a line is the line without white space at its ends, A-Z in lower case. Each document gives its distinct
-keys as 128-bit hashes; one aggregation with map-side combine counts documents per key and finds the largest doc_id.
-Keys over the threshold are joined to the positions of their lines (a skewed key splits under adaptive execution, as both
-sides are plain shuffles), positions are gathered per document, and the text is cut at these positions.
-
-Defined results: a null text is one empty line; an empty text too. A key shorter than min_chars never goes. Each row
-counts as a document for the threshold; rows that repeat a doc_id are told apart by their texts. A null doc_id is one
+The key of a line is the line without white space at its ends, A-Z in lower case. Texts are exploded into lines, and each line
+into the 128-bit hash of its key. Hashes are counted by document first and then by hash, both with map-side combine, which gives
+the number of distinct documents, the largest doc_id and the number of lines of each hash. Hashes over the threshold are joined to
+the positions of their lines; those with most lines are broadcast (their number is bounded by their counts), so that a line that
+a third of all documents hold does not meet in one task. Positions are gathered per document, and the text is cut at these positions.
+
+Defined results: a null text is one empty line; an empty text too. A key shorter than min_chars never goes. Rows that repeat
+a doc_id are one document for the threshold, and are told apart by their texts when lines go. A null doc_id is one
 document, smaller than all others. Other columns of the input pass through keep_lines() untouched.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm.common import LOWER, SPACES, UPPER, free, table
+from readlake.llm.common import LOWER, SPACES, UPPER, cut, free, join_counted, table
+
 
 def _lower(text: Column) -> Column:
     """A-Z only. For texts of one-byte characters the built-in does the same, faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def _keys(text: Column) -> Column:
-    return F.transform(F.split(_lower(F.coalesce(text, F.lit(""))), "\n"), lambda line: F.btrim(line, F.lit(SPACES)))
-
-
-def _hashed(key: Column) -> Column:
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key).alias("b"))
+def _key(line: Column) -> Column:
+    """The line (in lower case already) without white space at its ends. Trimming walks through all characters, so it is left out where it does nothing."""
+    ends = [f(line, F.lit(x)) for x in SPACES for f in (F.startswith, F.endswith)]
+    return F.when(reduce(or_, ends), F.btrim(line, F.lit(SPACES))).otherwise(line)
 
 
 def _id() -> Column:
@@ -36,15 +39,16 @@ def _id() -> Column:
 
 def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(id, text_hash, drops): the sorted 0-based positions of the lines that a row loses; rows that lose none are absent."""
-    rows = docs.select(_id().alias("id"), F.xxhash64("text").alias("text_hash"), _keys(F.col("text")).alias("keys"))
-    long = lambda k: F.char_length(k) >= min_chars
-    # outer explodes infer no filter, which would compute the keys a second time
-    once = rows.select("id", F.explode_outer(F.array_distinct(F.transform(F.filter("keys", long), _hashed))).alias("h")).where("h IS NOT NULL")
-    hot = once.groupBy("h.a", "h.b").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs)
-    at = rows.select("id", "text_hash", F.posexplode_outer("keys").alias("pos", "key")).where(long(F.col("key")))
-    at = at.select("id", "text_hash", "pos", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(7), F.col("key")).alias("b"))
-    found = at.join(hot.select("a", "b", "last"), ["a", "b"]).where(F.col("id") != F.col("last"))
-    return found.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
+    rows = docs.select(_id().alias("id"), F.xxhash64("text").alias("text_hash"), F.split(_lower(F.coalesce("text", F.lit(""))), "\n").alias("lines"))
+    # an outer explode infers no filter, which would split the text a second time
+    keys = rows.select("id", "text_hash", F.posexplode_outer("lines").alias("pos", "line")).withColumn("key", _key(F.col("line")))
+    at = keys.where((F.octet_length("line") >= min_chars) & (F.char_length("key") >= min_chars)).select("id", "text_hash", "pos", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(7), F.col("key")).alias("b"))
+    held = at.groupBy("id", "a", "b").agg(F.count("*").alias("n_lines"))
+    hot = held.groupBy("a", "b").agg(F.count("*").alias("n_docs"), F.max("id").alias("last"), F.sum("n_lines").alias("n_lines"))
+    hot = cut(hot.where(F.col("n_docs") >= min_docs))
+    found = join_counted(at, hot, ["a", "b"], "n_lines", ["last"], F.xxhash64("id", "text_hash", "pos")).where(F.col("id") != F.col("last"))
+    # cut, so that the join to the texts has plain exchanges on both sides and adaptive execution can split it
+    return cut(found.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("drops")))
 
 
 def keep_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
