@@ -3,58 +3,106 @@
 Texts are A-Z folded and cut into words; a shingle is five words (an item under five words is one shingle). A window of a
 document is as long as an item and lies where a shingle of the document meets the same shingle of some item of that
 length, moved inside the document at its ends; a window without a common shingle has similarity 0 to every item. Each window
-and each item gets a 64-bit SimHash of its shingles, counted with their multiplicity. The bits are cut into radius + 1 blocks: two
-fingerprints within the radius agree on at least one block, so joining on (length, block, bits) finds all of them. What is within
-the radius is then verified exactly: sum of least multiplicities over sum of greatest, against min_similarity.
+and each item gets a SimHash of 256 bits of its shingles, counted with their multiplicity. The bits are cut into 16 blocks of 16. Two
+fingerprints within radius 63 differ in at most 3 bits of some block, and then one bit turned on the window's side and two on the item's
+make the blocks equal. So an index of every block of every item under each change of two bits or fewer, asked with each change of one bit
+or none, finds all of them by a join on one key, and takes about a sixth of unlike pairs of one length. A pair counts at its first such
+block and at one pair of changes only. What is within the radius is verified exactly: sum of least multiplicities over sum of greatest,
+against min_similarity. Items of more than 16,000 shingles, which the counters of the fingerprint don't hold, are verified without it.
 
-At similarity 0.8 about 9.7 of 64 bits differ, with deviation 2.9: the default radius of 21 lies almost four deviations out.
-The table of item shingles is broadcast only if it has at most broadcast_rows rows, counted first; else it is shuffled.
+At similarity 0.8 about 39 of 256 bits differ, with deviation 5.8: the radius lies over four deviations out.
+The table of item shingles and the index are broadcast only if they have at most broadcast_rows rows, counted first; else they are shuffled,
+and then windows fetch their words from the texts after the join.
 
 Defined results: null and empty texts and items match nothing. A document shorter than an item is one window. Items may repeat
-an item_id; a null item_id matches but is not listed. Rows that repeat a doc_id are judged together. Columns besides doc_id and text
-pass through keep_clean().
+an item_id; a null item_id matches but is not listed. Rows that repeat a doc_id are judged together: what one of them holds, all hold.
+Columns besides doc_id and text pass through keep_clean().
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readlake.llm import common as c
 from readlake.llm.line_dedup import _lower
 
-WIDTH, MIN_SIMILARITY, RADIUS, BROADCAST_ROWS = 5, 0.8, 21, 1_000_000
+WIDTH, MIN_SIMILARITY, BROADCAST_ROWS = 5, 0.8, 1_000_000
+PARTS, BLOCKS, BITS, APART = 4, 16, 16, 3  # longs of a fingerprint; blocks, bits of each, and bits of a block that may differ
+RADIUS, LONGEST = BLOCKS * (APART + 1) - 1, 16_000
+_LANES = 0x0001000100010001
 
 
 def words(text: Column) -> Column:
-    """Folded words; a text without any gives an empty array."""
-    plain = F.btrim(_lower(F.coalesce(text, F.lit(""))), F.lit(c.SPACES))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, r"[\x20\x09-\x0D]+"))
+    """Folded words; a text without any gives one empty word, which no text with words has."""
+    return F.split(F.btrim(_lower(F.coalesce(text, F.lit(""))), F.lit(c.SPACES)), r"[\x20\x09-\x0D]+")
+
+
+def shingle(array: str, at: Column, width: int) -> Column:
+    """64-bit hash of the shingle that begins at that word."""
+    return F.xxhash64(*(F.get(F.col(array), at + F.lit(k)) for k in range(width)))
 
 
 def shingles(array: str, width: int) -> Column:
     """64-bit hashes of the shingles of an array of words, in order."""
-    at = lambda i, k: F.get(F.col(array), i + F.lit(k))
     begin = F.sequence(F.lit(0), F.size(array) - width)
-    return F.when(F.size(array) >= width, F.transform(begin, lambda i: F.xxhash64(*(at(i, k) for k in range(width))))).otherwise(F.array().cast("array<long>"))
+    return F.when(F.size(array) >= width, F.transform(begin, lambda i: shingle(array, i, width))).otherwise(F.array().cast("array<long>"))
+
+
+def with_shingles(rows: DataFrame, array: str, width: int) -> DataFrame:
+    """A row for each shingle, with pos and h. No lambda, so that it stays inside generated code."""
+    # an outer explode infers no filter, which would make the words a second time
+    begin = F.when(F.size(array) >= width, F.sequence(F.lit(0), F.size(array) - width))
+    return rows.withColumn("pos", F.explode_outer(begin)).where("pos IS NOT NULL").withColumn("h", shingle(array, F.col("pos"), width))
+
 
+def with_print(rows: DataFrame, array: str, width: int, name: str) -> DataFrame:
+    """rows, distinct, with their SimHash as an array of longs; null where there are over LONGEST shingles.
 
-def simhash(hashes: str) -> Column:
-    """Bit b is set if more than half of the hashes have it set."""
-    ones = f"aggregate({hashes}, 0, (s, h) -> s + cast(shiftright(h, b) & 1L AS int))"
-    return F.expr(f"aggregate(sequence(0, 63), 0L, (found, b) -> found | IF(2 * {ones} > size({hashes}), shiftleft(1L, b), 0L))")
+    A bit is set if more than half of the shingles' hashes have it set. Four counters of 16 bits lie side by side in a long.
+    """
+    keys = rows.columns
+    parts = [F.xxhash64(F.lit(i), F.col("h")).alias(f"x{i}") for i in range(PARTS)]
+    sums = [F.sum(F.shiftrightunsigned(f"x{i}", k).bitwiseAND(F.lit(_LANES))).alias(f"s{i}_{k}") for i in range(PARTS) for k in range(BITS)]
+    short = F.size(array) < LONGEST + width
+    counted = with_shingles(rows.where(short), array, width).select(*keys, *parts).groupBy(*keys).agg(F.count("*").alias("n"), *sums)
+    over = (F.lit((1 << 14) - 1) - F.floor(F.col("n") / 2)) * F.lit(_LANES)  # lifts a counter over half of n to bit 14
+    bits = lambda i, k: F.shiftleft(F.shiftrightunsigned(F.col(f"s{i}_{k}") + over, 14).bitwiseAND(F.lit(_LANES)), k)
 
+    def part(i: int) -> Column:
+        out = bits(i, 0)
+        for k in range(1, BITS):
+            out = out.bitwiseOR(bits(i, k))
+        return out
 
-def _ends(radius: int) -> list[int]:
-    return [64 * i // (radius + 1) for i in range(radius + 2)]
+    found = counted.select(*keys, F.array(*(part(i) for i in range(PARTS))).alias(name))
+    return found.unionByName(rows.where(~short).distinct().withColumn(name, F.lit(None).cast("array<long>")))
 
 
-def with_blocks(df: DataFrame, fingerprint: str, radius: int) -> DataFrame:
-    """radius + 1 rows for each row, with block and bits: together they hold all 64 bits of the fingerprint."""
-    ends = _ends(radius)
-    shifts, masks = (f"array({', '.join(map(str, x))})" for x in (ends[:-1], [(1 << (b - a)) - 1 for a, b in zip(ends[:-1], ends[1:], strict=True)]))
-    # the blocks are numbered first, so that the fingerprint is computed once
-    return df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(radius)))).withColumn("bits", F.expr(f"coalesce(shiftrightunsigned({fingerprint}, {shifts}[block]) & {masks}[block], 0L)"))
+def _masks(most: int) -> list[int]:
+    """The changes of at most that many bits of a block."""
+    return [sum(1 << b for b in some) for n in range(most + 1) for some in combinations(range(BITS), n)]
+
+
+def with_keys(rows: DataFrame, name: str, turned: int) -> DataFrame:
+    """A row for each block and each change of at most `turned` bits, with block, change and key: length, block and bits in one number."""
+    out = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("value", F.expr(f"shiftrightunsigned({name}[block div 4], 16 * (block % 4)) & 65535L"))
+    out = out.withColumn("change", F.explode(F.lit(_masks(turned)).cast("array<long>")))
+    key = F.expr("shiftleft(CAST(length AS BIGINT), 24) | shiftleft(CAST(block AS BIGINT), 16)").bitwiseOR(F.col("value").bitwiseXOR(F.col("change")))
+    return out.withColumn("key", key).drop("value")
+
+
+def _first_meeting(a: str, b: str) -> Column:
+    """Whether this block is the first that differs in APART bits or fewer, and this change the one that counts for its difference."""
+    apart = [F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))) for i in range(PARTS)]
+    block = lambda i: F.shiftrightunsigned(apart[i // 4], 16 * (i % 4)).bitwiseAND(F.lit(65535))
+    first = F.coalesce(*(F.when(F.bit_count(block(i)) <= APART, F.lit(i)) for i in range(BLOCKS)))
+    own = F.expr(f"shiftrightunsigned({a}[block div 4] ^ {b}[block div 4], 16 * (block % 4)) & 65535L")
+    counts = F.when(F.bit_count(own) == APART, own.bitwiseAND(-own)).otherwise(F.lit(0).cast("long"))
+    near = sum((F.bit_count(x) for x in apart), F.lit(0)) <= RADIUS
+    return near & (F.col("block") == first) & (F.col("change") == counts)
 
 
 def similarity(a: str, b: str) -> Column:
@@ -64,54 +112,65 @@ def similarity(a: str, b: str) -> Column:
     return F.when(F.size(a) + F.size(b) > 0, common / (F.size(a) + F.size(b) - common)).otherwise(0.0)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMILARITY, radius: int = RADIUS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def windows(docs: DataFrame, items: DataFrame, width: int, broadcast: bool) -> DataFrame:
+    """(doc_id, length, start, words): the places of documents where a shingle lies as in some item, each once."""
+    where = with_shingles(items.select("length", "w"), "w", width).select("length", F.col("pos").alias("offset"), "h").distinct()
+    texts = docs.select("doc_id", words(F.col("text")).alias("w"))
+    begin = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.size("w") - F.col("length")))
+    taken = F.array_join(F.slice("w", F.col("start") + 1, F.least(F.col("length"), F.size("w"))), " ").alias("words")
+    if broadcast:
+        hit = with_shingles(texts, "w", width).join(F.broadcast(where), "h").withColumn("start", begin)
+        return hit.select("doc_id", "length", "start", taken).distinct()
+    # words stay with the texts until the shuffled join has told the windows
+    texts = texts.withColumn("row_hash", F.xxhash64("w"))
+    hit = with_shingles(texts, "w", width).select("doc_id", "row_hash", "h", "pos", F.size("w").alias("n")).join(where, "h")
+    begin = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("n") - F.col("length")))
+    found = hit.select(F.col("doc_id").alias("of"), F.col("row_hash").alias("of_hash"), "length", begin.alias("start")).distinct()
+    return texts.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row_hash") == F.col("of_hash"))).select("doc_id", "length", "start", taken).distinct()
+
+
+def candidates(docs: DataFrame, items: DataFrame, width: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The windows (see windows()), and the pairs of windows and items that the index finds within the radius."""
+    n = items.agg(F.sum("length").alias("n"), F.count("*").alias("items")).first()
+    found = windows(docs, items, width, n["n"] <= broadcast_rows).withColumn("w", F.split("words", " "))
+    found = with_print(found.select("doc_id", "length", "start", "w"), "w", width, "print")
+    own = with_print(items.select("item_id", "length", "w"), "w", width, "item_print").withColumnRenamed("w", "item_w")
+    own = c.cut(own.withColumn("item_hash", F.xxhash64("item_id", "item_w")))
+    small = F.broadcast if n["items"] * BLOCKS * len(_masks(APART - 1)) <= broadcast_rows else (lambda df: df)
+    index = with_keys(own.where("item_print IS NOT NULL"), "item_print", APART - 1).select("key", "item_hash")
+    asked = with_keys(found.where("print IS NOT NULL"), "print", 1)
+    few = F.broadcast if n["n"] <= broadcast_rows else (lambda df: df)
+    near = asked.join(small(index), "key").join(few(own.where("item_print IS NOT NULL").drop("length")), "item_hash").where(_first_meeting("print", "item_print"))
+    long = found.where("print IS NULL").join(own.where("item_print IS NULL"), "length")
+    columns = ["doc_id", "start", "w", "item_id", "item_w"]
+    return found, near.select(*columns).unionByName(long.select(*columns))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMILARITY, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, item_id, start (word number), similarity: windows of documents that are an item, or nearly."""
-    items = c.cut(benchmark.select("item_id", words(F.col("text")).alias("w"))).where(F.size("w") > 0).withColumn("length", F.size("w"))
-    sizes = items.groupBy(F.least("length", F.lit(WIDTH)).alias("width")).agg(F.sum("length").alias("n")).collect()
-    texts = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    items = c.cut(benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.get("w", F.lit(0)) != "").withColumn("length", F.size("w")).distinct())
+    widths = sorted(r["width"] for r in items.select(F.least("length", F.lit(WIDTH)).alias("width")).distinct().collect())
     found = None
-    for width, n in sorted((r["width"], r["n"]) for r in sizes):
-        small = F.broadcast if n <= broadcast_rows else (lambda df: df)
-        own = items.where(F.least("length", F.lit(WIDTH)) == width).select("item_id", "length", shingles("w", width).alias("item_hashes"))
-        own = c.cut(own.withColumn("item_print", simhash("item_hashes")))
-        # an outer explode infers no filter, which would compute the shingles a second time
-        where = own.select("length", F.posexplode_outer("item_hashes").alias("offset", "h")).distinct()
-        hashed = texts.select("doc_id", F.size("w").alias("n"), shingles("w", width).alias("hashes"))
-        hit = hashed.select("doc_id", "n", "hashes", F.posexplode_outer("hashes").alias("pos", "h")).join(small(where), "h")
-        begin = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("n") - F.col("length")))
-        size = F.least("length", "n") - F.lit(width - 1)
-        window = hit.select("doc_id", "length", begin.alias("start"), F.slice("hashes", begin + 1, size).alias("hashes"))
-        window = window.groupBy("doc_id", "length", "start").agg(F.first("hashes").alias("hashes"))
-        window = with_blocks(window.withColumn("print", simhash("hashes")), "print", radius)
-        listed = with_blocks(own, "item_print", radius)
-        pairs = window.join(small(listed), ["length", "block", "bits"])
-        # only the first block that a pair agrees on counts, so that no pair is verified twice
-        apart, ends = F.col("print").bitwiseXOR(F.col("item_print")), _ends(radius)
-        near = F.bit_count(apart) <= radius
-        first = F.coalesce(*(F.when(apart.bitwiseAND(F.lit(_mask(ends[i], ends[i + 1]))) == 0, F.lit(i)) for i in range(radius + 1)))
-        pairs = pairs.where(near & (F.col("block") == first)).withColumn("similarity", similarity("hashes", "item_hashes"))
+    for width in widths:
+        _, pairs = candidates(docs, items.where(F.least("length", F.lit(WIDTH)) == width), width, broadcast_rows)
+        pairs = pairs.withColumns({"hashes": shingles("w", width), "item_hashes": shingles("item_w", width)}).withColumn("similarity", similarity("hashes", "item_hashes"))
         part = pairs.where(F.col("similarity") >= min_similarity).select("doc_id", "item_id", "start", "similarity")
         found = part if found is None else found.unionByName(part)
-    return found if found is not None else texts.where(F.lit(False)).select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity"))
-
-
-def _mask(a: int, b: int) -> int:
-    """Bits a to b - 1, as a signed 64-bit number."""
-    m = (1 << b) - (1 << a)
-    return m - (1 << 64) if m >= 1 << 63 else m
+    empty = docs.where(F.lit(False)).select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity"))
+    return empty if found is None else found
 
 
-def flag(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def flag(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """doc_id, contaminated, items (sorted item_ids), similarity (the greatest; 0 if none) of every row of docs."""
-    by_doc = matches(docs, benchmark, min_similarity, radius).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("similarity").alias("similarity"))
+    by_doc = matches(docs, benchmark, min_similarity).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("similarity").alias("similarity"))
     by_doc = by_doc.withColumnRenamed("doc_id", "of")
     joined = docs.select("doc_id").join(by_doc, F.col("doc_id").eqNullSafe(F.col("of")), "left")
     return joined.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
-    leaks = matches(docs, benchmark, min_similarity, radius).select(F.col("doc_id").alias("leak_id")).distinct()
+    leaks = matches(docs, benchmark, min_similarity).select(F.col("doc_id").alias("leak_id")).distinct()
     return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak_id"]), "left_anti")
 
 
