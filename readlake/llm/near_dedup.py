@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from readlake.llm import common as c
 
-WIDTH, PERCENT, GROUPS = 5, 85, 8
+WIDTH, PERCENT, GROUPS, PARITY_WORDS = 5, 85, 8, 8
 _NULL = np.iinfo(np.int64).min
 
 
@@ -140,10 +140,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes_and_links(docs: DataFrame, percent: int = PERCENT, groups: int = GROUPS, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Signatures of all rows; classes (fa, fb, n_shingles, rep); and (id, component) of the representatives with links."""
+    """Signatures of all rows; classes (fa, fb, n_shingles, rep, n) of two rows or more; and (id, component) of the representatives with links."""
     sig = c.cut(signatures(docs, groups, width))
-    classes = sig.where("n_shingles > 0").groupBy("fa", "fb", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    own = sig.join(classes.withColumnsRenamed({"fa": "ga", "fb": "gb", "n_shingles": "gn"}), (F.col("doc_id") == F.col("rep")) & (F.col("fa") == F.col("ga")) & (F.col("fb") == F.col("gb")))
+    # equal sets have equal group keys
+    classes = sig.where("n_shingles > 0").groupBy("fa", "fb", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("ka").alias("ka"), F.first("kb").alias("kb"))
+    own = c.cut(classes)
+    classes = own.where("n > 1").drop("ka", "kb")
     pairs = F.array(*(F.xxhash64(F.lit(groups * i + j), F.get("ka", F.lit(i)), F.get("kb", F.lit(j))) for i in range(groups) for j in range(groups)))
     keys = own.select("rep", pairs.alias("keys")).select("rep", F.explode_outer("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
@@ -194,32 +196,40 @@ def held_shingles(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 
 def partner_caps(held: DataFrame, percent: int) -> DataFrame:
-    """(id, n, alone, cap, own): the size of each set, how many of its shingles no other set has (and their share), and the greatest size
-    that a partner can have. If g shingles are shared at all, a link asks for percent * (n + size) <= (100 + percent) * g."""
-    sizes = held.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("k") == 1).alias("alone"))
+    """(id, n, alone, cap, own, parity): the size of each set, how many of its shingles no other set has (and their share), the greatest size
+    that a partner can have, and a bitmap of whether an odd number of its shingles fall on each bit. If g shingles are shared at all,
+    a link asks for percent * (n + size) <= (100 + percent) * g."""
+    word, bit = F.pmod(F.shiftrightunsigned("h", 6), F.lit(PARITY_WORDS)), F.expr("shiftleft(1L, cast(h & 63 AS int))")
+    parity = [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"parity_{i}") for i in range(PARITY_WORDS)]
+    sizes = held.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("k") == 1).alias("alone"), *parity)
     cap = F.floor((F.col("n") - F.col("alone")) * (100 + percent) / percent).cast("long") - F.col("n")
-    return sizes.select("id", "n", "alone", cap.alias("cap"), (F.col("alone") / F.col("n")).alias("own"))
+    return sizes.select("id", "n", "alone", cap.alias("cap"), (F.col("alone") / F.col("n")).alias("own"), F.array(*(f"parity_{i}" for i in range(PARITY_WORDS))).alias("parity"))
 
 
-def prefix_pairs(live: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+def prefix_pairs(live: DataFrame, held: DataFrame, percent: int, seen: int = 16) -> DataFrame:
     """(u, v): all pairs of different components among these sets that can be linked, by exact prefix and position filters.
 
     Order the shingles of each set by how few sets have them. Linked sets meet in their prefixes: a set of n whose partners have at least
     m needs an overlap of percent * (n + m) / (100 + percent), so one shingle of the first n - overlap + 1 is shared. A pair also
-    goes unless the places at which it meets leave room for the overlap. Near copies with edits of their own, in whatever number,
+    goes unless the places at which it meets leave room for the overlap and the bits in which the bitmaps differ, of which there are no more
+    than shingles that only one of both has, leave it linked. A pair meets at its first common shingle only, as far as the
+    first `seen` shingles of both tell: long near copies share hundreds. Near copies with edits of their own, in whatever number,
     have prefixes full of these edits and never meet; buckets would bring all of them together.
     """
     least = live.groupBy("key").agg(F.min("n").alias("m"))
-    about = live.join(least, "key").groupBy("id").agg(F.min("m").alias("m"), F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("component").alias("component"))
+    about = live.join(least, "key").groupBy("id").agg(F.min("m").alias("m"), F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("component").alias("component"), F.first("parity").alias("parity"))
     m = F.greatest(F.col("m"), F.ceil(F.col("n") * percent / 100).cast("long"))
     prefix = F.col("n") - F.ceil(percent * (F.col("n") + m) / (100 + percent)).cast("int") + 1 - F.col("alone")
-    about = about.select("id", "n", "alone", "component", prefix.cast("int").alias("prefix")).where("prefix > 0")
+    about = about.select("id", "n", "alone", "component", "parity", prefix.cast("int").alias("prefix")).where("prefix > 0")
     kept = held.where("k > 1").join(about.select("id"), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("order"))
-    rows = kept.join(about, "id").select("id", "n", "component", F.posexplode_outer(F.slice("order", F.lit(1), F.col("prefix"))).alias("at", "token"), "alone")
-    rows = c.cut(rows.where("token IS NOT NULL").select(F.col("token.h").alias("h"), "id", "n", "component", (F.col("n") - F.col("alone") - F.col("at")).alias("room")))
-    other = rows.select("h", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), F.col("room").alias("room_u"))
+    rows = kept.join(about, "id").select("id", "n", "component", "parity", F.slice("order.h", 1, seen).alias("head"), F.posexplode_outer(F.slice("order", F.lit(1), F.col("prefix"))).alias("at", "token"), "alone")
+    before = F.slice("head", F.lit(1), F.least("at", F.lit(seen))).alias("before")
+    rows = c.cut(rows.where("token IS NOT NULL").select(F.col("token.h").alias("h"), "id", "n", "component", "parity", (F.col("n") - F.col("alone") - F.col("at")).alias("room"), before))
+    other = rows.select("h", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), F.col("room").alias("room_u"), F.col("before").alias("before_u"), F.col("parity").alias("parity_u"))
     fits = (100 + percent) * F.least("room", "room_u") >= percent * (F.col("n") + F.col("nu"))
-    return rows.join(other, "h").where((F.col("u") < F.col("id")) & (F.col("cu") != F.col("component")) & fits).select("u", F.col("id").alias("v")).distinct()
+    apart = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("parity_u", F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
+    close, first = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("nu")), ~F.arrays_overlap("before", "before_u")
+    return rows.join(other, "h").where((F.col("u") < F.col("id")) & (F.col("cu") != F.col("component")) & fits & close & first).select("u", F.col("id").alias("v")).distinct()
 
 
 def _mixed(members: DataFrame, labels: DataFrame, caps: DataFrame | None = None) -> DataFrame:
@@ -243,11 +253,11 @@ def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, groups: int = GROUPS, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
     sig, classes, labels = classes_and_links(docs, percent, groups, width)
-    # a class of many equal sets makes one skewed key of plain shuffles, which adaptive execution splits
-    rows = sig.select("doc_id", "n_shingles", "fa", "fb").join(classes, ["fa", "fb", "n_shingles"], "left")
+    rows = c.join_counted(sig.select("doc_id", "n_shingles", "fa", "fb"), classes, ["fa", "fb", "n_shingles"], "n", ["rep"], F.xxhash64("doc_id"))
+    rows = rows.withColumn("rep", F.coalesce("rep", "doc_id"))
     rows = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     back = lambda x: F.when(x != F.lit(int(_NULL)), x)
-    component = F.coalesce("component", "rep", "doc_id")
+    component = F.coalesce("component", "rep")
     return rows.select(back(F.col("doc_id")).alias("doc_id"), "n_shingles", back(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 

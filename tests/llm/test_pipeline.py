@@ -27,7 +27,7 @@ def test_stages(spark, tmp_path):
     model = quality_classifier.learn(seen[0][0], spark.read.parquet(f"{D}/labels.parquet"))
     assert ids(good) == ids(quality_classifier.score(seen[0][0], model).where("quality_score >= 0.3"))
     assert ids(lines) == ids(good) and all(r["n_chars"] == len(r["text"]) for r in lines.collect())
-    assert ids(near) == ids(near_dedup.near_duplicates(lines).where("kept"))
+    assert ids(near) == ids(near_dedup.near_duplicates(lines, 80, 10).where("kept"))
     assert ids(clean) == ids(decontaminate.flag(near, bench).where("NOT contaminated"))
     assert ids(mixed) == ids(clean)
     assert sorted(map(str, corpus_pipeline.run(spark, D).collect())) == sorted(map(str, mixed.collect()))

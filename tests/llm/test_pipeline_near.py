@@ -33,8 +33,8 @@ def test_stages_after_near_dedup(spark):
     """The stages of test_pipeline.py from near dedup on, at the stage's own bound."""
     docs = spark.read.parquet(f"{D}/documents.parquet")
     ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
-    near = corpus_pipeline.drop_near_copies(spark, docs, D).localCheckpoint()
+    near = corpus_pipeline.drop_near_copies(spark, docs, D).cache()
     assert ids(near) == ids(near_dedup.near_duplicates(docs, 80, 10).where("kept"))
-    clean = corpus_pipeline.drop_benchmark(spark, near, D).localCheckpoint()
+    clean = corpus_pipeline.drop_benchmark(spark, near, D).cache()
     assert ids(clean) == ids(decontaminate.flag(near, spark.read.parquet(f"{D}/benchmark.parquet")).where("NOT contaminated"))
     assert ids(corpus_pipeline.mix_sources(spark, clean, D)) == ids(clean)
