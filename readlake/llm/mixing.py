@@ -9,7 +9,8 @@ closest one, that is done instead. These documents go where the block goes that
 the left half's share of each source is a draw from the multivariate hypergeometric distribution, so quotas are exact at every
 level and no shard is favoured. A shard takes disjoint runs of each source's permuted draws and orders documents by a hash.
 
-To the driver come one row for each source, never rows of documents or blocks. Every choice is a hash under `seed`, so that
+To the driver come one row for each source, never rows of documents or blocks; tables of sources are broadcast up to
+BROADCAST_SOURCES rows, else shuffled. Every choice is a hash under `seed`, so that
 reruns agree.
 
 Defined results: a null text has size 0; sources of size 0 have target 0; a null source is a source of its own, last in
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from readlake.llm import common as c
 
 WEIGHTS, CAP, SHARDS, BLOCK_DOCS, SEED = (5, 2, 1), 3, 64, 2048, 17
+BROADCAST_SOURCES = 20_000
 
 
 def targets(sizes: list[int], weights: list[int], total: int, cap: int = CAP) -> list[Fraction]:
@@ -133,7 +135,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sha
     plan = [(r["source"], i, max(8, -(-r["n"] // block_docs)), k, round(t - k * r["size"]), float(t), r["size"]) for i, (r, t, k) in enumerate(zip(seen, aims, whole, strict=True))]
     sources = spark.createDataFrame(plan, "of string, s int, n_blocks int, whole int, rest long, target double, source_size long")
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = rows.join(sources, rows["source"].eqNullSafe(sources["of"])).drop("of").withColumns({"key": key, "block": F.pmod(key, "n_blocks").cast("int")})
+    small = F.broadcast if len(plan) <= BROADCAST_SOURCES else (lambda df: df)
+    rows = rows.join(small(sources), rows["source"].eqNullSafe(sources["of"])).drop("of").withColumns({"key": key, "block": F.pmod(key, "n_blocks").cast("int")})
 
     by_source = Window.partitionBy("s")
     order = by_source.orderBy(F.xxhash64(F.lit(seed + 1), F.col("s"), F.col("block")), "block")
@@ -161,7 +164,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sha
     rows = rows.join(fits.select(*(F.col(n).alias(f"fit_{n}") for n in ("s", "key", "doc_id"))), _is_fit(), "left")
     rows = rows.withColumn("fitted", F.col("extra") == "all").join(F.broadcast(picked.drop("way")), "s", "left")
     near_is_it = F.coalesce((F.col("key") == F.col("near_key")) & F.col("doc_id").eqNullSafe(F.col("near_id")), F.lit(False))
-    rows = rows.withColumn("one_more", F.col("fitted") | F.col("fit_key").isNotNull() | near_is_it).join(ends, "s")
+    rows = rows.withColumn("one_more", F.col("fitted") | F.col("fit_key").isNotNull() | near_is_it).join(small(ends), "s")
 
     epochs = F.sequence(F.lit(0), F.col("whole") + F.col("one_more").cast("int") - 1)
     epochs = F.when(F.col("whole") + F.col("one_more").cast("int") > 0, epochs).otherwise(F.array().cast("array<int>"))
