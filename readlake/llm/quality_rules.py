@@ -1,7 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-A bounded sample (by hash of doc_id) runs every rule once on executors, which send back only time and rejections per rule.
-Rules are then ordered by rejections per second, so that most documents that go meet their rule early; the order changes
+A bounded sample (by hash of doc_id) runs every rule on executors, which send back only time and rejections per rule. What a rule
+costs is what it takes beyond the base measures, which every document needs anyway, and it is tried on the texts that
+pass the base rule, each rule from the same start, so that neither the given order nor texts that never come to it
+count. Rules are then ordered by rejections per second, so that most documents that go meet their rule early; the order changes
 the cost, never the verdict, as a document stays only if all rules pass.
 
 Defined results: null and empty texts have no words, so n_words = 0 and base_failed. A rule whose denominator is 0 passes
@@ -27,7 +29,7 @@ from readlake.llm import common as c
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _ALPHA = np.zeros(256, bool)
-_ALPHA[65:91] = _ALPHA[97:123] = _ALPHA[128:] = True
+_ALPHA[65:91] = _ALPHA[97:123] = _ALPHA[192:] = True  # of a character beyond ASCII, the first byte
 _CAPITAL = np.zeros(256, bool)
 _CAPITAL[65:91] = True
 
@@ -43,6 +45,20 @@ class Measures:
             self.got[name] = getattr(self, name)()
         return self.got[name]
 
+    def copy(self) -> Measures:
+        out = object.__new__(Measures)
+        out.words, out.got = self.words, dict(self.got)
+        return out
+
+    def only(self, some: np.ndarray) -> Measures:
+        """Of some of the texts, with what is measured already."""
+        if len(some) == len(self.words.count):
+            return self.copy()
+        data, at = self.words.data, self.words.at
+        out = Measures(np.concatenate([data[:0], *(data[at[i] : at[i + 1]] for i in some)]), np.concatenate([[0], np.cumsum(np.diff(at)[some])]))
+        out.got = {k: v[some] for k, v in self.got.items()}
+        return out
+
     def n_words(self) -> np.ndarray:
         return self.words.count
 
@@ -91,13 +107,21 @@ class Measures:
         return self.words.per_doc(_CAPITAL[self.words.data])
 
     def letters(self) -> np.ndarray:
-        """Bytes of letters; those of other scripts count as letters without case."""
+        """A-Z, a-z, and every character beyond ASCII, which counts as a letter without case."""
         return self.words.per_doc(_ALPHA[self.words.data])
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def measured(data: np.ndarray, at: np.ndarray) -> Measures:
+    """With the base measures, which every text gets."""
+    m = Measures(data, at)
+    for name in BASE:
+        m[name]
+    return m
+
+
 def base_failed(m: Measures) -> np.ndarray:
     return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
 
@@ -129,7 +153,7 @@ SAMPLE_ROWS = 512
 
 def rank_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by rejections per second on at most sample_rows documents. Ties and an empty sample keep the given order."""
-    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     ids = [r[0] for r in ids.collect()]
     if not ids:
         return list(rules)
@@ -137,11 +161,13 @@ def rank_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: in
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in c.slices(batch):
-                m = Measures(*c.text_bytes(part.column("text")))
+                m = measured(*c.text_bytes(part.column("text")))
+                m = m.only(np.flatnonzero(~base_failed(m)))
                 took, gone = [], []
                 for rule in rules:
+                    fresh = m.copy()
                     began = time.perf_counter()
-                    gone.append(int(rule.rejects(m).sum()))
+                    gone.append(int(rule.rejects(fresh).sum()))
                     took.append(time.perf_counter() - began)
                 yield pa.record_batch({"rule": pa.array([r.name for r in rules]), "took": pa.array(took), "gone": pa.array(gone, pa.int64())})
 
@@ -157,22 +183,22 @@ def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in c.slices(batch):
-                data, at = c.text_bytes(part.column("text"))
-                m = Measures(data, at)
+                m = measured(*c.text_bytes(part.column("text")))
                 failed = base_failed(m)
                 why = np.full(len(failed), None, object)
                 left = np.flatnonzero(~failed)  # only texts that no earlier rule has rejected meet the next rule
+                rest = m
                 for rule in rules:
                     if not len(left):
                         break
-                    known = {rule.top, rule.bottom} <= m.got.keys() or 2 * len(left) > len(failed)
-                    if known:
-                        bad = rule.rejects(m)[left]
-                    else:
-                        spans = [data[at[i] : at[i + 1]] for i in left]
-                        bad = rule.rejects(Measures(np.concatenate(spans), np.cumsum([0, *map(len, spans)])))
+                    # the texts that are left are cut out for measures that nothing has needed yet
+                    if 2 * len(left) < len(rest.words.count) and not {rule.top, rule.bottom} <= rest.got.keys():
+                        rest = m.only(left)
+                    bad = rule.rejects(rest)
+                    bad = bad if len(bad) == len(left) else bad[left]
                     why[left[bad]] = rule.name
                     left = left[~bad]
+                    rest = m if len(rest.words.count) == len(failed) else rest.only(np.flatnonzero(~bad))
                 kept = np.zeros(len(failed), bool)
                 kept[left] = True
                 yield pa.record_batch([part.column("doc_id").cast(pa.int64()), *(pa.array(m[k], pa.int64()) for k in BASE), pa.array(failed), pa.array(kept), pa.array(why, pa.string())], [x.split()[0] for x in schema.split(", ")])
@@ -181,6 +207,30 @@ def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base measures and the verdict of the cascade for every document."""
+    """Base measures and the verdict of the cascade for every document. Which rule came first depends on measured time and is left out."""
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return apply_rules(docs, rank_rules(docs))
+    return apply_rules(docs, rank_rules(docs)).drop("rule")
+
+
+ORACLE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+grams AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+repeats AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+  FROM (SELECT doc_id, i, unnest([0, 1, 2]) AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1) GROUP BY doc_id),
+m AS (
+  SELECT t.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, length(regexp_replace(text, '[^\n]', '', 'g')) + 1 AS n_lines,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]*[A-Za-z\x{80}-\x{10FFFF}][^\x20\x09-\x0D]*')) AS alpha_words,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals, length(regexp_replace(text, '[^A-Za-z\x{80}-\x{10FFFF}]', '', 'g')) AS letters
+  FROM t LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 12 * n_words AND n_symbols <= 0.1::DOUBLE * n_words
+       AND n_dup_lines <= 0.5::DOUBLE * n_lines AND alpha_words >= 0.8::DOUBLE * n_words AND capitals <= 0.5::DOUBLE * letters AS kept
+FROM b
+"""
