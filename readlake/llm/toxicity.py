@@ -103,7 +103,8 @@ def telling(positive: Sparse, unlabelled: Sparse, settings: Settings) -> np.ndar
     n = np.bincount(positive.slot, minlength=size)
     p, u = n / positive.n, np.bincount(unlabelled.slot, minlength=size) / unlabelled.n
     z = (p - u) / np.sqrt(u * (1 - u) * (1 / positive.n + 1 / unlabelled.n) + 1 / positive.n**2)
-    return (n >= settings.min_docs) & (z > settings.min_z)
+    # of few positive texts, a tenth
+    return (n >= max(1, min(settings.min_docs, positive.n // 10))) & (z > settings.min_z)
 
 
 def nn_pu(positive: Sparse, unlabelled: Sparse, prior: float, settings: Settings) -> tuple[np.ndarray, float]:
@@ -139,7 +140,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     place = F.xxhash64(F.lit(5), F.col("doc_id"))
     ids = c.sampled_ids(labels, "toxic", 1, settings.max_positive)
     # ids has max_positive rows at most, whatever the size of the input
-    sure = [r["text"] for r in docs.select("doc_id", text).join(F.broadcast(ids.select("doc_id")), "doc_id").orderBy(place, "text").limit(2 * settings.max_positive).collect()]
+    sure = [r["text"] for r in docs.select("doc_id", text).join(F.broadcast(ids.select("doc_id")), "doc_id").orderBy(place, "text").limit(settings.max_positive).collect()]
     pool = docs.where(~c.in_fold("doc_id"))
     n = pool.count()
     share = min(1.0, 1.2 * settings.max_unlabelled / max(1, n) + 100 / max(1, n))
