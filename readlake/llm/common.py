@@ -75,7 +75,8 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str, v
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle and checkpoint files of tables that nothing refers to any more."""
+    """Lets Spark's cleaner drop the shuffle files of tables that nothing refers to any more, and, where
+    spark.cleaner.referenceTracking.cleanCheckpoints is on, their checkpoint files."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -175,5 +175,38 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MI
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, contaminated, items, similarity of every document."""
-    return flag(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
+    """doc_id, contaminated, items (item_ids in order, with commas) and similarity of every document."""
+    found = flag(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.array_join("items", ","))
+
+
+ORACLE = r"""
+WITH lowered AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+t AS (
+  SELECT kind, id, w, len(w) AS n FROM (
+    SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM lowered)
+  WHERE len(w) > 0),
+items AS (SELECT id AS item_id, w, n, least(n, 5) AS width FROM t WHERE kind = 'i'),
+item_grams AS (SELECT item_id, n, width, i - 1 AS off, array_to_string(w[i : i + width - 1], ' ') AS g FROM (SELECT *, unnest(range(1, n - width + 2)) AS i FROM items)),
+doc_grams AS (
+  SELECT id AS doc_id, n, width, i - 1 AS pos, array_to_string(w[i : i + width - 1], ' ') AS g
+  FROM (SELECT t.id, t.w, t.n, k.width, unnest(range(1, t.n - k.width + 2)) AS i FROM t, (SELECT DISTINCT width FROM items) k WHERE kind = 'd')),
+spots AS (
+  SELECT DISTINCT d.doc_id, i.n AS length, i.width, least(i.n, d.n) AS n, greatest(0, least(d.pos - i.off, d.n - i.n)) AS start
+  FROM doc_grams d JOIN item_grams i ON d.width = i.width AND d.g = i.g),
+inside AS (
+  SELECT s.doc_id, s.length, s.start, s.width, d.g, count(*) AS k FROM spots s JOIN doc_grams d
+  ON d.doc_id = s.doc_id AND d.width = s.width AND d.pos >= s.start AND d.pos <= s.start + s.n - s.width GROUP BY ALL),
+item_bags AS (SELECT item_id, n, width, g, count(*) AS k FROM item_grams GROUP BY ALL),
+pairs AS (
+  SELECT x.doc_id, x.length, x.start, y.item_id, sum(least(x.k, y.k)) AS shared FROM inside x JOIN item_bags y ON y.n = x.length AND y.g = x.g GROUP BY ALL),
+found AS (
+  SELECT p.doc_id, p.item_id, shared::DOUBLE / ((p.length - s.width + 1) + (s.n - s.width + 1) - shared) AS similarity
+  FROM pairs p JOIN spots s ON s.doc_id = p.doc_id AND s.length = p.length AND s.start = p.start),
+hits AS (
+  SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items, max(similarity) AS similarity
+  FROM found WHERE similarity >= 0.8 GROUP BY doc_id)
+SELECT d.doc_id, h.doc_id IS NOT NULL AS contaminated, coalesce(array_to_string(h.items, ','), '') AS items, coalesce(h.similarity, 0.0)::DOUBLE AS similarity
+FROM documents d LEFT JOIN hits h USING (doc_id)
+"""

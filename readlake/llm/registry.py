@@ -15,5 +15,9 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
+    "op2_near_dedup": near_dedup.ORACLE,
+    "op3_quality_rules": quality_rules.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
 }
