@@ -45,9 +45,21 @@ def fused(evidence: DataFrame, weights: DataFrame) -> DataFrame:
     return joined.groupBy("label", "pos", "base").agg(F.sum(F.col("alpha") * F.col("weight")).alias("alpha"))
 
 
-def consensus(reads: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(cluster_id, num_reads, num_high_conf, avg_strength, seq): the base with most evidence at each place, ties in the order A C G T."""
-    best = fused(evidence, read_weights(reads)).groupBy("label", "pos").agg(F.min(F.struct((-F.round("alpha", 9)).alias("m"), "base")).alias("b"))
+def fused_counts(reads: DataFrame, weights: DataFrame, extra: float = 1.0) -> DataFrame:
+    """What fused() gives for pseudo_counts(), with a row for each place of a read and not four."""
+    at = reads.select("read_id", F.posexplode(F.split("seq", "")).alias("pos", "seen")).where("seen <> ''").join(weights, "read_id")
+    sums = at.groupBy("label", "pos").agg(F.sum("weight").alias("w"), *(F.sum(F.when(F.col("seen") == b, F.col("weight")).otherwise(0.0)).alias(b) for b in "ACGT"))
+    bases = F.explode(F.array(*(F.struct(F.lit(b).alias("base"), (extra * F.col("w") + F.col(b)).alias("alpha")) for b in "ACGT")))
+    return sums.select("label", "pos", bases.alias("b")).select("label", "pos", "b.base", "b.alpha")
+
+
+def consensus(reads: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """(cluster_id, num_reads, num_high_conf, avg_strength, seq): the base with most evidence at each place, ties in the order A C G T.
+
+    Without evidence, that of pseudo_counts().
+    """
+    weights = read_weights(reads)
+    best = (fused_counts(reads, weights) if evidence is None else fused(evidence, weights)).groupBy("label", "pos").agg(F.min(F.struct((-F.round("alpha", 9)).alias("m"), "base")).alias("b"))
     seq = best.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("b.base").alias("base")))), lambda x: x["base"]), "").alias("seq"))
     return eligible(reads).join(seq, "label").select(F.col("label").alias("cluster_id"), "num_reads", "num_high_conf", "avg_strength", "seq")
 

@@ -111,3 +111,28 @@ def change_rate(before: DataFrame, after: DataFrame) -> DataFrame:
     """Share of reads (read_id, label) with a label on both sides whose label changed."""
     both = before.select("read_id", F.col("label").alias("old")).join(after.select("read_id", F.col("label").alias("new")), "read_id").where("old >= 0 AND new >= 0")
     return both.agg(F.avg((F.col("old") != F.col("new")).cast("double")).alias("label_change_rate"))
+
+
+def finite(x: Column) -> Column:
+    """The number, or 0 where it is null, not a number or infinite."""
+    x = x.try_cast("double")
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x)
+
+
+def finite_history(values: Column) -> Column:
+    """A history of numbers, each finite; [0.0] where there is none."""
+    return F.when(F.coalesce(F.size(values), F.lit(0)) > 0, F.transform(values, finite)).otherwise(F.array(F.lit(0.0)))
+
+
+def round_summary(state: DataFrame, refined: DataFrame, records: DataFrame, delta: DataFrame, number: int) -> DataFrame:
+    """One row for a round's log: reads, reads kept safe, reassigned and dirty, clusters, mean strength, mean share of confident reads, radius."""
+    status = lambda *names: F.count_if(F.col("status").isin(*names))
+    moves = refined.agg(F.count("*").alias("total_reads"), status("safe").alias("zone1_safe"), status("moved", "confirmed").alias("zone2_reassigned"), status("dirty").alias("zone3_dirty"))
+    shares = records.where("num_reads > 0").agg(F.avg(F.col("num_high_conf") / F.col("num_reads")).alias("avg_hc_ratio"))
+    out = moves.crossJoin(records.agg(F.count("*").alias("final_clusters"))).crossJoin(state.agg(F.avg("strength").alias("avg_strength"))).crossJoin(shares).crossJoin(delta)  # one row each
+    return out.select(F.lit(number).alias("round"), "total_reads", "zone1_safe", "zone2_reassigned", "zone3_dirty", "final_clusters", "avg_strength", F.coalesce("avg_hc_ratio", F.lit(0.0)).alias("avg_hc_ratio"), "delta")
+
+
+def report(row: DataFrame) -> DataFrame:
+    """(value): a text line `name: number` for each column of one row."""
+    return row.select(F.explode(F.array(*(F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in row.columns))).alias("value"))

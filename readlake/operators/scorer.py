@@ -39,10 +39,22 @@ def kmer_embedding(seq: Column, k: int = 2) -> Column:
 
 
 def default_scorer(reads: DataFrame, k: int = 2) -> DataFrame:
-    """reads with embedding, strength, u_epi, u_ale. Counts per (label, place, base) come by aggregation with map-side combine."""
+    """reads with embedding, strength, u_epi, u_ale, each read by its own bases.
+
+    At a place of its cluster a read has evidence for its base from every read there that has it, and evidence against from the others, shared by the other
+    bases: a base that most reads have is sure, one that few have is not. Letters other than A, C, G, T have no evidence for them.
+    Counts per (label, place, base) come by aggregation with map-side combine; a read without bases scores as one place without evidence.
+    """
     places = reads.select("read_id", "label", F.posexplode(F.split("seq", "")).alias("pos", "base")).where("base <> ''")
-    counts = places.groupBy("label", "pos").agg(*(F.sum((F.col("base") == b).cast("double")).alias(b) for b in BASES))
-    alpha = F.array(*(F.col(b) + 1 for b in BASES))
-    scored = counts.select("label", "pos", v.total(alpha).alias("s"), v.epistemic(alpha).alias("e"), v.aleatoric(alpha).alias("a"))
-    each = places.select("read_id", "label", "pos").join(scored, ["label", "pos"]).groupBy("read_id").agg(F.avg("s").alias("strength"), F.avg("e").alias("u_epi"), F.avg("a").alias("u_ale"))
-    return reads.withColumn("embedding", kmer_embedding(F.col("seq"), k)).join(each, "read_id")
+    counts = places.groupBy("label", "pos").agg(F.count("*").alias("n"), *(F.count_if(F.col("base") == b).alias(b) for b in BASES))
+    own = F.explode(F.array(*(F.struct(F.lit(b).alias("base"), F.col(b).alias("own")) for b in BASES), F.struct(F.lit("N").alias("base"), F.lit(0).cast("long").alias("own"))))
+    each_base = counts.select("label", "pos", "n", own.alias("b")).select("label", "pos", "n", "b.base", "b.own")
+    against = (F.col("n") - F.col("own")) / (len(BASES) - 1) + 1
+    alpha = F.array((F.col("own") + 1).cast("double"), *[against] * (len(BASES) - 1))
+    scored = each_base.select("label", "pos", F.col("base").alias("known"), v.total(alpha).alias("s"), v.epistemic(alpha).alias("e"), v.aleatoric(alpha).alias("a"))
+    known = F.when(F.col("base").isin(*BASES), F.col("base")).otherwise("N").alias("known")
+    met = places.select("read_id", "label", "pos", known).join(scored, ["label", "pos", "known"])
+    each = met.groupBy("read_id").agg(F.avg("s").alias("strength"), F.avg("e").alias("u_epi"), F.avg("a").alias("u_ale"))
+    none = F.array(*[F.lit(1.0)] * len(BASES))
+    rows = reads.withColumn("embedding", kmer_embedding(F.col("seq"), k)).join(each, "read_id", "left")
+    return rows.withColumns({"strength": F.coalesce("strength", v.total(none)), "u_epi": F.coalesce("u_epi", v.epistemic(none)), "u_ale": F.coalesce("u_ale", v.aleatoric(none))})

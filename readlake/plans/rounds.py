@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.operators import metrics, refine
+from readlake.operators import decode, metrics, refine
 from readlake.operators.scorer import Scorer, default_scorer
 from readlake.session import keep
 from readlake.sources.sinks import last_round, write_round
@@ -17,7 +17,9 @@ def one_round(reads: DataFrame, labels: DataFrame, number: int, scorer: Scorer =
     cents = keep(refine.centroids(state))
     delta = keep(refine.radius(state, cents))
     done = keep(refine.refine(state, cents, delta, first_round=number == 1))
+    confident = state.select("read_id", "seq", "strength", (F.col("zone") == 1).alias("high_conf")).join(done.select("read_id", F.col("new_label").alias("label")), "read_id")
     return {
+        "summary": metrics.round_summary(state, done, decode.eligible(confident), delta, number),
         "labels": done.select("read_id", F.col("new_label").cast("int").alias("label"), "status"),
         "state": state.select("read_id", "label", "u_epi", "u_ale", "strength", "zone", "embedding"),
         "centroids": cents,
