@@ -132,4 +132,23 @@ def online(reads: DataFrame, cfg: ClusterConfig = ClusterConfig()) -> DataFrame:
 def cluster(reads: DataFrame, cfg: ClusterConfig = ClusterConfig()) -> DataFrame:
     """(read_id, cluster_id), free of order and of prefixes: head anchors within near - 1 differences, by a blocked join."""
     rows = admit(reads, cfg)
-    return founders(anchor_pairs(rows, cfg.near - 1, cfg.depth, cfg.near), rows)
+    return founders(anchor_pairs(rows, cfg.near - 1, cfg.depth, cfg.near + 2), rows)
+
+
+def corrected_cores(members: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
+    """(cluster_id, core): the founder's head anchor after correction. members: cluster_id, core, anchor, one row for each member.
+
+    A place of a core is corrected to the base that most mismatching members have there (ties to the least base) if it has more than
+    `least` mismatches and more than `share` of all mismatches of the cluster. Only as many characters as core and anchor share are compared.
+    """
+    places = members.select("cluster_id", "core", "anchor", F.explode_outer(F.sequence(F.lit(1), F.least(F.length("core"), F.length("anchor")))).alias("pos"))
+    base = F.substr("anchor", F.col("pos"), F.lit(1))
+    off = places.where(base != F.substr("core", F.col("pos"), F.lit(1))).groupBy("cluster_id", "pos", base.alias("base")).agg(F.count("*").alias("n"))
+    at = off.groupBy("cluster_id", "pos").agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("n")).alias("m"), "base")).alias("best"))
+    every = at.groupBy("cluster_id").agg(F.sum("n").alias("total"))
+    wrong = at.join(every, "cluster_id").where((F.col("n") > least) & (F.col("n") > share * F.col("total")))
+    # more than half of all mismatches: one place at most, where share is a half or more
+    fixed = wrong.groupBy("cluster_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "pos", F.col("best.base").alias("base"))).alias("f"))
+    cores = members.groupBy("cluster_id").agg(F.min("core").alias("core")).join(fixed, "cluster_id", "left")
+    core = F.concat(F.substr("core", F.lit(1), F.col("f.pos") - 1), F.col("f.base"), F.substr("core", F.col("f.pos") + 1))
+    return cores.select("cluster_id", F.when(F.col("f").isNull(), F.col("core")).otherwise(core).alias("core"))

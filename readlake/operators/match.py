@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlake.functions.sequence import edit_identity, hamming, identity
 
 
+BROADCAST_ROWS = 20_000
+
+
 def near_lengths(pred: DataFrame, truth: DataFrame, most: int) -> DataFrame:
     """Pairs (pred_id, pred_seq, gt_id, gt_seq) whose lengths differ by `most` at most: an equi-join on buckets of length, then the filter.
 
-    The bucket is most + 1 wide and only the predictions are repeated, for the buckets beside theirs; no pair comes twice.
+    The bucket is most + 1 wide and only the predictions are repeated, for the buckets beside theirs; no pair comes twice. Reads of one
+    length share a bucket, so the references are broadcast where they are counted and few, and predictions stay where they are; where
+    they are many, each reference goes to one of `salts` parts of its bucket and the predictions to all of them.
     """
-    wide = most + 1
-    p = pred.withColumn("bucket", F.explode(F.array(*(F.floor(F.length("pred_seq") / wide).cast("int") + k for k in (-1, 0, 1)))))
-    t = truth.withColumn("bucket", F.floor(F.length("gt_seq") / wide).cast("int"))
-    return p.join(t, "bucket").where(F.abs(F.length("pred_seq") - F.length("gt_seq")) <= most).drop("bucket")
+    wide, salts = most + 1, 16
+    if truth.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        p = pred.withColumn("bucket", F.floor(F.length("pred_seq") / wide).cast("int"))
+        t = truth.withColumn("bucket", F.explode(F.array(*(F.floor(F.length("gt_seq") / wide).cast("int") + k for k in (-1, 0, 1)))))
+        return p.join(F.broadcast(t), "bucket").where(F.abs(F.length("pred_seq") - F.length("gt_seq")) <= most).drop("bucket")
+    p = pred.withColumn("bucket", F.explode(F.array(*(F.floor(F.length("pred_seq") / wide).cast("int") + k for k in (-1, 0, 1))))).withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    t = truth.withColumns({"bucket": F.floor(F.length("gt_seq") / wide).cast("int"), "salt": F.pmod(F.xxhash64("gt_id"), F.lit(salts)).cast("int")})
+    return p.join(t, ["bucket", "salt"]).where(F.abs(F.length("pred_seq") - F.length("gt_seq")) <= most).drop("bucket", "salt")
 
 
 def best_match(pairs: DataFrame, score: Column, by: str = "pred_id") -> DataFrame:
@@ -61,27 +74,48 @@ def coverage(absent: DataFrame, reads: DataFrame, key: str, low: int = 5) -> Dat
     return absent.join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n_reads")).withColumn("low", F.col("n_reads") < low)
 
 
-def anchor_pairs(reads: DataFrame, most: int = 2, depth: int = 15, parts: int = 3) -> DataFrame:
+def _code(anchor: Column, depth: int) -> Column:
+    """The bases as a number of four bits each; null if there are other letters than A, C, G, T, N, or over 15 of them."""
+    if depth > 15:
+        return F.lit(None).cast("long")
+    return F.when(~anchor.rlike("[^ACGTN]"), F.conv(F.translate(anchor, "ACGTN", "01234"), 16, 10).cast("long"))
+
+
+def anchor_pairs(reads: DataFrame, most: int = 2, depth: int = 15, parts: int = 5) -> DataFrame:
     """(left_id, right_id, distance): reads whose head anchors differ in `most` places at most.
 
-    Pigeonhole: of most + 1 parts of an anchor at least one is intact, so joining on (part, bases) loses no pair. Equal anchors
-    are joined once: the pairs are of distinct anchors, each with its least read_id, plus every read with its anchor's least.
+    Pigeonhole: of `parts` parts of an anchor at least parts - most are intact, so joining on every choice of so many parts loses no pair,
+    with keys of parts - most parts, not of one: candidates stay near the number of pairs. A pair counts at its first common key only. Equal
+    anchors are joined once: the pairs are of distinct anchors, each with its least read_id, plus every read with its anchor's least.
     """
     if parts <= most:
         raise ValueError("more parts than differences are needed")
-    size = depth // parts
+    cuts = [depth * i // parts for i in range(parts + 1)]
+    choices = [*combinations(range(parts), parts - most)]
     anchors = reads.where(F.length("seq") >= depth).select("read_id", F.substring("seq", 1, depth).alias("anchor"))
-    each = anchors.groupBy("anchor").agg(F.min("read_id").alias("id"))
-    keyed = each.withColumn("part", F.explode(F.array(*map(F.lit, range(parts))))).withColumn("key", F.substr("anchor", F.col("part") * size + 1, F.lit(size)))
-    right = keyed.select(F.col("id").alias("right_id"), F.col("anchor").alias("right_anchor"), "part", "key")
-    met = keyed.join(right, ["part", "key"]).where(F.col("id") < F.col("right_id"))
-    far = hamming(F.col("anchor"), F.col("right_anchor"))
-    between = met.select("id", "right_id", far.alias("distance")).where(F.col("distance") <= most).distinct()
+    each = anchors.groupBy("anchor").agg(F.min("read_id").alias("id")).withColumn("code", _code(F.col("anchor"), depth))
+    part = lambda c, i: F.substring(c, cuts[i] + 1, cuts[i + 1] - cuts[i])
+    keys = [F.struct(F.lit(k).alias("choice"), F.concat(*(part("anchor", i) for i in some)).alias("key")) for k, some in enumerate(choices)]
+    keyed = each.select("id", "anchor", "code", F.explode(F.array(*keys)).alias("k")).select("id", "anchor", "code", "k.choice", "k.key")
+    right = keyed.select(F.col("id").alias("right_id"), F.col("anchor").alias("right_anchor"), F.col("code").alias("right_code"), "choice", "key")
+    met = keyed.join(right, ["choice", "key"]).where(F.col("id") < F.col("right_id"))
+    # one bit for each base that differs
+    apart = F.expr("(code ^ right_code)")
+    apart = apart.bitwiseOR(F.shiftright(apart, 1)).bitwiseOR(F.shiftright(apart, 2)).bitwiseAND(F.lit(int("1" * 15, 16)))
+    far = F.coalesce(F.bit_count(apart), hamming(F.col("anchor"), F.col("right_anchor")))
+    intact = [part("anchor", i) == part("right_anchor", i) for i in range(parts)]
+    first = F.coalesce(*(F.when(reduce(and_, (intact[i] for i in some)), F.lit(k)) for k, some in enumerate(choices)))
+    between = met.where((far <= most) & (F.col("choice") == first)).select(F.col("id").alias("left_id"), "right_id", far.cast("int").alias("distance"))
     inside = anchors.join(each, "anchor").where("read_id <> id").select(F.col("id").alias("left_id"), F.col("read_id").alias("right_id"), F.lit(0).alias("distance"))
-    return between.select(F.col("id").alias("left_id"), "right_id", "distance").unionByName(inside)
+    return between.unionByName(inside)
 
 
 def founders(pairs: DataFrame, reads: DataFrame) -> DataFrame:
     """(read_id, cluster_id): each read joins its least direct neighbour, itself included; not transitive, free of order."""
     near = pairs.groupBy(F.col("right_id").alias("read_id")).agg(F.min("left_id").alias("founder"))
     return reads.select("read_id").join(near, "read_id", "left").select("read_id", F.coalesce("founder", "read_id").alias("cluster_id"))
+
+
+def identity_summary(scores: DataFrame, score: str = "score", perfect: float = 0.99) -> DataFrame:
+    """n, mean_identity, n_perfect (above `perfect`)."""
+    return scores.agg(F.count("*").alias("n"), F.avg(score).alias("mean_identity"), F.count_if(F.col(score) > perfect).alias("n_perfect"))
