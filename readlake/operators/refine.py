@@ -18,12 +18,37 @@ DIRTY, SAFE = 0.90, 0.70
 BROADCAST_ROWS = 20_000
 
 
+def exact_percentile(rows: DataFrame, column: str, share: float, most: int = 1_000_000) -> float | None:
+    """The interpolated percentile, as Spark's own gives it, which holds every distinct value in one task: here approximate percentiles narrow
+    the values down first, until `most` rows or one value are left between the bounds. A few numbers go to the driver each time."""
+    x = F.col(column)
+    rows = rows.where(x.isNotNull()).select(x)
+    n = rows.count()
+    if not n:
+        return None
+    rank, below, left = share * (n - 1), 0, n
+    while left > most:
+        f, edge = (rank - below) / max(1, left - 1), 4 / most**0.5
+        low, high = rows.agg(F.percentile_approx(column, [max(0.0, f - edge), min(1.0, f + edge)], int(4 / edge) + 1000)).first()[0]
+        # the values at both whole ranks beside the wanted one must stay inside
+        under, upto = rows.agg(F.count_if(x < low), F.count_if(x <= high)).first()
+        keep_low, keep_high = below + under <= int(rank), int(rank) + 1 < below + upto
+        inside = rows.where((x >= low if keep_low else F.lit(True)) & (x <= high if keep_high else F.lit(True)))
+        now = (upto if keep_high else left) - (under if keep_low else 0)
+        if low == high and keep_low and keep_high:
+            return float(low)
+        if now >= left:
+            break
+        rows, below, left = inside, below + (under if keep_low else 0), now
+    return rows.agg(F.percentile(column, F.lit((rank - below) / (left - 1) if left > 1 else 0.0))).first()[0]
+
+
 def zone_cuts(reads: DataFrame, dirty: float = DIRTY, safe: float = SAFE) -> DataFrame:
     """One row (cut_ale, cut_epi): the aleatoric quantile over labelled reads, then the epistemic one over those below it."""
     labelled = reads.where("label >= 0")
-    ale = labelled.agg(F.percentile("u_ale", F.lit(dirty)).alias("cut_ale"))
-    below = labelled.join(F.broadcast(ale), F.col("u_ale") < F.col("cut_ale"))  # ale is one row
-    return ale.crossJoin(below.agg(F.percentile("u_epi", F.lit(safe)).alias("cut_epi")))
+    ale = exact_percentile(labelled, "u_ale", dirty)
+    epi = None if ale is None else exact_percentile(labelled.where(F.col("u_ale") < ale), "u_epi", safe)
+    return reads.sparkSession.createDataFrame([(ale, epi)], "cut_ale double, cut_epi double")
 
 
 def zones(reads: DataFrame, dirty: float = DIRTY, safe: float = SAFE) -> DataFrame:
@@ -55,7 +80,8 @@ def own_distances(reads: DataFrame, cents: DataFrame) -> DataFrame:
 def radius(reads: DataFrame, cents: DataFrame, quantile: float = 0.95, fallback: float = 0.5) -> DataFrame:
     """One row (delta): the quantile of safe reads' distances to their centroids, over all of them."""
     d = own_distances(reads.where("zone = 1"), cents)
-    return d.agg(F.coalesce(F.percentile("own_distance", F.lit(quantile)), F.lit(fallback)).alias("delta"))
+    found = exact_percentile(d, "own_distance", quantile)
+    return reads.sparkSession.createDataFrame([(fallback if found is None else found,)], "delta double")
 
 
 def nearest_sql(reads: DataFrame, cents: DataFrame) -> DataFrame:

@@ -80,6 +80,28 @@ def to_blocks(rows: DataFrame, voted: DataFrame, cluster: str = "cid") -> DataFr
     return members.join(voted.select(cluster, F.col("ref_seq").alias("reference")), cluster)
 
 
+def founder_blocks(reads: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(cid, reference, read_id, seq): the members of each founder that is itself among the reads; the founder's own read is the reference."""
+    followers = assignments.select("read_id", F.col("cluster_id").alias("cid")).where("read_id <> cid")
+    found = reads.select(F.col("read_id").alias("cid"), F.col("seq").alias("reference")).join(followers.select("cid").distinct(), "cid", "left_semi")
+    members = followers.join(reads.select("read_id", "seq"), "read_id")
+    return found.join(members, "cid", "left").select("cid", "reference", "read_id", "seq")
+
+
+def noise_share(reads: DataFrame, assignments: DataFrame) -> DataFrame:
+    """n_reads, n_noise, noise_share: reads that no assignment names as a member."""
+    known = assignments.select("read_id").distinct().withColumn("known", F.lit(True))
+    out = reads.select("read_id").join(known, "read_id", "left").agg(F.count("*").alias("n_reads"), F.count_if(F.col("known").isNull()).alias("n_noise"))
+    return out.withColumn("noise_share", F.col("n_noise") / F.col("n_reads"))
+
+
+def kept_labels(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(read_id, label): the new labels if there are as many as reads, else the old ones."""
+    counts = old.agg(F.count("*").alias("n_old")).crossJoin(new.agg(F.count("*").alias("n_new")))  # one row each
+    both = old.select("read_id", F.col("label").alias("old")).join(new.select("read_id", F.col("label").alias("new")), "read_id", "left")
+    return both.crossJoin(F.broadcast(counts)).select("read_id", F.when(F.col("n_old") == F.col("n_new"), F.coalesce("new", "old")).otherwise(F.col("old")).alias("label"))
+
+
 def numbered(rows: DataFrame, order: str, chunk: int = 5_000_000) -> DataFrame:
     """line_no (1-based, by `order`) and chunk_id. Ranges of `order` are numbered in parallel and moved by the counts before them.
 

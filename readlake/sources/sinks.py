@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readlake.operators.metrics import report
+
 
 def write_assignments(pairs: DataFrame, path: str) -> None:
-    """One literal list for each partition's share of founders: readers take any number of lists."""
-    one = F.concat(F.lit("('"), F.col("read_id"), F.lit("', '"), F.col("cluster_id"), F.lit("')"))
-    pairs.groupBy("cluster_id").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(one)), ", "), F.lit("]")).alias("value")).select("value").write.text(path)
+    """A literal list for each pair, a line each, with no shuffle: readers take any number of lists."""
+    pairs.select(F.concat(F.lit("[('"), F.col("read_id"), F.lit("', '"), F.col("cluster_id"), F.lit("')]")).alias("value")).write.text(path)
 
 
 def write_metadata(meta: DataFrame, path: str) -> None:
@@ -23,6 +24,21 @@ def write_blocks(blocks: DataFrame, path: str, cluster: str = "cid") -> None:
     blocks.repartitionByRange(cluster).sortWithinPartitions(cluster).select(F.array_join(lines, "\n").alias("value")).write.text(path)
 
 
+def write_block_lines(members: DataFrame, path: str, cluster: str = "cid") -> None:
+    """The same file from rows (cluster, reference, read_id, seq), sorted, so that no cluster is gathered into one value. A null seq is no read."""
+    ends = members.groupBy(cluster).agg(F.min("reference").alias("reference")).select(
+        cluster, F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("reference").alias("value")), F.struct(F.lit(2).alias("part"), F.lit("=" * 32).alias("value")))).alias("e")
+    )
+    rows = ends.select(cluster, "e.part", F.lit(None).cast(members.schema["read_id"].dataType).alias("read_id"), "e.value")
+    rows = rows.unionByName(members.where("seq IS NOT NULL").select(cluster, F.lit(1).alias("part"), "read_id", F.col("seq").alias("value")))
+    rows.repartitionByRange(cluster, "part", "read_id").sortWithinPartitions(cluster, "part", "read_id").select("value").write.text(path)
+
+
+def write_report(row: DataFrame, path: str) -> None:
+    """One row as text lines `name: number`."""
+    report(row).coalesce(1).write.text(path)
+
+
 def write_references(blocks: DataFrame, path: str, cluster: str = "cid") -> None:
     blocks.repartitionByRange(cluster).sortWithinPartitions(cluster).select(F.concat(F.lit(">"), F.col(cluster), F.lit("\n"), F.col("reference")).alias("value")).write.text(path)
 

@@ -1,7 +1,8 @@
 """Readers of the text formats of reads, references, assignments, blocks, labels and truth. Every row carries an explicit id.
 
 Text files have no order in Spark, so lines are numbered by file and block: lines of a block reach one task in order, are numbered
-there, and then moved by the counts of the blocks before. Line numbers count all physical lines of a file from 1.
+there, and then moved by the counts of the blocks before. Line numbers count all physical lines of a file from 1; records are told apart by
+counts of marked lines, made in the same way, so that a file of any size is read by many tasks.
 """
 
 from __future__ import annotations
@@ -15,25 +16,34 @@ from pyspark.sql import functions as F
 from readlake.functions import sequence as s
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no, value. Large files split into blocks; lines are numbered in each block and moved by the blocks before."""
-    raw = spark.read.option("wholetext", "false").option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
-    numbered = raw.mapInArrow(_in_block, "path string, block long, in_block long, value string")
-    sizes = numbered.groupBy("path", "block").agg(F.max("in_block").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return numbered.join(before.select("path", "block", "before"), ["path", "block"]).select("path", (F.col("before") + F.col("in_block")).alias("line_no"), F.rtrim(F.regexp_replace("value", "\r$", "")).alias("value"))
+def lines(spark: SparkSession, path: str, mark: Column | None = None) -> DataFrame:
+    """path, line_no, value; with `mark`, a condition on value, also marks: how many lines of the file up to this one meet it.
+
+    Large files split into blocks; lines are numbered, and marks counted, in each block and moved by the blocks before, so that no file is the work of one task.
+    """
+    text = F.rtrim(F.regexp_replace("value", "\r$", "")).alias("value")
+    raw = spark.read.option("wholetext", "false").option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), text)
+    raw = raw.withColumn("mark", F.lit(False) if mark is None else F.coalesce(mark, F.lit(False)))
+    numbered = raw.mapInArrow(_in_block, "path string, block long, in_block long, marks_in_block long, value string")
+    sizes = numbered.groupBy("path", "block").agg(F.max("in_block").alias("n"), F.max("marks_in_block").alias("m"))  # a row for each block
+    over = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("path", "block", *(F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"before_{c}") for c in "nm"))
+    found = numbered.join(before, ["path", "block"])
+    marks = [] if mark is None else [(F.col("before_m") + F.col("marks_in_block")).alias("marks")]
+    return found.select("path", (F.col("before_n") + F.col("in_block")).alias("line_no"), "value", *marks)
 
 
 def _in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers the lines of each block of a file from 1; a block's lines reach one task in order."""
-    key, n = None, 0
+    """Numbers the lines of each block of a file from 1, and counts its marks; a block's lines reach one task in order."""
+    key, n, m = None, 0, 0
     for batch in batches:
-        out = []
-        for path, block in zip(batch.column("path").to_pylist(), batch.column("block").to_pylist(), strict=True):
-            n = n + 1 if (path, block) == key else 1
+        out, marks = [], []
+        for path, block, mark in zip(*(batch.column(c).to_pylist() for c in ("path", "block", "mark")), strict=True):
+            n, m = (n + 1, m + mark) if (path, block) == key else (1, int(mark))
             key = (path, block)
             out.append(n)
-        yield pa.record_batch([batch.column("path"), batch.column("block"), pa.array(out, pa.int64()), batch.column("value")], ["path", "block", "in_block", "value"])
+            marks.append(m)
+        yield pa.record_batch([batch.column("path"), batch.column("block"), pa.array(out, pa.int64()), pa.array(marks, pa.int64()), batch.column("value")], ["path", "block", "in_block", "marks_in_block", "value"])
 
 
 def _parts(value: str | Column = "value") -> Column:
@@ -53,8 +63,7 @@ def read_tagged(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str, last_line_only: bool = False) -> DataFrame:
     """name, seq: headers begin with >; wrapped sequences are joined, or only their last line is kept."""
-    over = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines(spark, path).where("value <> ''").withColumn("record", F.sum(F.col("value").startswith(">").cast("long")).over(over)).where("record > 0")
+    rows = lines(spark, path, F.col("value").startswith(">")).withColumnRenamed("marks", "record").where("value <> '' AND record > 0")
     body = F.transform(F.array_sort(F.collect_list(F.when(~F.col("value").startswith(">"), F.struct("line_no", F.trim("value").alias("v"))))), lambda x: x["v"])
     rows = rows.groupBy("path", "record").agg(F.max(F.when(F.col("value").startswith(">"), F.substring("value", 2, 1 << 30))).alias("name"), body.alias("body"))
     seq = F.coalesce(F.try_element_at("body", F.lit(-1)), F.lit("")) if last_line_only else F.array_join("body", "")
@@ -68,18 +77,30 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return rows.agg(at(0).alias("name"), at(1).alias("seq")).where("name LIKE '@%'").select(F.substring("name", 2, 1 << 30).alias("name"), "seq")
 
 
+def _first_lines(rows: DataFrame) -> DataFrame:
+    """(path, first): the first line of each file that isn't blank. rows: lines() marked by that."""
+    return rows.where("marks = 1 AND value <> ''").groupBy("path").agg(F.min("value").alias("first"))
+
+
 def read_references(spark: SparkSession, path: str) -> DataFrame:
-    """tag, ref_seq from FASTA, or from bare alternating lines of tag and sequence: the first line of each file tells."""
-    rows = lines(spark, path).where("value <> ''")
-    fasta = rows.where("line_no = 1").groupBy("path").agg(F.max(F.col("value").startswith(">")).alias("is_fasta"))
-    bare = rows.join(fasta.where("NOT is_fasta"), "path", "left_semi").withColumn("record", F.expr("(line_no - 1) div 2")).groupBy("path", "record")
-    at = lambda k: F.max(F.when((F.col("line_no") - 1) % 2 == k, F.trim("value")))
+    """tag, ref_seq from FASTA, or from bare alternating lines of tag and sequence: the first line that isn't blank tells. Blank lines don't count."""
+    rows = lines(spark, path, F.col("value") != "")
+    plain = _first_lines(rows).where("NOT first LIKE '>%'")
+    bare = rows.where("value <> ''").join(plain, "path", "left_semi").withColumn("record", F.expr("(marks - 1) div 2")).groupBy("path", "record")
+    at = lambda k: F.max(F.when((F.col("marks") - 1) % 2 == k, F.trim("value")))
     return read_fasta(spark, path).select(F.col("name").alias("tag"), F.col("seq").alias("ref_seq")).unionByName(bare.agg(at(0).alias("tag"), at(1).alias("ref_seq")).select("tag", "ref_seq"))
 
 
-def read_consensus(spark: SparkSession, path: str) -> DataFrame:
-    """cluster_id, num_reads, num_high_conf, avg_strength, seq from a consensus FASTA."""
-    return read_fasta(spark, path).select(*(x.alias(k) for k, x in s.header_fields(F.col("name")).items()), "seq")
+def read_consensus(spark: SparkSession, path: str, no_count: int = 1) -> DataFrame:
+    """cluster_id, num_reads (no_count where the header names none), num_high_conf, avg_strength, seq from a consensus FASTA."""
+    rows = read_fasta(spark, path).select(*(x.alias(k) for k, x in s.header_fields(F.col("name")).items()), "seq")
+    return rows.withColumn("num_reads", F.coalesce("num_reads", F.lit(no_count)))
+
+
+def read_bulk(spark: SparkSession, path: str, star: bool = False) -> DataFrame:
+    """line_no, read_id, seq of lines `<id> <seq>` without an N anywhere in the line, and with `star` without a * too."""
+    clean = ~F.col("value").contains("N") & (~F.col("value").contains("*") if star else F.lit(True))
+    return lines(spark, path).where(clean & (F.size(_parts()) >= 2)).select("line_no", F.get(_parts(), F.lit(0)).alias("read_id"), F.element_at(_parts(), -1).alias("seq"))
 
 
 def read_assignments(spark: SparkSession, path: str, drop_noise: bool = True) -> DataFrame:
@@ -92,10 +113,9 @@ def read_assignments(spark: SparkSession, path: str, drop_noise: bool = True) ->
 
 
 def read_blocks(spark: SparkSession, path: str, separator: str = "====") -> DataFrame:
-    """block_id, pos, seq, is_ref: a block's first line is its reference; a line of = ends it. Numbers begin at 0."""
-    over = Window.partitionBy("path").orderBy("line_no")
-    rows = lines(spark, path).where("value <> ''").withColumn("sep", F.col("value").startswith(separator))
-    rows = rows.withColumn("block_id", F.coalesce(F.sum(F.col("sep").cast("long")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("NOT sep")
+    """block_id, pos, seq, is_ref: a block's first line is its reference; a line of = ends it. Numbers begin at 0, blocks without lines count."""
+    rows = lines(spark, path, F.col("value").startswith(separator)).withColumnRenamed("marks", "block_id")
+    rows = rows.where(F.col("value") != "").where(~F.col("value").startswith(separator))
     pos = F.row_number().over(Window.partitionBy("path", "block_id").orderBy("line_no")) - 1
     return rows.withColumn("pos", pos).select("block_id", "pos", F.trim("value").alias("seq"), (F.col("pos") == 0).alias("is_ref"))
 
@@ -123,16 +143,19 @@ def read_centers(spark: SparkSession, path: str, longer_than: int = 20) -> DataF
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct read_id of FASTA, FASTQ or plain files; comments with # go."""
-    rows = lines(spark, path).where("value <> '' AND NOT value LIKE '#%'")
-    return rows.select(F.when(F.col("value").rlike("^[>@]"), F.regexp_extract("value", r"^[>@](\S+)", 1)).when(F.size(_parts()) >= 2, F.get(_parts(), F.lit(0))).alias("read_id")).where("read_id IS NOT NULL").distinct()
+    """Distinct read_id of FASTA, FASTQ or plain files; comments with # go. In a file that begins with @, ids are the first of every four lines."""
+    rows = lines(spark, path, F.col("value") != "")
+    rows = rows.where("value <> ''").join(_first_lines(rows), "path")
+    fastq = F.col("first").startswith("@")
+    header = F.when(fastq, (F.col("marks") - 1) % 4 == 0).otherwise(F.col("value").startswith(">"))
+    plain = ~fastq & ~F.col("value").startswith("#") & (F.size(_parts()) >= 2)
+    return rows.select(F.when(header, F.regexp_extract("value", r"^[>@](\S+)", 1)).when(plain, F.get(_parts(), F.lit(0))).alias("read_id")).where("read_id IS NOT NULL").distinct()
 
 
 def read_training(spark: SparkSession, root: str, dataset: str, split: str) -> DataFrame:
     """dataset, split, block_id, reads, reference: blocks of reads.txt paired with the lines of reference.txt; empty blocks go."""
-    rows = lines(spark, f"{root}/{dataset}/{split}/reads.txt").withColumn("sep", F.col("value").startswith("="))
-    over = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("block_id", F.coalesce(F.sum(F.col("sep").cast("long")).over(over), F.lit(0))).where("NOT sep AND value <> ''")
+    rows = lines(spark, f"{root}/{dataset}/{split}/reads.txt", F.col("value").startswith("=")).withColumnRenamed("marks", "block_id")
+    rows = rows.where(F.col("value") != "").where(~F.col("value").startswith("="))
     reads = rows.groupBy("block_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]).alias("reads"))
     refs = lines(spark, f"{root}/{dataset}/{split}/reference.txt").select((F.col("line_no") - 1).alias("block_id"), F.col("value").alias("reference"))
     return reads.join(refs, "block_id").select(F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), "block_id", "reads", "reference")
