@@ -618,7 +618,7 @@ def _labelled_reads(spark: SparkSession, d: str) -> DataFrame:
 
 def _consensus(spark: SparkSession, d: str) -> DataFrame:
     rows = keep(_labelled_reads(spark, d))
-    return decode.consensus(rows, decode.pseudo_counts(rows))
+    return decode.consensus(rows)
 
 
 @query(_CONS + "\nSELECT label AS cluster_id, num_reads, num_high_conf, round(avg_strength, 6)::DOUBLE AS avg_strength, seq FROM el JOIN co USING (label)")
@@ -701,10 +701,10 @@ def sorted_range(spark: SparkSession, d: str) -> DataFrame:
     return rows.repartitionByRange("cid", "tag", "line").sortWithinPartitions("cid", "tag", "line")
 
 
-@query()
+@query(R + "\nSELECT read_id, seq FROM r ORDER BY md5('42:' || read_id), read_id LIMIT 2000")
 def hash_sample(spark: SparkSession, d: str) -> DataFrame:
-    """2,000 reads at most, the same in every run: the sample is the feature. The engines' hashes differ, so there is no SQL."""
-    return views.reads(spark, d).select("read_id", "seq").orderBy(F.xxhash64("read_id", F.lit(42)), "read_id").limit(2000)
+    """2,000 reads at most, the same in every run: the sample is the feature."""
+    return batches.shuffled(views.reads(spark, d).select("read_id", "seq"), "read_id", 42).orderBy("place", "read_id").limit(2000).drop("place")
 
 
 @query(R + "\nSELECT read_id, seq FROM r UNION ALL SELECT doc_id, source FROM documents")
@@ -753,19 +753,37 @@ def kmer_counts(spark: SparkSession, d: str) -> DataFrame:
     return scorer.kmer_counts(views.reads(spark, d), 3)
 
 
-_SIZES = R + ",\nz AS (SELECT cid, count(*) AS n FROM r GROUP BY 1),\nb AS (SELECT cid, n, CASE WHEN n < 2 THEN -1 ELSE coalesce(sum(CASE WHEN n >= 2 THEN n END) OVER (ORDER BY cid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 64 END::BIGINT AS batch_id FROM z)"
+_PACKED = (
+    R.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """,
+z AS (SELECT cid, count(*) AS n FROM r GROUP BY 1),
+big AS (SELECT cid, n, row_number() OVER (ORDER BY cid) AS k FROM z WHERE n >= 2),
+-- batch: the last one begun; room and held: what is left in it, and its clusters
+walk AS (
+  SELECT 0::BIGINT AS k, NULL::VARCHAR AS cid, 0::BIGINT AS n, -1::BIGINT AS first, -1::BIGINT AS batch, 0::BIGINT AS room, 0::BIGINT AS held
+  UNION ALL
+  SELECT big.k, big.cid, big.n, CASE WHEN big.n > 64 OR big.n > room OR held >= 64 THEN batch + 1 ELSE batch END,
+         CASE WHEN big.n > 64 THEN batch + (big.n + 63) // 64 WHEN big.n > room OR held >= 64 THEN batch + 1 ELSE batch END,
+         CASE WHEN big.n > 64 THEN 0 WHEN big.n > room OR held >= 64 THEN 64 - big.n ELSE room - big.n END,
+         CASE WHEN big.n > 64 THEN held WHEN big.n > room OR held >= 64 THEN 1 ELSE held + 1 END
+  FROM walk JOIN big ON big.k = walk.k + 1),
+cut AS (SELECT cid, n, first, unnest(range(0, CASE WHEN n > 64 THEN (n + 63) // 64 ELSE 1 END)) AS j FROM walk WHERE k > 0),
+single AS (SELECT cid, n, (SELECT max(batch) FROM walk) + 1 + (row_number() OVER (ORDER BY cid) - 1) // 64 AS batch_id FROM z WHERE n < 2),
+b AS (SELECT cid, n, (first + j)::BIGINT AS batch_id, (j * 64)::BIGINT AS begin, least(64, n - j * 64)::BIGINT AS taken FROM cut
+  UNION ALL SELECT cid, n, batch_id::BIGINT, 0::BIGINT, n FROM single)"""
+)
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     return batches.pack(views.reads(spark, d).groupBy("cid").agg(F.count("*").alias("n")), 64)
 
 
-@query(_SIZES + "\nSELECT cid, n, batch_id FROM b")
+@query(_PACKED + "\nSELECT cid, n, batch_id, begin, taken FROM b")
 def batch_packing(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).select("cid", "n", "batch_id")
+    return _packed(spark, d).select("cid", "n", "batch_id", "begin", "taken")
 
 
-@query(_SIZES + "\nSELECT count(*) AS n_batches, round(avg(s), 6)::DOUBLE AS mean_size, sum(k)::BIGINT AS n_clusters, (SELECT count(*) FROM b WHERE batch_id < 0) AS n_singletons FROM (SELECT batch_id, sum(n) AS s, count(*) AS k FROM b WHERE batch_id >= 0 GROUP BY 1)")
+@query(_PACKED + "\nSELECT count(*) AS n_batches, round(avg(s), 6)::DOUBLE AS mean_size, (SELECT count(*) FROM z WHERE n >= 2) AS n_clusters, (SELECT count(*) FROM z WHERE n < 2) AS n_singletons FROM (SELECT batch_id, sum(taken) AS s FROM b GROUP BY 1)")
 def batch_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(batches.batch_statistics(_packed(spark, d)))
 
