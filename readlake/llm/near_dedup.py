@@ -148,8 +148,8 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT, groups: int = GRO
     classes = own.where("n > 1").drop("ka", "kb")
     pairs = F.array(*(F.xxhash64(F.lit(groups * i + j), F.get("ka", F.lit(i)), F.get("kb", F.lit(j))) for i in range(groups) for j in range(groups)))
     keys = own.select("rep", pairs.alias("keys")).select("rep", F.explode_outer("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    members = c.cut(keys.join(shared.select("key"), "key"))
+    shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    members = c.cut(_met(keys, shared.select("key", "n", "lo"), ["lo"], "rep").drop("lo"))
 
     ids = members.select(F.col("rep").alias("id")).distinct()
     texts = c.cut(packed_texts(docs).join(ids, "id", "left_semi").distinct())
@@ -167,8 +167,8 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT, groups: int = GRO
             live = _mixed(members, labels, caps)
         if turn < 2:
             rank = F.struct(F.lit(0.0), F.col("id")) if not turn else F.struct(F.col("own"), F.col("id"))
-            first = live.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), F.col("id"), F.col("component"))).alias("first"))
-            met = live.join(first, "key").where(F.col("component") != F.col("first.component"))
+            first = live.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), F.col("id"), F.col("component"))).alias("first"), F.count("*").alias("n_rows"))
+            met = _met(live, first, ["first"], "id", "n_rows").where(F.col("component") != F.col("first.component"))
             asked = met.groupBy(F.col("id").alias("v")).agg(F.min("first").alias("first")).select(F.col("first.id").alias("u"), "v")
             del first, met
         else:
@@ -216,8 +216,8 @@ def prefix_pairs(live: DataFrame, held: DataFrame, percent: int, seen: int = 16)
     first `seen` shingles of both tell: long near copies share hundreds. Near copies with edits of their own, in whatever number,
     have prefixes full of these edits and never meet; buckets would bring all of them together.
     """
-    least = live.groupBy("key").agg(F.min("n").alias("m"))
-    about = live.join(least, "key").groupBy("id").agg(F.min("m").alias("m"), F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("component").alias("component"), F.first("parity").alias("parity"))
+    least = live.groupBy("key").agg(F.min("n").alias("m"), F.count("*").alias("n_rows"))
+    about = _met(live, least, ["m"], "id", "n_rows").groupBy("id").agg(F.min("m").alias("m"), F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("component").alias("component"), F.first("parity").alias("parity"))
     m = F.greatest(F.col("m"), F.ceil(F.col("n") * percent / 100).cast("long"))
     prefix = F.col("n") - F.ceil(percent * (F.col("n") + m) / (100 + percent)).cast("int") + 1 - F.col("alone")
     about = about.select("id", "n", "alone", "component", "parity", prefix.cast("int").alias("prefix")).where("prefix > 0")
@@ -232,15 +232,21 @@ def prefix_pairs(live: DataFrame, held: DataFrame, percent: int, seen: int = 16)
     return rows.join(other, "h").where((F.col("u") < F.col("id")) & (F.col("cu") != F.col("component")) & fits & close & first).select("u", F.col("id").alias("v")).distinct()
 
 
+def _met(rows: DataFrame, counted: DataFrame, values: list[str], by: str, n: str = "n") -> DataFrame:
+    """The rows whose bucket is in counted, with its values; a bucket of very many rows is not the work of one task."""
+    joined = c.join_counted(rows, c.cut(counted.select("key", n, *values)), ["key"], n, values, F.xxhash64(by, "key"))
+    return joined.where(F.col(values[0]).isNotNull())
+
+
 def _mixed(members: DataFrame, labels: DataFrame, caps: DataFrame | None = None) -> DataFrame:
     """key, id, component of the buckets that hold more than one component; with caps, of sets that can have a partner in the bucket."""
     rows = members.join(labels, members["rep"] == labels["id"]).select("key", "id", "component")
     if caps is not None:
         rows = rows.join(caps, "id")
-        ends = rows.groupBy("key").agg(F.min("n").alias("least"), F.max("cap").alias("most"))
-        rows = rows.join(ends, "key").where("cap >= least AND n <= most").drop("least", "most")
-    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    return c.cut(rows.join(mixed, "key"))
+        ends = rows.groupBy("key").agg(F.min("n").alias("least"), F.max("cap").alias("most"), F.count("*").alias("n_rows"))
+        rows = _met(rows, ends, ["least", "most"], "id", "n_rows").where("cap >= least AND n <= most").drop("least", "most")
+    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n_rows")).where("lo < hi")
+    return c.cut(_met(rows, mixed, ["lo"], "id", "n_rows").drop("lo"))
 
 
 def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
