@@ -4,9 +4,9 @@ Texts are A-Z folded and cut into words; a shingle is five words (an item under
 document is as long as an item and lies where a shingle of the document meets the same shingle of some item of that
 length, moved inside the document at its ends; a window without a common shingle has similarity 0 to every item. Each window
 and each item gets a SimHash of 256 bits of its shingles, counted with their multiplicity. The bits are cut into 16 blocks of 16. Two
-fingerprints within radius 63 differ in at most 3 bits of some block, and then one bit turned on the window's side and two on the item's
-make the blocks equal. So an index of every block of every item under each change of two bits or fewer, asked with each change of one bit
-or none, finds all of them by a join on one key, and takes about a sixth of unlike pairs of one length. A pair counts at its first such
+fingerprints within radius 63 differ in at most 3 bits of some block, and then two bits turned on the window's side and one on the item's
+make the blocks equal. So an index of every block of every item under each change of one bit or none, asked with each change of two bits or
+fewer, finds all of them by a join on one key, and takes about a sixth of unlike pairs of one length. A pair counts at its first such
 block and at one pair of changes only. What is within the radius is verified exactly: sum of least multiplicities over sum of greatest,
 against min_similarity. Items of more than 16,000 shingles, which the counters of the fingerprint don't hold, are verified without it.
 
@@ -100,7 +100,7 @@ def _first_meeting(a: str, b: str) -> Column:
     block = lambda i: F.shiftrightunsigned(apart[i // 4], 16 * (i % 4)).bitwiseAND(F.lit(65535))
     first = F.coalesce(*(F.when(F.bit_count(block(i)) <= APART, F.lit(i)) for i in range(BLOCKS)))
     own = F.expr(f"shiftrightunsigned({a}[block div 4] ^ {b}[block div 4], 16 * (block % 4)) & 65535L")
-    counts = F.when(F.bit_count(own) == APART, own.bitwiseAND(-own)).otherwise(F.lit(0).cast("long"))
+    counts = F.when(F.bit_count(own) == APART, own.bitwiseXOR(own.bitwiseAND(-own))).otherwise(own)
     near = sum((F.bit_count(x) for x in apart), F.lit(0)) <= RADIUS
     return near & (F.col("block") == first) & (F.col("change") == counts)
 
@@ -136,9 +136,9 @@ def candidates(docs: DataFrame, items: DataFrame, width: int, broadcast_rows: in
     found = with_print(found.select("doc_id", "length", "start", "w"), "w", width, "print")
     own = with_print(items.select("item_id", "length", "w"), "w", width, "item_print").withColumnRenamed("w", "item_w")
     own = c.cut(own.withColumn("item_hash", F.xxhash64("item_id", "item_w")))
-    small = F.broadcast if n["items"] * BLOCKS * len(_masks(APART - 1)) <= broadcast_rows else (lambda df: df)
-    index = with_keys(own.where("item_print IS NOT NULL"), "item_print", APART - 1).select("key", "item_hash")
-    asked = with_keys(found.where("print IS NOT NULL"), "print", 1)
+    small = F.broadcast if n["items"] * BLOCKS * len(_masks(1)) <= broadcast_rows else (lambda df: df)
+    index = with_keys(own.where("item_print IS NOT NULL"), "item_print", 1).select("key", "item_hash")
+    asked = with_keys(found.where("print IS NOT NULL"), "print", APART - 1)
     few = F.broadcast if n["n"] <= broadcast_rows else (lambda df: df)
     near = asked.join(small(index), "key").join(few(own.where("item_print IS NOT NULL").drop("length")), "item_hash").where(_first_meeting("print", "item_print"))
     long = found.where("print IS NULL").join(own.where("item_print IS NULL"), "length")
