@@ -15,6 +15,7 @@ sample takes one text of them. Labels, lang, source and doc_id are never inputs
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -49,17 +50,25 @@ class Model:
 
 
 def unshared(texts: list[str], width: int = 6) -> list[str]:
-    """The texts without words that lie in a window of that width which two of the texts have: copies say nothing of a class."""
-    words = [t.split() for t in texts]
-    seen: dict[tuple[str, ...], int] = {}
-    for i, w in enumerate(words):
-        for k in range(len(w) - width + 1):
-            key = tuple(w[k : k + width])
-            seen[key] = i if seen.get(key, i) == i else -1
-    out = []
-    for t, w in zip(texts, words, strict=True):
-        gone = {j for k in range(len(w) - width + 1) if seen[tuple(w[k : k + width])] < 0 for j in range(k, k + width)}
-        out.append(" ".join(x for j, x in enumerate(w) if j not in gone) if gone else t)
+    """The texts without words that lie in a window of that width which two of the texts have: copies say nothing of a class.
+
+    By window hashes in flat arrays, as the driver does this."""
+    words = c.Words(*c.text_bytes(pa.array(texts, pa.large_string())))
+    begin = c.window_starts(words, width)
+    if not len(begin):
+        return texts
+    hashes, of = c.rolling(words.hashes(), width)[begin], words.doc()[begin]
+    order = np.argsort(hashes, kind="stable")
+    first = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]))
+    several = np.minimum.reduceat(of[order], first) < np.maximum.reduceat(of[order], first)
+    shared = begin[order[np.repeat(several, np.diff(first, append=len(order)))]]
+    steps = np.zeros(len(words.start) + 1, np.int64)
+    np.add.at(steps, shared, 1)
+    np.add.at(steps, shared + width, -1)
+    gone, out = np.cumsum(steps)[:-1] > 0, []
+    for i, text in enumerate(texts):
+        mask = gone[words.first[i] : words.first[i + 1]]
+        out.append(b" ".join(itertools.compress(text.encode("utf-8", "replace").split(), ~mask)).decode("utf-8", "replace") if mask.any() else text)
     return out
 
 
