@@ -98,6 +98,11 @@ def annealing(epoch: Column, over: int) -> Column:
     return F.least(F.lit(1.0), epoch / over)
 
 
+def late_annealing(epoch: Column, start: int = 5, over: int = 10) -> Column:
+    """0 up to epoch `start`, then rising to 1 over as many epochs as `over` says."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (epoch - start) / over))
+
+
 def pair_weight(ui: Column, uj: Column, ai: Column, aj: Column, temperature: float = 1.0) -> Column:
     """exp(-(u_i + u_j) / temperature) * (1 - max(ale_i, ale_j))"""
     return F.exp(-(ui + uj) / temperature) * (1 - F.greatest(ai, aj))

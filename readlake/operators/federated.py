@@ -33,3 +33,12 @@ def running_mean(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """Means over batches so far."""
     over = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("mean", F.avg(value).over(over))
+
+
+def fused(rows: DataFrame, by: str, strength: str, evidence: str) -> DataFrame:
+    """(by, idx, plain, weighted): mean of the reads' evidence at each place, plain and under softmax weights of their strengths.
+
+    A softmax is a ratio of two sums, so that each group is combined before it is shuffled. Strengths are at most 1."""
+    spots = rows.select(by, F.exp(strength).alias("weight"), F.posexplode(evidence).alias("idx", "value"))
+    weighted = F.sum(F.col("weight") * F.col("value")) / F.sum("weight")
+    return spots.groupBy(by, "idx").agg(F.avg("value").alias("plain"), weighted.alias("weighted"))

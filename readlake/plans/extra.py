@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readlake.functions import sequence as s
-from readlake.operators import batches, cluster, decode, match, metrics, voting
+from readlake.functions import vector as v
+from readlake.operators import batches, cluster, decode, federated, match, metrics, voting
 from readlake.plans import views
-from readlake.plans.catalogue import _CONS, _FOUND, PG, R, RN, TABLE, _assignments, _IDENT, _labelled_reads, _pred, query, r6, rounded
+from readlake.plans.catalogue import _CONS, _FOUND, PG, R, RN, TABLE, E, _assignments, _IDENT, _labelled_reads, _lgamma, _pred, _psi, _sum, query, r6, rounded
 from readlake.session import keep, shared_root
 from readlake.sources import sinks, text
 
@@ -275,3 +276,73 @@ def corrected_cores(spark: SparkSession, d: str) -> DataFrame:
     rows = views.reads(spark, d).where(F.length("seq") >= 15).select("read_id", F.substring("seq", 1, 6).alias("cluster_id"), F.substring("seq", 1, 15).alias("anchor"))
     cores = rows.groupBy("cluster_id").agg(F.min_by("anchor", "read_id").alias("core"))
     return cluster.corrected_cores(rows.join(cores, "cluster_id"), share=0.12)
+
+
+# ---------------------------------------------------------------- diagnostics on evidence
+
+
+@query("SELECT event_id, round(least(1.0, epoch / 30.0), 6) AS rising, round(least(1.0, greatest(0.0, (epoch - 5) / 10.0)), 6) AS late FROM (SELECT event_id, event_id % 40 AS epoch FROM events)")
+def annealing(spark: SparkSession, d: str) -> DataFrame:
+    epoch = F.col("event_id") % 40
+    return rounded(views.table(spark, d, "events").select("event_id", v.annealing(epoch, 30).alias("rising"), v.late_annealing(epoch).alias("late")))
+
+
+_ENTROPY = _sum(lambda a: f"{a} / s * ln({a} / s)")
+
+
+@query(E + f"\nSELECT read_id, round(1 / (1 - ({_ENTROPY})), 6) AS strength FROM ev")
+def entropy_strength(spark: SparkSession, d: str) -> DataFrame:
+    """Strength from the entropy of the expected probabilities."""
+    return rounded(views.scored(spark, d).select("read_id", v.entropy_strength(_shares()).alias("strength")))
+
+
+def _shares() -> Column:
+    return F.transform("alpha", lambda a: a / v.total(F.col("alpha")))
+
+
+@query(
+    E
+    + f""",
+st AS (SELECT *, exp(1 / (1 - ({_ENTROPY}))) AS w FROM ev),
+spots AS (SELECT label, w, unnest([0, 1, 2, 3]) AS idx, unnest([a1 - 1, a2 - 1, a3 - 1, a4 - 1]) AS x FROM st)
+SELECT label, idx, round(avg(x), 6) AS plain, round(sum(w * x) / sum(w), 6) AS weighted FROM spots GROUP BY 1, 2"""
+)
+def fused_evidence(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.scored(spark, d).select("label", v.entropy_strength(_shares()).alias("strength"), F.transform("alpha", lambda a: a - 1).alias("evidence"))
+    return rounded(federated.fused(rows, "label", "strength", "evidence"))
+
+
+@query(
+    E
+    + f""",
+off AS (SELECT read_id, {", ".join(f"CASE WHEN read_id % 4 = {i} THEN 1.0 ELSE a{i + 1} END AS a{i + 1}" for i in range(4))} FROM ev),
+sized AS (SELECT *, a1 + a2 + a3 + a4 AS s FROM off)
+SELECT read_id, round({_lgamma("s")} - {_lgamma("4.0")} + {_sum(lambda a: f"({a} - 1) * ({_psi(a)} - {_psi('s')}) - {_lgamma(a)}")}, 6) + 0.0 AS kl FROM sized"""
+)
+def kl_without_label(spark: SparkSession, d: str) -> DataFrame:
+    """The divergence term of the loss: evidence of the label is taken out first."""
+    rest = v.without_label(F.col("alpha"), (F.col("read_id") % 4).cast("int"))
+    rows = views.scored(spark, d).select("read_id", rest.alias("rest"))
+    return rows.select("read_id", (r6(v.dirichlet_kl(F.col("rest"))) + 0.0).alias("kl"))
+
+
+@query("SELECT c_custkey, round(avg(c_acctbal / 7) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS UNBOUNDED PRECEDING), 6) AS mean FROM customer")
+def running_means(spark: SparkSession, d: str) -> DataFrame:
+    """A seventh of a balance, as means of cents would end on ties."""
+    rows = views.table(spark, d, "customer").select("c_custkey", "c_nationkey", (F.col("c_acctbal") / 7).alias("x"))
+    return rounded(federated.running_mean(rows, "c_nationkey", "c_custkey", "x").select("c_custkey", "mean"))
+
+
+@query(RN + "\nSELECT read_id, replace(seq, 'N', 'A') AS decoded FROM rn")
+def index_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Bases to indices and back; an N counts as A."""
+    return views.reads(spark, d, "ACGTN").select("read_id", s.from_indices(s.one_hot(F.col("seq"))).alias("decoded"))
+
+
+@query("SELECT 'n' || r_regionkey AS key, r_name AS value FROM region UNION ALL SELECT 'link' || r_regionkey, 'x://' || r_regionkey FROM region")
+def file_config(spark: SparkSession, d: str) -> DataFrame:
+    """JSON with remarks, one object for each region; // inside of a value stays."""
+    path, key = _folder(spark, "config"), F.col("r_regionkey")
+    body = F.concat(F.lit('{\n// a remark\n"n'), key, F.lit('": "'), F.col("r_name"), F.lit('",\n  // "m": 1,\n"link'), key, F.lit('": "x://'), key, F.lit('"\n}'))
+    views.table(spark, d, "region").repartition(5, "r_regionkey").select("r_regionkey", body.alias("value")).write.partitionBy("r_regionkey").text(path)
+    return text.read_config(spark, path)

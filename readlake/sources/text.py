@@ -159,3 +159,10 @@ def read_training(spark: SparkSession, root: str, dataset: str, split: str) -> D
     reads = rows.groupBy("block_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]).alias("reads"))
     refs = lines(spark, f"{root}/{dataset}/{split}/reference.txt").select((F.col("line_no") - 1).alias("block_id"), F.col("value").alias("reference"))
     return reads.join(refs, "block_id").select(F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), "block_id", "reads", "reference")
+
+
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of JSON objects, each in a file of its own, in which lines that begin with // are remarks. Values are text."""
+    whole = spark.read.text(path, wholetext=True)
+    plain = F.regexp_replace("value", r"(?m)^[ \t]*//.*$", "")
+    return whole.select(F.explode(F.from_json(plain, "map<string,string>")).alias("key", "value"))

@@ -23,7 +23,7 @@ NAMES = [k for k, f in entry.queries().items() if f.__module__ == extra.__name__
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings", "part", "customer", "events"):
+    for t in ("documents", "benchmark", "embeddings", "part", "customer", "events", "region"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     got = entry.queries()[name](spark, D)
     columns = sorted(got.columns)
