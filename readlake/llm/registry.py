@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, by name."""
 
-from readlake.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, substring_dedup, toxicity
+from readlake.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, substring_dedup, toxicity, turn_repair
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_turn_repair": turn_repair.op11_turn_repair,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
@@ -20,4 +21,5 @@ ORACLES = {
     "op3_quality_rules": quality_rules.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
+    "op11_turn_repair": turn_repair.ORACLE,
 }
