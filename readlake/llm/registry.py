@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, by name."""
 
-from readlake.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, substring_dedup, toxicity, turn_repair
+from readlake.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, substring_dedup, toxicity, turn_repair, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_turn_repair": turn_repair.op11_turn_repair,
+    "op12_warc": warc.op12_warc,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
@@ -22,4 +23,5 @@ ORACLES = {
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op11_turn_repair": turn_repair.ORACLE,
+    "op12_warc": warc.ORACLE,
 }
