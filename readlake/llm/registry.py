@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, by name."""
 
-from readlake.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, substring_dedup, toxicity, turn_repair, warc
+from readlake.llm import decontaminate, language_id, lexical_search, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, substring_dedup, toxicity, turn_repair, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_turn_repair": turn_repair.op11_turn_repair,
     "op12_warc": warc.op12_warc,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE,
@@ -24,4 +25,5 @@ ORACLES = {
     "op8_decontaminate": decontaminate.ORACLE,
     "op11_turn_repair": turn_repair.ORACLE,
     "op12_warc": warc.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }

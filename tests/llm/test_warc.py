@@ -121,7 +121,7 @@ def test_broken_archives_are_errors(tmp_path, cut):
             [*warc.records(file, "x", warc.Filters(), True)]
 
 
-def test_failed_attempts_leave_nothing(tmp_path):
+def test_failed_attempts_leave_nothing(spark, tmp_path):
     """Only what the driver has commit messages of is in the archive."""
     from pyspark.sql.types import StructType
 
