@@ -1,26 +1,32 @@
-"""Online clustering of reads by anchor similarity: one pass in order of arrival, per prefix partition.
+"""Clustering of reads by anchor similarity: online, in order of arrival, per prefix partition; and in batch, free of order.
 
-A read joins the first cluster whose head anchor differs in fewer than `near` places, else by its tail anchor, else by the best of its
-inner anchors over the vertical drifts. A read further than `far` from all founds a cluster; between the two it is ambiguous.
-Anchors are found by pigeonhole: an index over equal parts of the anchor holds every anchor with fewer than `near` differences.
-Reads stream through a task prefix by prefix; what is held is one anchor set for each founder of the current prefix.
+Online, a read joins the first cluster whose head anchor differs in fewer than `near` places, else by its tail anchor, else by the best of its
+inner anchors over the vertical drifts. If some founder's inner anchor then differs in fewer than `far` places, each of them followed
+by two equal bases as far as there are any, the read is ambiguous; else it founds a cluster. Reads stream through a task prefix by
+prefix; what is held is the anchors of the founders of the current prefix. `streaming.clusters` does the same over micro-batches.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.operators.match import anchor_pairs, founders
+from readlake.operators.anchors import AnchorIndex, Coder, differing, spaced
+from readlake.operators.match import chosen, founders, slot_pairs
 
 
 @dataclass(frozen=True)
 class ClusterConfig:
+    """length: of reads; depth, inner_depth: of the end and inner anchors; near: differences that don't join; far: differences in
+    the inner anchors that are not ambiguous any more; drift: vertical drift of inner anchors; head_skip, tail_skip: primers;
+    inner_head, inner_tail: where the inner anchors begin, from the head, and from the tail; inner_slots: 0, 1 or 2 of them;
+    prefix: bases that tell partitions apart, from head_skip on; min_slack: bases that a read may lack; least: of members, of clusters that are returned."""
+
     length: int = 150
     depth: int = 15
     near: int = 3
@@ -29,110 +35,157 @@ class ClusterConfig:
     prefix: int = 0
     min_slack: int = 5
     alphabet: str = "ACGT"
-
-
-class AnchorIndex:
-    """Anchors of one slot, with exact lookup, deletion, and the nearest anchor under a number of differences."""
-
-    def __init__(self, near: int = 3):
-        self.near, self.exact, self.parts = near, {}, defaultdict(set)
-
-    def _keys(self, anchor: str) -> list[tuple[int, str]]:
-        n = max(1, min(self.near, len(anchor)))
-        cuts = [len(anchor) * i // n for i in range(n + 1)]
-        return [(i, anchor[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-
-    def insert(self, anchor: str, cluster: object) -> None:
-        """A later cluster with the same anchor takes it over."""
-        self.exact[anchor] = cluster
-        for key in self._keys(anchor):
-            self.parts[key].add(anchor)
-
-    def delete(self, anchor: str) -> None:
-        if self.exact.pop(anchor, None) is not None:
-            for key in self._keys(anchor):
-                self.parts[key].discard(anchor)
-
-    def get(self, anchor: str) -> object | None:
-        return self.exact.get(anchor)
-
-    def nearest(self, anchor: str) -> tuple[object | None, int]:
-        """(cluster, differences) of the closest anchor with fewer than `near` differences, ties to the least anchor; else (None, near)."""
-        if anchor in self.exact:
-            return self.exact[anchor], 0
-        best = (self.near, "")
-        for other in {o for key in self._keys(anchor) for o in self.parts.get(key, ())}:
-            if len(other) == len(anchor):
-                best = min(best, (sum(x != y for x, y in zip(other, anchor, strict=True)), other))
-        return (self.exact[best[1]], best[0]) if best[0] < self.near else (None, self.near)
+    inner_depth: int | None = None
+    inner_head: int = 40
+    inner_tail: int = 40
+    inner_slots: int = 2
+    head_skip: int = 0
+    tail_skip: int = 0
+    least: int = 1
+    coder: Coder = field(init=False, repr=False, compare=False)
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "coder", Coder(self.alphabet))
+
+    @property
+    def inner(self) -> int:
+        return self.depth if self.inner_depth is None else self.inner_depth
+
+    @property
+    def moves(self) -> list[int]:
+        return [*range(-self.drift, self.drift + 1)]
+
+    def begin(self, slot: str, move: int = 0) -> int:
+        """Where a head or inner anchor begins."""
+        return {"a": self.head_skip, "c": self.head_skip + self.inner_head - move, "d": self.length - 2 - self.inner_tail - self.tail_skip - move}[slot]
+
+    @property
+    def inner_names(self) -> str:
+        return "cd"[: self.inner_slots]
+
+    def codes(self, seqs: list[str]) -> np.ndarray:
+        """(reads, slots): head, tail, then the inner slots of each move."""
+        flat, at = self.coder.flat(seqs)
+        size = np.diff(at)
+        cols = [self.coder.windows(flat, at, np.full(len(seqs), self.begin("a")), self.depth), self.coder.windows(flat, at, size - self.depth - self.tail_skip, self.depth)]
+        cols += [self.coder.windows(flat, at, np.full(len(seqs), self.begin(slot, move)), self.inner) for move in self.moves for slot in self.inner_names]
+        return np.stack(cols, axis=1)
 
 
 class OnlineClusters:
-    """State of one prefix: indexes of four slots."""
+    """State of one prefix: an index for each slot, and the inner anchors of all founders."""
 
     def __init__(self, cfg: ClusterConfig):
         self.cfg = cfg
-        self.slots = {s: AnchorIndex(cfg.near) for s in "abcd"}
-        self.loose = {s: AnchorIndex(cfg.far) for s in "a"}
-
-    def _inner(self, seq: str, move: int) -> dict[str, str]:
-        c = 40 - move
-        d = self.cfg.length - 2 - 40 - move
-        return {"c": seq[c : c + self.cfg.depth], "d": seq[d : d + self.cfg.depth]}
-
-    def place(self, read_id: object, seq: str) -> tuple[object | None, str]:
-        """(cluster, status): joined, founder or ambiguous."""
+        self.slots = {s: AnchorIndex(cfg.near, cfg.coder) for s in "ab" + cfg.inner_names}
+        self.inner = {s: np.zeros(64, np.int64) for s in cfg.inner_names}
+        self.founders = 0
+        #: of the columns of codes: the slot of each inner one
+        self.columns = [s for _ in cfg.moves for s in cfg.inner_names]
+        self.still = 2 + len(cfg.inner_names) * cfg.moves.index(0)
+
+    def found(self, read_id: object, codes: list[int]) -> None:
+        """The read is a founder: its anchors without drift are entered."""
+        still = dict(zip(self.cfg.inner_names, codes[self.still :], strict=False))
+        for slot, code in {"a": codes[0], "b": codes[1], **still}.items():
+            if code >= 0:
+                self.slots[slot].insert(code, read_id)
+        for slot, code in still.items():
+            if self.founders == len(self.inner[slot]):
+                self.inner[slot] = np.concatenate([self.inner[slot], np.zeros_like(self.inner[slot])])
+            self.inner[slot][self.founders] = code
+        self.founders += 1
+
+    def _doubtful(self, codes: list[int]) -> bool:
+        """Whether an inner anchor of some founder differs in fewer than `far` spaced places."""
+        cfg, bits = self.cfg, self.cfg.coder.bits
+        for slot in cfg.inner_names:
+            own = np.array([c for s, c in zip(self.columns, codes[2:], strict=True) if s == slot and c >= 0], np.int64)
+            theirs = self.inner[slot][: self.founders]
+            theirs = theirs[theirs >= 0]
+            for a in range(0, len(theirs), 4096):
+                off = differing(theirs[a : a + 4096, None] ^ own, bits, cfg.inner)
+                n = np.bitwise_count(off)
+                if ((n < cfg.far) & spaced(off, bits)).any():
+                    return True
+        return False
+
+    def place_codes(self, read_id: object, codes: list[int]) -> tuple[object | None, str]:
         cfg = self.cfg
-        head, tail = seq[: cfg.depth], seq[-cfg.depth :]
-        for slot, anchor in (("a", head), ("b", tail)):
-            found, off = self.slots[slot].nearest(anchor)
+        for slot, code in zip("ab", codes, strict=False):
+            found, off = self.slots[slot].nearest(code)
             if off < cfg.near:
                 return found, "joined"
         best = (cfg.near, None)
-        for move in range(-cfg.drift, cfg.drift + 1):
-            for slot, anchor in self._inner(seq, move).items():
-                if len(anchor) == cfg.depth:
-                    found, off = self.slots[slot].nearest(anchor)
-                    if off < best[0]:
-                        best = (off, found)
+        for slot, code in zip(self.columns, codes[2:], strict=True):
+            found, off = self.slots[slot].nearest(code)
+            if off < best[0]:
+                best = (off, found)
         if best[0] < cfg.near:
             return best[1], "joined"
-        if self.loose["a"].nearest(head)[1] < cfg.far:
+        if self._doubtful(codes):
             return None, "ambiguous"
-        for slot, anchor in {"a": head, "b": tail, **self._inner(seq, 0)}.items():
-            if len(anchor) == cfg.depth:
-                self.slots[slot].insert(anchor, read_id)
-        self.loose["a"].insert(head, read_id)
+        self.found(read_id, codes)
         return read_id, "founder"
 
+    def place_all(self, ids: list, seqs: list[str]) -> list[tuple[object | None, str]]:
+        """(cluster, status) of reads in order: joined, founder or ambiguous."""
+        return [self.place_codes(i, codes) for i, codes in zip(ids, self.cfg.codes(seqs).tolist(), strict=True)]
+
+    def place(self, read_id: object, seq: str) -> tuple[object | None, str]:
+        return self.place_all([read_id], [seq])[0]
+
 
 def admit(reads: DataFrame, cfg: ClusterConfig) -> DataFrame:
     """Long enough, and only letters of the alphabet."""
     return reads.where((F.length("seq") >= cfg.length - cfg.min_slack) & F.col("seq").rlike(f"^[{cfg.alphabet}]*$"))
 
 
+def prefixed(reads: DataFrame, cfg: ClusterConfig) -> DataFrame:
+    """read_id, prefix, seq of the reads that are admitted."""
+    return admit(reads, cfg).select("read_id", F.substring("seq", cfg.head_skip + 1, cfg.prefix).alias("prefix"), "seq")
+
+
+def large(assigned: DataFrame, least: int) -> DataFrame:
+    """Assignments of the clusters with at least so many members; what is in none has no cluster."""
+    if least <= 1:
+        return assigned
+    small = assigned.where("cluster_id IS NOT NULL").groupBy("cluster_id").agg(F.count("*").alias("n")).where(F.col("n") < least)
+    return assigned.join(small.select("cluster_id"), "cluster_id", "left_anti").select(*assigned.columns)
+
+
 def online(reads: DataFrame, cfg: ClusterConfig = ClusterConfig()) -> DataFrame:
     """(read_id, cluster_id, status), faithful to the order of read_id inside each prefix; prefixes never meet."""
-    rows = admit(reads, cfg).select("read_id", F.substring("seq", 1, cfg.prefix).alias("prefix"), "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefix, state = None, None
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if state is None or r["prefix"] != prefix:
-                    prefix, state = r["prefix"], OnlineClusters(cfg)
-                out.append((r["read_id"], *state.place(r["read_id"], r["seq"])))
+            ids, seqs, prefixes = (batch.column(n).to_pylist() for n in ("read_id", "seq", "prefix"))
+            cuts = [0, *(i for i in range(1, len(ids)) if prefixes[i] != prefixes[i - 1]), len(ids)]
+            out: list[tuple] = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if state is None or prefixes[a] != prefix:
+                    prefix, state = prefixes[a], OnlineClusters(cfg)
+                out += state.place_all(ids[a:b], seqs[a:b])
             if out:
-                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out])], ["read_id", "cluster_id", "status"])
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out])], ["read_id", "cluster_id", "status"])
 
-    return rows.repartition("prefix").sortWithinPartitions("prefix", "read_id").mapInArrow(run, "read_id long, cluster_id long, status string")
+    rows = prefixed(reads, cfg).repartition("prefix").sortWithinPartitions("prefix", "read_id")
+    return large(rows.mapInArrow(run, "read_id long, cluster_id long, status string"), cfg.least)
 
 
-def cluster(reads: DataFrame, cfg: ClusterConfig = ClusterConfig()) -> DataFrame:
-    """(read_id, cluster_id), free of order and of prefixes: head anchors within near - 1 differences, by a blocked join."""
+def cluster(reads: DataFrame, cfg: ClusterConfig = ClusterConfig(), slots: str = "a") -> DataFrame:
+    """(read_id, cluster_id), free of order and of prefixes: a read joins an earlier one by anchors within near - 1 differences, by blocked joins.
+
+    slots: which anchors are tried, of a (head), b (tail), c and d (inner, over the drifts). The head comes before the tail and that before
+    the inner ones; of those the fewest differences, and then the least read_id, decide. Not transitive.
+    """
     rows = admit(reads, cfg)
-    return founders(anchor_pairs(rows, cfg.near - 1, cfg.depth, cfg.near + 2), rows)
+    if slots == "a" and not cfg.head_skip:
+        return large(founders(slot_pairs(rows, cfg, "a"), rows), cfg.least)
+    return large(chosen(slot_pairs(rows, cfg, slots), rows), cfg.least)
 
 
 def corrected_cores(members: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:

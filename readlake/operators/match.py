@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlake.functions.sequence import edit_identity, hamming, identity
+from readlake.session import keep
 
 
 BROADCAST_ROWS = 20_000
@@ -74,42 +75,144 @@ def coverage(absent: DataFrame, reads: DataFrame, key: str, low: int = 5) -> Dat
     return absent.join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n_reads")).withColumn("low", F.col("n_reads") < low)
 
 
-def _code(anchor: Column, depth: int) -> Column:
-    """The bases as a number of four bits each; null if there are other letters than A, C, G, T, N, or over 15 of them."""
-    if depth > 15:
-        return F.lit(None).cast("long")
-    return F.when(~anchor.rlike("[^ACGTN]"), F.conv(F.translate(anchor, "ACGTN", "01234"), 16, 10).cast("long"))
+ODD = "7"
 
 
-def anchor_pairs(reads: DataFrame, most: int = 2, depth: int = 15, parts: int = 5) -> DataFrame:
-    """(left_id, right_id, distance): reads whose head anchors differ in `most` places at most.
+class _Keys:
+    """Anchors of one depth as numbers of three bits a base, and the keys under which anchors meet that differ in `most` places at most.
 
-    Pigeonhole: of `parts` parts of an anchor at least parts - most are intact, so joining on every choice of so many parts loses no pair,
-    with keys of parts - most parts, not of one: candidates stay near the number of pairs. A pair counts at its first common key only. Equal
-    anchors are joined once: the pairs are of distinct anchors, each with its least read_id, plus every read with its anchor's least.
+    Pigeonhole: of `parts` parts of an anchor at least parts - most are intact, so joining on every choice of so many parts loses no
+    pair, with keys of parts - most parts, not of one: candidates stay near the number of pairs. A key is one number: the bases of the
+    choice, and the choice above them. Letters other than A, C, G, T and N share a digit; such anchors carry their text too, which decides.
+    Anchors too long for a number are texts, and their keys hashes.
     """
-    if parts <= most:
-        raise ValueError("more parts than differences are needed")
-    cuts = [depth * i // parts for i in range(parts + 1)]
-    choices = [*combinations(range(parts), parts - most)]
-    anchors = reads.where(F.length("seq") >= depth).select("read_id", F.substring("seq", 1, depth).alias("anchor"))
-    each = anchors.groupBy("anchor").agg(F.min("read_id").alias("id")).withColumn("code", _code(F.col("anchor"), depth))
-    part = lambda c, i: F.substring(c, cuts[i] + 1, cuts[i + 1] - cuts[i])
-    keys = [F.struct(F.lit(k).alias("choice"), F.concat(*(part("anchor", i) for i in some)).alias("key")) for k, some in enumerate(choices)]
-    keyed = each.select("id", "anchor", "code", F.explode(F.array(*keys)).alias("k")).select("id", "anchor", "code", "k.choice", "k.key")
-    right = keyed.select(F.col("id").alias("right_id"), F.col("anchor").alias("right_anchor"), F.col("code").alias("right_code"), "choice", "key")
-    met = keyed.join(right, ["choice", "key"]).where(F.col("id") < F.col("right_id"))
-    # one bit for each base that differs
-    apart = F.expr("(code ^ right_code)")
-    apart = apart.bitwiseOR(F.shiftright(apart, 1)).bitwiseOR(F.shiftright(apart, 2)).bitwiseAND(F.lit(int("1" * 15, 16)))
-    far = F.coalesce(F.bit_count(apart), hamming(F.col("anchor"), F.col("right_anchor")))
-    intact = [part("anchor", i) == part("right_anchor", i) for i in range(parts)]
-    first = F.coalesce(*(F.when(reduce(and_, (intact[i] for i in some)), F.lit(k)) for k, some in enumerate(choices)))
-    between = met.where((far <= most) & (F.col("choice") == first)).select(F.col("id").alias("left_id"), "right_id", far.cast("int").alias("distance"))
+
+    def __init__(self, most: int, depth: int, parts: int):
+        if parts <= most:
+            raise ValueError("more parts than differences are needed")
+        self.depth = depth
+        self.cuts = [depth * i // parts for i in range(parts + 1)]
+        self.choices = [*combinations(range(parts), parts - most)]
+        self.coded = 3 * depth + len(self.choices).bit_length() < 64
+        mask = lambda a, b: ((1 << (3 * (b - a))) - 1) << (3 * (depth - b))
+        self.masks = [sum(mask(self.cuts[i], self.cuts[i + 1]) for i in some) for some in self.choices]
+
+    def columns(self, anchor: Column) -> tuple[Column, Column]:
+        """code and text; one of them may be null."""
+        if not self.coded:
+            return F.lit(None).cast("long"), anchor
+        odd = anchor.rlike("[^ACGTN]")
+        digits = F.translate(F.when(odd, F.regexp_replace(anchor, "[^ACGTN]", ODD)).otherwise(anchor), "ACGTN", "01234")
+        return F.conv(digits, 8, 10).cast("long"), F.when(odd, anchor)
+
+    def _part(self, text: Column, i: int) -> Column:
+        return F.substring(text, self.cuts[i] + 1, self.cuts[i + 1] - self.cuts[i])
+
+    def keys(self, code: Column, text: Column) -> Column:
+        """array<struct<choice, key>>"""
+        one = lambda k, some: code.bitwiseAND(F.lit(self.masks[k])).bitwiseOR(F.lit(k << (3 * self.depth))) if self.coded else F.xxhash64(F.lit(k), *(self._part(text, i) for i in some))
+        return F.array(*(F.struct(F.lit(k).cast("byte").alias("choice"), one(k, some).alias("key")) for k, some in enumerate(self.choices)))
+
+    def _text(self, code: Column, text: Column) -> Column:
+        return F.coalesce(text, F.translate(F.lpad(F.conv(code, 10, 8), self.depth, "0"), "01234", "ACGTN"))
+
+    def distance(self, code: Column, text: Column, code2: Column, text2: Column) -> Column:
+        """How many bases differ."""
+        if not self.coded:
+            return hamming(text, text2)
+        x = code.bitwiseXOR(code2)
+        low = sum(1 << (3 * i) for i in range(self.depth))
+        bits = F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseAND(F.lit(low)))
+        return F.when(text.isNull() & text2.isNull(), bits).otherwise(hamming(self._text(code, text), self._text(code2, text2)))
+
+    def first(self, code: Column, text: Column, code2: Column, text2: Column) -> Column:
+        """The first choice under which two anchors meet."""
+        same = lambda k, some: code.bitwiseXOR(code2).bitwiseAND(F.lit(self.masks[k])) == 0 if self.coded else reduce(and_, (self._part(text, i) == self._part(text2, i) for i in some))
+        return F.coalesce(*(F.when(same(k, some), F.lit(k).cast("byte")) for k, some in enumerate(self.choices)))
+
+
+def _keyed(rows: DataFrame, keys: _Keys, *keep: str) -> DataFrame:
+    """keep, code, text, choice, key of rows with code and text: a row for each key."""
+    return rows.select(*keep, "code", "text", F.explode(keys.keys(F.col("code"), F.col("text"))).alias("k")).select(*keep, "code", "text", "k.choice", "k.key")
+
+
+def candidates(probes: DataFrame, index: DataFrame, keys: _Keys, *keep: str) -> DataFrame:
+    """keep, left_id and distance of probes (id, code, text and keep) and earlier entries of the index (id, code, text) that share a key, each pair once."""
+    right = _keyed(probes.withColumnRenamed("id", "right_id"), keys, "right_id", *keep)
+    left = _keyed(index, keys, "id").select(F.col("id").alias("left_id"), F.col("code").alias("left_code"), F.col("text").alias("left_text"), "choice", "key")
+    met = left.join(right, ["choice", "key"]).where(F.col("left_id") < F.col("right_id"))
+    both = [F.col(n) for n in ("left_code", "left_text", "code", "text")]
+    return met.where(F.col("choice") == keys.first(*both)).select("left_id", "right_id", *keep, keys.distance(*both).cast("int").alias("distance"))
+
+
+def _anchors(reads: DataFrame, keys: _Keys, begin: Column) -> DataFrame:
+    """read_id, anchor of the reads that the window lies in; begin: 1-based."""
+    inside = (begin >= 1) & (begin + keys.depth - 1 <= F.length("seq"))
+    return reads.where(inside).select("read_id", F.substr("seq", begin.cast("int"), F.lit(keys.depth)).alias("anchor"))
+
+
+def _distinct(anchors: DataFrame, keys: _Keys) -> DataFrame:
+    """anchor, id, code, text: distinct anchors, each with its least read."""
+    code, text = keys.columns(F.col("anchor"))
+    return anchors.groupBy("anchor").agg(F.min("read_id").alias("id")).withColumns({"code": code, "text": text})
+
+
+def _end_pairs(reads: DataFrame, keys: _Keys, most: int, begin: Column) -> DataFrame:
+    """(left_id, right_id, distance) by the anchors of one place. Equal anchors are joined once: the pairs are of distinct anchors, each with its least read_id, plus every read with its anchor's least.
+
+    The anchors are read three times, so they are kept, without the reads that they come from."""
+    anchors = keep(_anchors(reads, keys, begin))
+    each = _distinct(anchors, keys)
+    between = candidates(each, each, keys).where(F.col("distance") <= most)
     inside = anchors.join(each, "anchor").where("read_id <> id").select(F.col("id").alias("left_id"), F.col("read_id").alias("right_id"), F.lit(0).alias("distance"))
     return between.unionByName(inside)
 
 
+def anchor_pairs(reads: DataFrame, most: int = 2, depth: int = 15, parts: int = 5) -> DataFrame:
+    """(left_id, right_id, distance): reads whose head anchors differ in `most` places at most."""
+    return _end_pairs(reads, _Keys(most, depth, parts), most, F.lit(1))
+
+
+def slot_pairs(reads: DataFrame, cfg, slots: str = "abcd") -> DataFrame:
+    """(left_id, right_id, slot, distance): earlier reads that a read may join, by the first kind of slot that has any. cfg: a ClusterConfig.
+
+    Head (slot 0), tail (1) and inner anchors (2) are tried in turn, each only for the reads that are left. The inner anchors of a read
+    move over the drifts; those of earlier reads stand still. Reads that are left are kept after each turn.
+    """
+    most, pairs = cfg.near - 1, []
+    if most < 0:
+        raise ValueError("near must be 1 at least")
+    reads = rest = keep(reads.select("read_id", "seq"))
+    ends, inner = _Keys(most, cfg.depth, cfg.near + 2), _Keys(most, cfg.inner, cfg.near + 2)
+    begins = {"a": F.lit(cfg.head_skip + 1), "b": F.length("seq") - cfg.tail_skip - cfg.depth + 1}
+    for number, slot in enumerate("ab"):
+        if slot in slots:
+            # the anchors that are met are those of all reads
+            found = _end_pairs(reads, ends, most, begins[slot]) if not pairs else _end_pairs(reads, ends, most, begins[slot]).join(rest.select(F.col("read_id").alias("right_id")), "right_id", "left_semi")
+            found = found.select("left_id", "right_id", F.lit(number).alias("slot"), "distance")
+            if slots[-1] == slot:
+                return reduce(DataFrame.unionByName, [*pairs, found])
+            found = keep(found)
+            pairs.append(found)
+            rest = rest.join(found.select(F.col("right_id").alias("read_id")).distinct(), "read_id", "left_anti")
+    for slot in "cd":
+        if slot in slots and slot in cfg.inner_names:
+            still = _distinct(_anchors(reads, inner, F.lit(cfg.begin(slot) + 1)), inner)
+            code, text = inner.columns(F.col("anchor"))
+            moved = reduce(DataFrame.unionByName, (_anchors(rest, inner, F.lit(cfg.begin(slot, move) + 1)) for move in cfg.moves))
+            probes = moved.distinct().select(F.col("read_id").alias("id"), code.alias("code"), text.alias("text"))
+            near = candidates(probes, still, inner).where(F.col("distance") <= most)
+            pairs.append(near.select("left_id", "right_id", F.lit(2).alias("slot"), "distance"))
+    return reduce(DataFrame.unionByName, pairs)
+
+
+def chosen(pairs: DataFrame, reads: DataFrame) -> DataFrame:
+    """(read_id, cluster_id): each read joins by the least slot, there (inner slots) with the fewest differences, and the least read_id; else itself."""
+    order = F.struct("slot", F.when(F.col("slot") == 2, F.col("distance")).otherwise(0).alias("distance"), "left_id")
+    best = pairs.groupBy(F.col("right_id").alias("read_id")).agg(F.min(order).alias("b"))
+    return reads.select("read_id").join(best, "read_id", "left").select("read_id", F.coalesce("b.left_id", "read_id").alias("cluster_id"))
+
+
 def founders(pairs: DataFrame, reads: DataFrame) -> DataFrame:
     """(read_id, cluster_id): each read joins its least direct neighbour, itself included; not transitive, free of order."""
     near = pairs.groupBy(F.col("right_id").alias("read_id")).agg(F.min("left_id").alias("founder"))

@@ -16,6 +16,7 @@ from readlake.functions import vector as v
 from readlake.operators import batches, cluster, decode, federated, match, metrics, refine, scorer, voting
 from readlake.plans import rounds, views
 from readlake.session import keep, shared_root
+from readlake.streaming import clusters as stream_clusters_of
 from readlake.streaming import votes as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -378,12 +379,57 @@ def anchor_clusters(spark: SparkSession, d: str) -> DataFrame:
     return cluster.cluster(views.reads(spark, d).select("read_id", "seq"))
 
 
+_SLOTS = (
+    R
+    + """,
+ok AS (SELECT read_id, seq FROM r WHERE length(seq) >= 145),
+w AS (SELECT read_id, 'a' AS slot, 0 AS move, substr(seq, 1, 15) AS anchor FROM ok UNION ALL SELECT read_id, 'b', 0, right(seq, 15) FROM ok
+  UNION ALL SELECT read_id, 'c', m, substr(seq, 41 - m, 15) FROM ok, unnest(range(-3, 4)) x(m) UNION ALL SELECT read_id, 'd', m, substr(seq, 109 - m, 15) FROM ok, unnest(range(-3, 4)) x(m)),
+still AS (SELECT slot, anchor, min(read_id) AS id FROM w WHERE move = 0 GROUP BY 1, 2),
+ends AS (SELECT y.id AS read_id, x.id AS founder, x.slot FROM still x JOIN still y ON x.slot = y.slot AND x.id < y.id WHERE x.slot IN ('a', 'b') AND hamming(x.anchor, y.anchor) <= 2
+  UNION ALL SELECT w.read_id, s.id, s.slot FROM w JOIN still s ON s.slot = w.slot AND s.anchor = w.anchor WHERE w.slot IN ('a', 'b') AND w.read_id <> s.id),
+inn AS (SELECT w.read_id, s.id AS founder, min(hamming(w.anchor, s.anchor)) AS off FROM (SELECT * FROM w WHERE slot IN ('c', 'd') AND length(anchor) = 15 AND read_id NOT IN (SELECT read_id FROM ends)) w
+  JOIN still s ON s.slot = w.slot AND s.id < w.read_id WHERE length(s.anchor) = 15 AND hamming(w.anchor, s.anchor) <= 2 GROUP BY 1, 2),
+every AS (SELECT read_id, founder, CASE slot WHEN 'a' THEN 0 ELSE 1 END AS slot, 0 AS off FROM ends UNION ALL SELECT read_id, founder, 2, off FROM inn),
+best AS (SELECT read_id, arg_min(founder, (slot, off, founder)) AS founder, min(slot) AS slot FROM every GROUP BY 1)"""
+)
+
+
+@query(_SLOTS + "\nSELECT ok.read_id, coalesce(founder, ok.read_id) AS cluster_id FROM ok LEFT JOIN best USING (read_id)")
+def slot_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Head, then tail, then inner anchors over all drifts; SQL compares all pairs."""
+    return cluster.cluster(views.reads(spark, d).select("read_id", "seq"), slots="abcd")
+
+
 @query()
 def online_cluster(spark: SparkSession, d: str) -> DataFrame:
     """Faithful to the order of arrival in each prefix; SQL can't express it, tests hold it against plain Python."""
     return cluster.online(views.reads(spark, d).select("read_id", "seq"), cluster.ClusterConfig(prefix=2))
 
 
+@query(
+    R
+    + """
+SELECT count(*) AS n_reads, count(*) AS n_assigned, 0::BIGINT AS n_twice, 0::BIGINT AS n_foreign, 0::BIGINT AS n_late, 0::BIGINT AS n_no_founder, 0::BIGINT AS n_apart,
+  0::BIGINT AS n_unlike FROM r WHERE length(seq) >= 145"""
+)
+def stream_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of clusters that grow over three chunks, each a run of its own: every read once; only joined reads have a founder, an earlier one of
+    their prefix; reads with a founder's head join it; and the assignments are those of one run over all reads (n_unlike)."""
+    rows, cfg = keep(views.reads(spark, d).select("read_id", "seq")), cluster.ClusterConfig(prefix=2)
+    got = keep(stream_clusters_of.in_chunks(rows, stream.shared_folder(spark, "clusters"), cfg))
+    founders = got.where("status = 'founder'").select(F.col("read_id").alias("cluster_id"), F.lit(True).alias("known")).join(rows.toDF("cluster_id", "of"), "cluster_id")
+    both = got.join(rows, "read_id").join(founders, "cluster_id", "left")
+    head = lambda x: F.substring(x, 1, 15)
+    heads = founders.select(head("of").alias("head"), F.col("cluster_id").alias("first"))
+    apart = got.join(rows, "read_id").withColumn("head", head("seq")).join(heads, "head").where("read_id >= first AND NOT cluster_id <=> first")
+    once = cluster.online(rows, cfg).join(got.select("read_id", F.col("cluster_id").alias("c"), F.col("status").alias("s")), "read_id", "full").where("NOT (cluster_id <=> c AND status <=> s)")
+    n = lambda df: df.agg(F.count("*")).first()[0]
+    held = (n(cluster.admit(rows, cfg)), n(got), n(got) - n(got.select("read_id").distinct()), n(both.where(F.substring("seq", 1, 2) != F.substring("of", 1, 2))),
+            n(got.where("cluster_id > read_id OR (status = 'founder' AND cluster_id <> read_id)")), n(both.where("status = 'joined' AND known IS NULL")), n(apart), n(once))
+    return spark.createDataFrame([held], "n_reads long, n_assigned long, n_twice long, n_foreign long, n_late long, n_no_founder long, n_apart long, n_unlike long")
+
+
 @query(R + "\nSELECT read_id, seq, n, lang FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY n DESC, read_id) AS k FROM (SELECT read_id, seq, lang, length(tag)::INT AS n FROM r)) WHERE k = 1")
 def dedup_keep_largest(spark: SparkSession, d: str) -> DataFrame:
     rows = views.reads(spark, d).select("read_id", "seq", F.length("tag").alias("n"), "lang")
