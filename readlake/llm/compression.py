@@ -13,14 +13,6 @@ from pyspark.sql import functions as F
 LEVEL, PIECE = 6, 1024
 
 
-def dictionary(texts: list[str], most: int) -> bytes:
-    """At most that many bytes, an equal share of each text, in the given order."""
-    if not texts:
-        return b""
-    share = max(200, most // len(texts))
-    return b"\n".join(t.encode("utf-8", "replace")[:share] for t in texts)[:most]
-
-
 SLICE = 256
 
 

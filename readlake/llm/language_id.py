@@ -1,7 +1,7 @@
 """Language identification by compression: the language whose dictionary makes the text smallest.
 
-Dictionaries are raw content: at most docs_per_lang training documents of each language (by hash of doc_id; at most
-sample_chars characters of each) fill dict_bytes. Each whole text, in lower case and in pieces, is compressed with every
+Dictionaries are raw content: slices, by their hash, of at most docs_per_lang training documents of each language (by hash of doc_id; pieces from
+all over each text, sample_chars characters at most) fill dict_bytes. Each whole text, in lower case and in pieces, is compressed with every
 dictionary; the smallest sum wins, ties by language name. A margin to the next language under min_margin marks the row
 as rejected; lang_pred still names the closest language.
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readlake.llm import common as c
-from readlake.llm.compression import LEVEL, PIECE, Compressors, dictionary, summed_sizes
+from readlake.llm.compression import LEVEL, PIECE, Compressors, filled, spread, summed_sizes
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -45,11 +45,11 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:
         return {}
     place = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(1 << 40))
     most = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 1.5 * settings.docs_per_lang / n + 20 / n) * (1 << 40)))))
-    sample = rows.where(place < most[F.col("lang")]).select("lang", place.alias("place"), F.substring("text", 1, settings.sample_chars).alias("text"))
-    texts: dict[str, list] = {}
-    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["place"], r["text"])):
-        texts.setdefault(r["lang"], []).append(r["text"].lower())
-    return {k: dictionary(v[: settings.docs_per_lang], settings.dict_bytes) for k, v in sorted(texts.items())}
+    sample = rows.where(place < most[F.col("lang")]).select("lang", place.alias("place"), spread(F.col("text"), settings.sample_chars).alias("pieces"))
+    texts: dict[str, list[list[str]]] = {}
+    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["place"], r["pieces"])):
+        texts.setdefault(r["lang"], []).append([x.lower() for x in r["pieces"]])
+    return {k: filled([x for pieces in v[: settings.docs_per_lang] for x in pieces], settings.dict_bytes) for k, v in sorted(texts.items())}
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], settings: Settings = Settings()) -> DataFrame:

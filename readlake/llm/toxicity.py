@@ -1,13 +1,13 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 A numpy model over hashed words is trained from a bounded sample: at most max_positive confirmed toxic training documents and
-max_unlabelled training documents whatever their label. The risk is that of Kiryo et al. (2017): prior * R+(1) +
+max_unlabelled training documents whatever their label. Their whole texts are turned into features by the tasks that read them. The risk is that of Kiryo et al. (2017): prior * R+(1) +
 max(0, R-unlabelled(0) - prior * R+(0)), with the logistic loss; a step that would take the second part under zero goes back up
-instead. Features are the words (and starts of words) that stand out in the positive sample. The class prior is the share of toxic labels in the training rows. Scores come from whole texts: each distinct word
+instead. Features are the words (and starts of words) that stand out in the positive sample. The class prior is the share of toxic labels in the training rows, kept off 0 and 1 by EDGE. Scores come from whole texts: each distinct word
 of a text counts once, weighed by a sigmoid of its sum.
 
 Defined results: a null text counts as empty; empty texts get the score of the bias alone. Without a toxic training row
-every score is the prior, under 0.5. Rows that repeat a doc_id are scored each from their own text. Labels, lang, source and
+every score is EDGE. Rows that repeat a doc_id are scored each from their own text. Labels, lang, source and
 doc_id are never inputs of a score; other columns of the input are left alone.
 """
 
@@ -18,12 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readlake.llm import common as c
 
-THRESHOLD = 0.5
+THRESHOLD, EDGE = 0.5, 1e-6
 
 
 STARTS = (5, 6, 7)  # bytes of a word's start that are features of their own
@@ -33,14 +34,12 @@ STARTS = (5, 6, 7)  # bytes of a word's start that are features of their own
 class Settings:
     max_positive: int = 2000
     max_unlabelled: int = 6000
-    sample_chars: int = 8192
     bits: int = 18
     min_docs: int = 5
     min_z: float = 4.0
     steps: int = 400
     rate: float = 0.03
     decay: float = 5e-4
-    prior_floor: float = 0.01
 
 
 @dataclass(frozen=True)
@@ -81,10 +80,9 @@ def word_slots(texts: pa.Array, bits: int, chosen: np.ndarray | None = None) ->
 class Sparse:
     """Rows of distinct slots, as flat arrays."""
 
-    def __init__(self, texts: list[str], bits: int):
-        parts = [word_slots(pa.array(texts[a : a + 256], pa.large_string()), bits) for a in range(0, len(texts), 256)]
-        self.row = np.concatenate([p[0] + 256 * i for i, p in enumerate(parts)])
-        self.slot, self.n = np.concatenate([p[1] for p in parts]), len(texts)
+    def __init__(self, slots: pa.ChunkedArray):
+        self.n, self.slot = len(slots), np.asarray(pc.list_flatten(slots).combine_chunks()).astype(np.int64)
+        self.row = np.repeat(np.arange(self.n), np.asarray(pc.list_value_length(slots)))
 
     def keep(self, slots: np.ndarray) -> None:
         ok = slots[self.slot]
@@ -129,26 +127,43 @@ def nn_pu(positive: Sparse, unlabelled: Sparse, prior: float, settings: Settings
     return w[:-1], float(w[-1])
 
 
+def slots_of(texts: DataFrame, bits: int) -> DataFrame:
+    """place, slots: the distinct features of each whole text (place, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in c.slices(batch):
+                row, slot, n = word_slots(part.column("text"), bits)
+                ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+                yield pa.record_batch([part.column("place"), pa.ListArray.from_arrays(pa.array(ends), pa.array(slot.astype(np.int32)))], ["place", "slots"])
+
+    return texts.select("place", "text").mapInArrow(run, "place long, slots array<int>")
+
+
+def _sample(texts: DataFrame, most: int, bits: int) -> Sparse:
+    """At most that many rows, by place; of a row come to the driver at most 2^bits numbers."""
+    found = slots_of(texts, bits).orderBy("place", "slots").limit(most).toArrow()
+    return Sparse(found.column("slots"))
+
+
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Two bounded samples go to the driver, by hash order of doc_id."""
     labels = labels.select("doc_id", "toxic")
     counts = {r["toxic"]: r["n"] for r in labels.where(~c.in_fold("doc_id") & F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    prior = min(0.45, max(settings.prior_floor, counts.get(1, 0) / max(1, sum(counts.values()))))
+    prior = min(1 - EDGE, max(EDGE, counts.get(1, 0) / max(1, sum(counts.values()))))
     if not counts.get(1):
         return Model(None, 0.0, prior, settings.bits)
-    text = F.substring(F.coalesce("text", F.lit("")), 1, settings.sample_chars).alias("text")
-    place = F.xxhash64(F.lit(5), F.col("doc_id"))
+    rows = docs.select("doc_id", F.xxhash64(F.lit(5), F.col("doc_id")).alias("place"), F.coalesce("text", F.lit("")).alias("text"))
     ids = c.sampled_ids(labels, "toxic", 1, settings.max_positive)
     # ids has max_positive rows at most, whatever the size of the input
-    sure = [r["text"] for r in docs.select("doc_id", text).join(F.broadcast(ids.select("doc_id")), "doc_id").orderBy(place, "text").limit(settings.max_positive).collect()]
-    pool = docs.where(~c.in_fold("doc_id"))
+    sure = _sample(rows.join(F.broadcast(ids.select("doc_id")), "doc_id"), settings.max_positive, settings.bits)
+    pool = rows.where(~c.in_fold("doc_id"))
     n = pool.count()
     share = min(1.0, 1.2 * settings.max_unlabelled / max(1, n) + 100 / max(1, n))
-    pool = pool.where(F.pmod(place, F.lit(1 << 40)) < int(share * (1 << 40))).select("doc_id", text)
-    other = [r["text"] for r in pool.orderBy(place, "text").limit(settings.max_unlabelled).collect()]
-    if not sure or not other:
+    other = _sample(pool.where(F.pmod("place", F.lit(1 << 40)) < int(share * (1 << 40))), settings.max_unlabelled, settings.bits)
+    if not sure.n or not other.n:
         return Model(None, 0.0, prior, settings.bits)
-    weights, bias = nn_pu(Sparse(sure, settings.bits), Sparse(other, settings.bits), prior, settings)
+    weights, bias = nn_pu(sure, other, prior, settings)
     return Model(weights.astype(np.float32), bias, prior, settings.bits)
 
 
