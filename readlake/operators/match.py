@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readlake.functions.sequence import edit_identity, hamming, identity
@@ -40,21 +41,92 @@ def best_match(pairs: DataFrame, score: Column, by: str = "pred_id") -> DataFram
     return best.select(by, F.col(f"b.{other}").alias(other), (-F.col("b.m")).alias("score"))
 
 
+BLOCK_BASES, RADII = 12, (2, 6)
+
+
+def _index(rows: DataFrame, bases: int, shifting: bool) -> DataFrame:
+    """(other_id, at, key) of windows of rows (id, seq): all windows if matches may shift, else those at multiples of `bases`."""
+    last = F.length("seq") - bases
+    step = F.lit(1 if shifting else bases)
+    at = F.when(last >= 0, F.sequence(F.lit(0), last, step))
+    return rows.select(F.col("id").alias("other_id"), "seq", F.explode(at).alias("at")).select("other_id", "at", F.xxhash64(F.substr("seq", F.col("at") + 1, F.lit(bases))).alias("key"))
+
+
+def near_candidates(rows: DataFrame, index: DataFrame, often: DataFrame, errors: int, bases: int, shifting: bool) -> DataFrame:
+    """(id, other_id), each pair once, with all pairs of at most `errors` errors among them. rows: id, seq.
+
+    A sequence is cut into blocks; of any errors + 1 of them one is whole in the other sequence, where it has moved by `errors`
+    places at most, or not at all. The blocks that the index has least often (often: key, n) are asked for, so that ends
+    which all sequences share make no candidates. Rows of fewer blocks have no candidates.
+    """
+    blocks = rows.where(F.length("seq") >= bases * (errors + 1)).select("id", "seq", F.explode(F.sequence(F.lit(0), F.floor(F.length("seq") / bases).cast("int") - 1)).alias("i"))
+    blocks = blocks.select("id", (F.col("i") * bases).alias("begin"), F.xxhash64(F.substr("seq", F.col("i") * bases + 1, F.lit(bases))).alias("key"))
+    blocks = blocks.join(often, "key", "left").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(0)), "begin")))
+    asked = blocks.where((F.col("place") <= errors + 1) & F.col("n").isNotNull()).select("id", "begin", "key")
+    moved = F.abs(F.col("at") - F.col("begin"))
+    return asked.join(index, "key").where(moved <= (errors if shifting else 0)).select("id", "other_id").distinct()
+
+
+def _best_by_radius(rows: DataFrame, others: DataFrame, score: Column, wrong: Column, most: int, whole: float, shifting: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, other, score) of the rows whose best partner is known, and the rows that are left. rows, others: id, seq.
+
+    Equal sequences first; then pairs of few errors, at growing radii. A row is done when no partner beyond the radius can be as
+    good: with more than r errors the score is under 1 - r / (length + most), for lengths that differ by `most` at most.
+    score and wrong (the errors) are over seq and other_seq; `whole` is the score of equal sequences.
+    """
+    same = rows.join(others.select(F.col("id").alias("other"), "seq"), "seq").groupBy("id").agg(F.min("other").alias("other")).withColumn("score", F.lit(whole))
+    done = [same]
+    rest = keep(rows.join(same.select("id"), "id", "left_anti"))
+    if not rest.limit(1).count():
+        return same, rest
+    index = keep(_index(others, BLOCK_BASES, shifting))
+    often = keep(index.groupBy("key").agg(F.count("*").alias("n")))
+    for radius in RADII:
+        met = near_candidates(rest, index, often, radius, BLOCK_BASES, shifting)
+        pairs = met.join(rest, "id").join(others.select(F.col("id").alias("other_id"), F.col("seq").alias("other_seq")), "other_id")
+        pairs = pairs.where((F.abs(F.length("seq") - F.length("other_seq")) <= most) & (wrong <= radius))
+        best = pairs.select("id", F.length("seq").alias("size"), "other_id", F.round(score, 9).alias("s")).groupBy("id").agg(F.max("size").alias("size"), F.min(F.struct((-F.col("s")).alias("m"), "other_id")).alias("b"))
+        sure = keep(best.where(-F.col("b.m") > F.round(whole * (1 - (radius + 1) / (F.col("size") + most)), 9)).select("id", F.col("b.other_id").alias("other"), (-F.col("b.m")).alias("score")))
+        done.append(sure)
+        rest = keep(rest.join(sure.select("id"), "id", "left_anti"))
+        if not rest.limit(1).count():
+            break
+    return reduce(DataFrame.unionByName, done), rest
+
+
 def best_by_identity(pred: DataFrame, truth: DataFrame, most: int = 10) -> DataFrame:
-    """Exact matches come by an equi-join; only the rest is compared base by base."""
-    exact = pred.join(truth, F.col("pred_seq") == F.col("gt_seq")).groupBy("pred_id").agg(F.min("gt_id").alias("gt_id")).withColumn("score", F.lit(1.0))
-    rest = pred.join(exact.select("pred_id"), "pred_id", "left_anti")
-    return exact.unionByName(best_match(near_lengths(rest, truth, most), identity(F.col("pred_seq"), F.col("gt_seq"))))
+    """For each prediction, the reference of the most equal bases. What has none within few errors is compared base by base with all of like length."""
+    rows, others = pred.select(F.col("pred_id").alias("id"), F.col("pred_seq").alias("seq")), truth.select(F.col("gt_id").alias("id"), F.col("gt_seq").alias("seq"))
+    same = identity(F.col("seq"), F.col("other_seq"))
+    longer = F.greatest(F.length("seq"), F.length("other_seq"))
+    found, rest = _best_by_radius(rows, others, same, F.round((1 - same) * longer), most, 1.0, False)
+    far = best_match(near_lengths(rest.toDF("pred_id", "pred_seq"), truth, most), identity(F.col("pred_seq"), F.col("gt_seq")))
+    return found.toDF("pred_id", "gt_id", "score").unionByName(far)
 
 
 def best_by_edit(pred: DataFrame, truth: DataFrame, most: int = 20) -> DataFrame:
-    """For each reference, the prediction with the best edit identity."""
-    return best_match(near_lengths(pred, truth, most), edit_identity(F.col("pred_seq"), F.col("gt_seq")), "gt_id")
+    """For each reference, the prediction with the best edit identity. What has none within few edits is compared with all of like length."""
+    rows, others = truth.select(F.col("gt_id").alias("id"), F.col("gt_seq").alias("seq")), pred.select(F.col("pred_id").alias("id"), F.col("pred_seq").alias("seq"))
+    found, rest = _best_by_radius(rows, others, edit_identity(F.col("seq"), F.col("other_seq")), F.levenshtein("seq", "other_seq"), most, 100.0, True)
+    far = best_match(near_lengths(pred, rest.toDF("gt_id", "gt_seq"), most), edit_identity(F.col("pred_seq"), F.col("gt_seq")), "gt_id")
+    return found.toDF("gt_id", "pred_id", "score").unionByName(far)
 
 
 def recovered(pred: DataFrame, truth: DataFrame, most: int = 5, perfect: float = 0.999) -> DataFrame:
-    """gt_id of references that some prediction matches."""
-    return near_lengths(pred, truth, most).where(identity(F.col("pred_seq"), F.col("gt_seq")) > perfect).select("gt_id").distinct()
+    """gt_id of references that some prediction matches. Where that allows no base to differ, equal sequences are joined; few differing bases are looked up."""
+    longest = truth.agg(F.max(F.length("gt_seq"))).first()[0] or 0
+    errors = math.ceil((1 - perfect) * (longest + most) - 1e-9) - 1  # identity above perfect has fewer
+    if errors <= 0:
+        return truth.join(pred.select(F.col("pred_seq").alias("gt_seq")).distinct(), "gt_seq", "left_semi").where(F.length("gt_seq") > 0).select("gt_id").distinct()
+    alike = identity(F.col("pred_seq"), F.col("gt_seq")) > perfect
+    if errors > max(RADII):
+        return near_lengths(pred, truth, most).where(alike).select("gt_id").distinct()
+    fits = F.length("gt_seq") >= BLOCK_BASES * (errors + 1)
+    rows = truth.where(fits).select(F.col("gt_id").alias("id"), F.col("gt_seq").alias("seq"))
+    index = keep(_index(pred.select(F.col("pred_id").alias("id"), F.col("pred_seq").alias("seq")), BLOCK_BASES, False))
+    met = near_candidates(rows, index, index.groupBy("key").agg(F.count("*").alias("n")), errors, BLOCK_BASES, False).toDF("gt_id", "pred_id")
+    near = met.join(truth, "gt_id").join(pred, "pred_id").where(F.abs(F.length("pred_seq") - F.length("gt_seq")) <= most).where(alike).select("gt_id")
+    return near.unionByName(near_lengths(pred, truth.where(~fits), most).where(alike).select("gt_id")).distinct()
 
 
 def strict_scores(pred: DataFrame, truth: DataFrame) -> DataFrame:

@@ -331,6 +331,28 @@ def best_match_edit(spark: SparkSession, d: str) -> DataFrame:
     return rounded(match.best_by_edit(_pred(spark, d), views.references(spark, d)))
 
 
+_NEAR = (
+    R + ",\n" + G + """,
+t AS (SELECT gt_id, left(gt_seq, 9) || substr(gt_seq, 11, 19) || translate(substr(gt_seq, 30, 1), 'ACGT', 'CGTA') || substr(gt_seq, 31) AS gt_seq FROM g WHERE length(gt_seq) >= 36),
+p AS (SELECT seq AS pred_seq, min(read_id) AS pred_id FROM (SELECT seq, read_id FROM r UNION ALL SELECT gt_seq, -1 - gt_id FROM g) GROUP BY seq)"""
+)
+
+
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The reads with the references among them, and references of 36 bases or more, of which one base is lost and one changed."""
+    gt, seq = views.references(spark, d), F.col("gt_seq")
+    cut = lambda a, n: F.substr(seq, F.lit(a), F.lit(n))
+    changed = F.concat(cut(1, 9), cut(11, 19), F.translate(cut(30, 1), "ACGT", "CGTA"), F.substr(seq, F.lit(31)))
+    every = views.reads(spark, d).select("seq", "read_id").unionByName(gt.select(seq.alias("seq"), (-1 - F.col("gt_id")).alias("read_id")))
+    return every.groupBy(F.col("seq").alias("pred_seq")).agg(F.min("read_id").alias("pred_id")), gt.where(F.length("gt_seq") >= 36).select("gt_id", changed.alias("gt_seq"))
+
+
+@query(_NEAR + "\nSELECT gt_id, pred_id, score FROM (SELECT *, row_number() OVER (PARTITION BY gt_id ORDER BY score DESC, pred_id) AS k FROM (SELECT pred_id, gt_id, round((1 - levenshtein(pred_seq, gt_seq) / greatest(length(pred_seq), length(gt_seq))::DOUBLE) * 100, 6) AS score FROM p, t WHERE abs(length(pred_seq) - length(gt_seq)) <= 20)) WHERE k = 1")
+def damaged_references(spark: SparkSession, d: str) -> DataFrame:
+    """The best match of references with an edit or two, found within the first radius."""
+    return rounded(match.best_by_edit(*_near(spark, d)))
+
+
 @query(PG + f"\nSELECT DISTINCT gt_id FROM p, g WHERE abs(length(pred_seq) - length(gt_seq)) <= 5 AND {_IDENT} > 0.5")
 def near_match_exists(spark: SparkSession, d: str) -> DataFrame:
     return match.recovered(_pred(spark, d), views.references(spark, d), perfect=0.5)
