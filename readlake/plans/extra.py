@@ -98,6 +98,22 @@ def file_assignments(spark: SparkSession, d: str) -> DataFrame:
     return text.read_assignments(spark, path)
 
 
+@query(_FOUND + "\nSELECT read_id::VARCHAR AS read_id, founder::VARCHAR AS cluster_id FROM f WHERE read_id <> founder")
+def file_assignment_list(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs that stand on one line, read by many tasks."""
+    path = _folder(spark, "list")
+    sinks.write_assignment_list(_assignments(views.reads(spark, d)), path)
+    return text.read_assignment_list(spark, path)
+
+
+@query("SELECT i AS read_id, coalesce(min(label), -1)::INT AS label FROM (SELECT unnest(range(0, (SELECT max(vec_id) + 1 FROM embeddings WHERE vec_id % 7 <> 3))) AS i) LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 7 <> 3) ON vec_id = i GROUP BY 1")
+def file_label_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as lines: every seventh read has none, its line is -1."""
+    path, rows = _folder(spark, "label_lines"), views.table(spark, d, "embeddings")
+    sinks.write_label_lines(rows.select(F.col("vec_id").alias("read_id"), F.when(F.col("vec_id") % 7 != 3, F.col("label")).alias("label")).where("label IS NOT NULL"), path)
+    return text.read_labels(spark, path)
+
+
 @query(_CONS + "\nSELECT label AS cluster_id, num_reads::INT AS num_reads, num_high_conf::INT AS num_high_conf, round(avg_strength, 3)::DOUBLE AS avg_strength, seq FROM el JOIN co USING (label)")
 def file_consensus(spark: SparkSession, d: str) -> DataFrame:
     path, rows = _folder(spark, "consensus"), keep(_labelled_reads(spark, d))
@@ -156,15 +172,17 @@ def founder_blocks(spark: SparkSession, d: str) -> DataFrame:
     return _founder_blocks(spark, d)
 
 
-@query(_BLOCKS + "\nSELECT seq, count(*) AS n, count(*) FILTER (is_ref) AS n_ref FROM (SELECT seq, false AS is_ref FROM blocks UNION ALL SELECT DISTINCT reference, true FROM blocks) GROUP BY 1")
+@query(
+    _BLOCKS
+    + """,
+parts AS (SELECT cid, 0 AS part, NULL::BIGINT AS read_id, reference AS seq FROM (SELECT DISTINCT cid, reference FROM blocks) UNION ALL SELECT cid, 1, read_id, seq FROM blocks)
+SELECT dense_rank() OVER (ORDER BY cid) - 1 AS block_id, row_number() OVER (PARTITION BY cid ORDER BY part, read_id) - 1 AS pos, seq, part = 0 AS is_ref FROM parts"""
+)
 def file_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks written line by line in order, one file so that a block stays whole, and read again."""
+    """Blocks written line by line in order over many files, whose ends cut blocks, and read again."""
     path = _folder(spark, "blocks")
     sinks.write_block_lines(_founder_blocks(spark, d), path)
-    whole = f"{path}-whole"
-    spark.read.text(path).coalesce(1).write.text(whole)
-    rows = text.read_blocks(spark, whole)
-    return rows.groupBy("seq").agg(F.count("*").alias("n"), F.count_if("is_ref").alias("n_ref"))
+    return text.read_blocks(spark, path)
 
 
 @query(_FOUND + "\nSELECT read_id, founder AS cluster_id, r.seq FROM f JOIN r USING (read_id) WHERE n > 1")

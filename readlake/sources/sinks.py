@@ -13,6 +13,11 @@ def write_assignments(pairs: DataFrame, path: str) -> None:
     pairs.select(F.concat(F.lit("[('"), F.col("read_id"), F.lit("', '"), F.col("cluster_id"), F.lit("')]")).alias("value")).write.text(path)
 
 
+def write_assignment_list(pairs: DataFrame, path: str) -> None:
+    """Pairs on one line, a line in each file, with no shuffle."""
+    pairs.select(F.concat(F.lit("('"), F.col("read_id"), F.lit("', '"), F.col("cluster_id"), F.lit("')")).alias("value")).write.option("lineSep", ", ").text(path)
+
+
 def write_metadata(meta: DataFrame, path: str) -> None:
     """read_id,cluster_id with a header, in order of read_id across the files."""
     meta.orderBy("read_id").write.csv(path, header=True)
@@ -54,6 +59,20 @@ def write_labels(labels: DataFrame, path: str) -> None:
     labels.select("read_id", F.coalesce("label", F.lit(-1)).alias("label")).write.parquet(path)
 
 
+def write_label_lines(labels: DataFrame, path: str, size: int | None = None) -> None:
+    """A line with a label for each read_id from 0 on, in order over the files; -1 for read_ids without one. size: lines in all, else up to the greatest read_id.
+
+    Of labels that repeat a read_id the least is written. read_ids under 0 or from `size` on are an error."""
+    spark = labels.sparkSession
+    rows = labels.groupBy(F.col("read_id").cast("long").alias("id")).agg(F.min("label").alias("label"))
+    low, high = rows.agg(F.min("id"), F.max("id")).first()
+    size = (0 if high is None else high + 1) if size is None else size
+    if high is not None and (low < 0 or high >= size):
+        raise ValueError(f"read_ids from {low} to {high} have no place in {size} lines")
+    every = spark.range(size).join(rows, "id", "left")
+    every.repartitionByRange("id").sortWithinPartitions("id").select(F.coalesce("label", F.lit(-1)).cast("string").alias("value")).write.text(path)
+
+
 def write_round(tables: dict[str, DataFrame], root: str, number: int) -> None:
     """root/round=N/name for each table; a finished round has a marker table, so that a resumed run skips it."""
     for name, df in tables.items():

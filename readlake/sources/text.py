@@ -16,34 +16,45 @@ from pyspark.sql import functions as F
 from readlake.functions import sequence as s
 
 
-def lines(spark: SparkSession, path: str, mark: Column | None = None) -> DataFrame:
-    """path, line_no, value; with `mark`, a condition on value, also marks: how many lines of the file up to this one meet it.
+def lines(spark: SparkSession, path: str, mark: Column | None = None, across: bool = False) -> DataFrame:
+    """path, line_no, value; with `mark`, a condition on value, also marks: how many lines up to this one meet it, and since: how many other lines
+    with text stand after the last of these, this one included. Numbers begin anew in each file, or go on over the files in order of their paths (`across`).
 
-    Large files split into blocks; lines are numbered, and marks counted, in each block and moved by the blocks before, so that no file is the work of one task.
+    Large files split into blocks; lines are numbered and counted in each block and moved by the blocks before, so that no file is the work of one task.
     """
     text = F.rtrim(F.regexp_replace("value", "\r$", "")).alias("value")
     raw = spark.read.option("wholetext", "false").option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), text)
     raw = raw.withColumn("mark", F.lit(False) if mark is None else F.coalesce(mark, F.lit(False)))
-    numbered = raw.mapInArrow(_in_block, "path string, block long, in_block long, marks_in_block long, value string")
-    sizes = numbered.groupBy("path", "block").agg(F.max("in_block").alias("n"), F.max("marks_in_block").alias("m"))  # a row for each block
-    over = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("path", "block", *(F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"before_{c}") for c in "nm"))
+    numbered = raw.mapInArrow(_in_block, "path string, block long, in_block long, marks_in_block long, since_in_block long, value string")
+    sizes = numbered.groupBy("path", "block").agg(F.max("in_block").alias("n"), F.max("marks_in_block").alias("m"), F.max_by("since_in_block", "in_block").alias("s"))  # a row for each block
+    order = ["path", "block"]
+    whole = Window.partitionBy() if across else Window.partitionBy("path")
+    over = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("path", "block", "m", "s", *(F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"before_{c}") for c in "nm"))
+    # what the blocks since the last one with a mark add up to
+    run = (Window.partitionBy("run") if across else Window.partitionBy("path", "run")).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = before.withColumn("run", F.col("before_m") + F.col("m")).withColumn("upto", F.sum("s").over(run))
+    before = before.withColumn("before_s", F.coalesce(F.lag("upto").over(whole.orderBy(*order)), F.lit(0))).select("path", "block", "before_n", "before_m", "before_s")
     found = numbered.join(before, ["path", "block"])
-    marks = [] if mark is None else [(F.col("before_m") + F.col("marks_in_block")).alias("marks")]
+    since = F.col("since_in_block") + F.when(F.col("marks_in_block") == 0, F.col("before_s")).otherwise(0)
+    marks = [] if mark is None else [(F.col("before_m") + F.col("marks_in_block")).alias("marks"), since.alias("since")]
     return found.select("path", (F.col("before_n") + F.col("in_block")).alias("line_no"), "value", *marks)
 
 
 def _in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers the lines of each block of a file from 1, and counts its marks; a block's lines reach one task in order."""
-    key, n, m = None, 0, 0
+    """Numbers the lines of each block of a file from 1, and counts its marks and the lines since; a block's lines reach one task in order."""
+    key, n, m, s = None, 0, 0, 0
     for batch in batches:
-        out, marks = [], []
-        for path, block, mark in zip(*(batch.column(c).to_pylist() for c in ("path", "block", "mark")), strict=True):
-            n, m = (n + 1, m + mark) if (path, block) == key else (1, int(mark))
-            key = (path, block)
+        out, marks, since = [], [], []
+        for path, block, mark, value in zip(*(batch.column(c).to_pylist() for c in ("path", "block", "mark", "value")), strict=True):
+            n, m, s = (n, m, s) if (path, block) == key else (0, 0, 0)
+            key, n, m = (path, block), n + 1, m + mark
+            s = 0 if mark else s + (value != "")
             out.append(n)
             marks.append(m)
-        yield pa.record_batch([batch.column("path"), batch.column("block"), pa.array(out, pa.int64()), pa.array(marks, pa.int64()), batch.column("value")], ["path", "block", "in_block", "marks_in_block", "value"])
+            since.append(s)
+        counts = [pa.array(x, pa.int64()) for x in (out, marks, since)]
+        yield pa.record_batch([batch.column("path"), batch.column("block"), *counts, batch.column("value")], ["path", "block", "in_block", "marks_in_block", "since_in_block", "value"])
 
 
 def _parts(value: str | Column = "value") -> Column:
@@ -112,17 +123,31 @@ def read_assignments(spark: SparkSession, path: str, drop_noise: bool = True) ->
     return every.where("cluster_id <> '-1'") if drop_noise else every
 
 
+#: A pair up to its closing bracket.
+PAIR_END = r"\('?([^',()\s]+)'?,\s*'?([^',()\s]+)'?\s*$"
+
+
+def read_assignment_list(spark: SparkSession, path: str, drop_noise: bool = True) -> DataFrame:
+    """read_id, cluster_id of lists of (follower, founder) pairs, however long their lines: text is cut at each closing bracket, so that
+    many tasks read one line, each from the first bracket in its range on. For files of pairs; lines of two fields need read_assignments."""
+    pairs = spark.read.option("lineSep", ")").text(path).select(*(F.regexp_extract("value", PAIR_END, k).alias(n) for k, n in ((1, "read_id"), (2, "cluster_id"))))
+    pairs = pairs.where("read_id <> ''")
+    return pairs.where("cluster_id <> '-1'") if drop_noise else pairs
+
+
 def read_blocks(spark: SparkSession, path: str, separator: str = "====") -> DataFrame:
-    """block_id, pos, seq, is_ref: a block's first line is its reference; a line of = ends it. Numbers begin at 0, blocks without lines count."""
-    rows = lines(spark, path, F.col("value").startswith(separator)).withColumnRenamed("marks", "block_id")
-    rows = rows.where(F.col("value") != "").where(~F.col("value").startswith(separator))
-    pos = F.row_number().over(Window.partitionBy("path", "block_id").orderBy("line_no")) - 1
-    return rows.withColumn("pos", pos).select("block_id", "pos", F.trim("value").alias("seq"), (F.col("pos") == 0).alias("is_ref"))
+    """block_id, pos, seq, is_ref: a block's first line is its reference; a line of = ends it. Numbers begin at 0, blocks without lines count.
+
+    The files of a path are one text, in order of their names: blocks go on over their ends, and so do numbers. No block is gathered anywhere.
+    """
+    ends = F.col("value").startswith(separator)
+    rows = lines(spark, path, ends, across=True).where((F.col("value") != "") & ~ends)
+    return rows.select(F.col("marks").alias("block_id"), (F.col("since") - 1).alias("pos"), F.trim("value").alias("seq"), (F.col("since") == 1).alias("is_ref"))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """read_id (the line's number from 0), label; -1 is noise."""
-    return lines(spark, path).select((F.col("line_no") - 1).alias("read_id"), F.col("value").try_cast("int").alias("label")).where("label IS NOT NULL")
+    """read_id (the line's number from 0, over all files in order of their names), label; -1 is noise."""
+    return lines(spark, path, across=True).select((F.col("line_no") - 1).alias("read_id"), F.col("value").try_cast("int").alias("label")).where("label IS NOT NULL")
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
