@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readlake.operators import align
 from readlake.operators.anchors import AnchorIndex, Coder, differing, spaced
-from readlake.operators.match import chosen, founders, slot_pairs
+from readlake.operators.match import chosen, founders, near_cores, slot_pairs
+from readlake.session import keep
 
 
 @dataclass(frozen=True)
@@ -188,6 +190,25 @@ def cluster(reads: DataFrame, cfg: ClusterConfig = ClusterConfig(), slots: str =
     return large(chosen(slot_pairs(rows, cfg, slots), rows), cfg.least)
 
 
+def cluster_corrected(reads: DataFrame, cfg: ClusterConfig = ClusterConfig(), slots: str = "a", rounds: int = 1, align_fn: align.AlignFn | None = None, least: int = 5, whole_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Assignments (read_id, cluster_id) and cores (cluster_id, core, n_members, n_edits): after clustering, the founders' reads are corrected by
+    the alignments of their members (whole_only: of those of full length), the anchors of corrected cores are looked up by the reads that are alone, and
+    so on for some rounds."""
+    heard = lambda joined, core: joined.join(rows, "read_id").join(core, "cluster_id").withColumn("seq", F.when((F.length("seq") == cfg.length) | F.lit(not whole_only), F.col("seq")))
+    rows = keep(admit(reads, cfg).select("read_id", "seq"))
+    joined = keep(cluster(rows, cfg, slots))
+    core = rows.select(F.col("read_id").alias("cluster_id"), F.col("seq").alias("core"))
+    for _ in range(rounds):
+        cores = keep(align.corrected(heard(joined, core), align_fn, least))
+        size = joined.groupBy("cluster_id").agg(F.count("*").alias("n"))
+        alone = rows.join(size.where("n = 1").select(F.col("cluster_id").alias("read_id")), "read_id", "left_semi")
+        found = near_cores(alone, cores.where("n_edits > 0").select("cluster_id", "core"), cfg)
+        joined = keep(joined.join(found.select("read_id", F.col("cluster_id").alias("new")), "read_id", "left").select("read_id", F.coalesce("new", "cluster_id").alias("cluster_id")))
+        core = cores.select("cluster_id", "core")
+    cores = align.corrected(heard(joined, core), align_fn, least)
+    return joined, cores
+
+
 def corrected_cores(members: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
     """(cluster_id, core): the founder's head anchor after correction. members: cluster_id, core, anchor, one row for each member.
 

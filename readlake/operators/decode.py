@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readlake.functions.sequence import identity
@@ -33,10 +33,13 @@ def read_weights(reads: DataFrame) -> DataFrame:
 
 
 def softmax(rows: DataFrame, over: str, x: str, out: str = "softmax") -> DataFrame:
-    """exp(x - max) / sum in each group."""
-    w = Window.partitionBy(over)
-    e = F.exp(F.col(x) - F.max(x).over(w))
-    return rows.withColumn("_e", e).withColumn(out, F.col("_e") / F.sum("_e").over(w)).drop("_e")
+    """exp(x - max) / sum in each group. Maxima and sums come by aggregation, so that a large group never sits in one window."""
+    top, total = (n if n not in rows.columns else f"_{n}" for n in ("_top", "_total"))
+    tops = rows.groupBy(F.col(over).alias("_over")).agg(F.max(x).alias(top))
+    rows_top = rows.join(tops, F.col(over).eqNullSafe(F.col("_over"))).drop("_over")
+    e = F.exp(F.col(x) - F.col(top))
+    sums = rows_top.groupBy(F.col(over).alias("_over")).agg(F.sum(e).alias(total))
+    return rows_top.join(sums, F.col(over).eqNullSafe(F.col("_over"))).withColumn(out, e / F.col(total)).drop("_over", top, total)
 
 
 def fused(evidence: DataFrame, weights: DataFrame) -> DataFrame:

@@ -208,13 +208,13 @@ def _keyed(rows: DataFrame, keys: _Keys, *keep: str) -> DataFrame:
     return rows.select(*keep, "code", "text", F.explode(keys.keys(F.col("code"), F.col("text"))).alias("k")).select(*keep, "code", "text", "k.choice", "k.key")
 
 
-def candidates(probes: DataFrame, index: DataFrame, keys: _Keys, *keep: str) -> DataFrame:
-    """keep, left_id and distance of probes (id, code, text and keep) and earlier entries of the index (id, code, text) that share a key, each pair once."""
-    right = _keyed(probes.withColumnRenamed("id", "right_id"), keys, "right_id", *keep)
+def candidates(probes: DataFrame, index: DataFrame, keys: _Keys, earlier: bool = True) -> DataFrame:
+    """left_id, right_id, distance of probes (id, code, text) and entries of the index (id, code, text), earlier ones or all others, that share a key, each pair once."""
+    right = _keyed(probes.withColumnRenamed("id", "right_id"), keys, "right_id")
     left = _keyed(index, keys, "id").select(F.col("id").alias("left_id"), F.col("code").alias("left_code"), F.col("text").alias("left_text"), "choice", "key")
-    met = left.join(right, ["choice", "key"]).where(F.col("left_id") < F.col("right_id"))
+    met = left.join(right, ["choice", "key"]).where(F.col("left_id") < F.col("right_id") if earlier else F.col("left_id") != F.col("right_id"))
     both = [F.col(n) for n in ("left_code", "left_text", "code", "text")]
-    return met.where(F.col("choice") == keys.first(*both)).select("left_id", "right_id", *keep, keys.distance(*both).cast("int").alias("distance"))
+    return met.where(F.col("choice") == keys.first(*both)).select("left_id", "right_id", keys.distance(*both).cast("int").alias("distance"))
 
 
 def _anchors(reads: DataFrame, keys: _Keys, begin: Column) -> DataFrame:
@@ -278,6 +278,15 @@ def slot_pairs(reads: DataFrame, cfg, slots: str = "abcd") -> DataFrame:
     return reduce(DataFrame.unionByName, pairs)
 
 
+def near_cores(reads: DataFrame, cores: DataFrame, cfg) -> DataFrame:
+    """(read_id, cluster_id): of the cores (cluster_id, core) whose head anchor is near a read's, the nearest, then the least. cfg: a ClusterConfig."""
+    keys = _Keys(cfg.near - 1, cfg.depth, cfg.near + 2)
+    code, text = keys.columns(F.col("anchor"))
+    of = lambda df: _anchors(df, keys, F.lit(cfg.head_skip + 1)).select(F.col("read_id").alias("id"), code.alias("code"), text.alias("text"))
+    met = candidates(of(reads), of(cores.select(F.col("cluster_id").alias("read_id"), F.col("core").alias("seq"))), keys, earlier=False).where(F.col("distance") < cfg.near)
+    return met.groupBy(F.col("right_id").alias("read_id")).agg(F.min(F.struct("distance", "left_id")).alias("b")).select("read_id", F.col("b.left_id").alias("cluster_id"))
+
+
 def chosen(pairs: DataFrame, reads: DataFrame) -> DataFrame:
     """(read_id, cluster_id): each read joins by the least slot, there (inner slots) with the fewest differences, and the least read_id; else itself."""
     order = F.struct("slot", F.when(F.col("slot") == 2, F.col("distance")).otherwise(0).alias("distance"), "left_id")

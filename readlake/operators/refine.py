@@ -5,14 +5,18 @@ Reads carry read_id, label (-1: noise), embedding (unit vector), u_epi, u_ale an
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readlake.functions import vector as v
+from readlake.session import shared_root
 
 DIRTY, SAFE = 0.90, 0.70
 BROADCAST_ROWS = 20_000
@@ -91,57 +95,121 @@ def nearest_sql(reads: DataFrame, cents: DataFrame) -> DataFrame:
     return met.groupBy("read_id").agg(F.min(F.struct("d", "c_label")).alias("m")).select("read_id", F.col("m.c_label").alias("nearest"), F.col("m.d").alias("distance"))
 
 
+def _dense(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.to_pylist(), np.float64)
+
+
+def _distances(e: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * (e @ vectors.T)))
+
+
+def _closest(e: np.ndarray, vectors: np.ndarray, labels: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Label and distance of the nearest vector of each row; labels ascend, and ties go to the first."""
+    at, cos = np.empty(len(e), np.int64), np.empty(len(e))
+    for a in range(0, len(e), block):
+        sims = e[a : a + block] @ vectors.T
+        at[a : a + block] = sims.argmax(1)
+        cos[a : a + block] = sims.max(1)
+    return labels[at], np.sqrt(np.maximum(0, 2 - 2 * cos))
+
+
 def nearest(reads: DataFrame, cents: DataFrame, broadcast_rows: int = BROADCAST_ROWS, block: int = 2048) -> DataFrame:
     """(read_id, nearest, distance) by blocked matrix products over Arrow batches. Ties: least label.
 
-    Centroids are counted first: up to broadcast_rows they travel to the reads as one block. Beyond it they are cut into blocks by
-    hash of label, each read meets each block, and the best of the blocks is taken by an aggregation.
+    Centroids are counted first: up to broadcast_rows they travel to the reads. Beyond it they are grouped around pivots in a shared
+    table, from which tasks read the groups that they need; reads stay where they are.
     """
     spark, n = reads.sparkSession, cents.count()
-    parts = max(1, -(-n // broadcast_rows))
     rows = reads.select("read_id", "embedding")
-    schema = "read_id long, nearest int, distance double"
-
-    def find(vectors: np.ndarray, labels: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, cos = np.empty(len(e), np.int64), np.empty(len(e))
-        for a in range(0, len(e), block):
-            sims = e[a : a + block] @ vectors.T
-            at[a : a + block] = sims.argmax(1)
-            cos[a : a + block] = sims.max(1)
-        return labels[at], np.sqrt(np.maximum(0, 2 - 2 * cos))
-
-    def batch_of(ids: pa.Array, got: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        return pa.record_batch([ids, pa.array(got[0], pa.int32()), pa.array(got[1])], ["read_id", "nearest", "distance"])
-
-    def dense(column: pa.Array) -> np.ndarray:
-        return np.asarray(column.to_pylist(), np.float64)
-
-    if parts == 1:
-        found = sorted(cents.select("label", "centroid").collect(), key=lambda r: r["label"])
-        if not found:
-            return rows.limit(0).select("read_id", F.lit(0).alias("nearest"), F.lit(0.0).alias("distance"))
-        shared = spark.sparkContext.broadcast((np.array([r["centroid"] for r in found]), np.array([r["label"] for r in found])))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    yield batch_of(b.column("read_id"), find(*shared.value, dense(b.column("embedding"))))
-
-        return rows.mapInArrow(run, schema)
-
-    blocks = cents.groupBy(F.pmod(F.xxhash64("label"), F.lit(parts)).alias("part")).agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("cs"))
-    met = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>"))).withColumn("salt", F.pmod(F.xxhash64("read_id"), F.lit(64)))
-
-    def grouped(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"read_id": pa.array([], pa.int64()), "nearest": pa.array([], pa.int32()), "distance": pa.array([], pa.float64())})
-        cs = right.column("cs")[0].as_py()
-        got = find(np.array([x["centroid"] for x in cs]), np.array([x["label"] for x in cs]), dense(left.column("embedding")))
-        return pa.table({"read_id": left.column("read_id"), "nearest": pa.array(got[0], pa.int32()), "distance": pa.array(got[1])})
-
-    salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<long>")))
-    each = met.groupBy("part", "salt").cogroup(salted.groupBy("part", "salt")).applyInArrow(grouped, schema)
-    return each.groupBy("read_id").agg(F.min(F.struct("distance", "nearest")).alias("m")).select("read_id", F.col("m.nearest").alias("nearest"), F.col("m.distance").alias("distance"))
+    if n > broadcast_rows:
+        return _nearest_by_pivots(rows, cents, block)
+    found = sorted(cents.select("label", "centroid").collect(), key=lambda r: r["label"])
+    if not found:
+        return rows.limit(0).select("read_id", F.lit(0).alias("nearest"), F.lit(0.0).alias("distance"))
+    shared = spark.sparkContext.broadcast((np.array([r["centroid"] for r in found]), np.array([r["label"] for r in found])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield _batch_of(b.column("read_id"), *_closest(_dense(b.column("embedding")), *shared.value, block))
+
+    return rows.mapInArrow(run, NEAREST)
+
+
+NEAREST = "read_id long, nearest int, distance double"
+PIVOTS, SLACK, HELD_BYTES = 256, 1e-6, 256 << 20
+
+
+def _batch_of(ids: pa.Array, labels: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([ids, pa.array(labels, pa.int32()), pa.array(distance)], ["read_id", "nearest", "distance"])
+
+
+class Groups:
+    """The groups of a shared table (grp, label, centroid), read as they are asked for; the last ones stay, up to HELD_BYTES."""
+
+    def __init__(self, root: str):
+        self.root, self.held, self.size, self.loaded = root, {}, 0, 0
+
+    def get(self, grp: int) -> tuple[np.ndarray, np.ndarray]:
+        if grp not in self.held:
+            fs, path = pafs.FileSystem.from_uri(self.root)
+            found = [f for f in fs.get_file_info(pafs.FileSelector(f"{path}/grp={grp}")) if f.base_name.endswith(".parquet")]
+            tables = [pq.read_table(f.path, filesystem=fs, columns=["label", "centroid"], partitioning=None) for f in found]
+            table = pa.concat_tables(tables).sort_by("label")
+            vectors = np.asarray(table.column("centroid").combine_chunks().flatten(), np.float64).reshape(table.num_rows, -1)
+            self.loaded += 1
+            while self.held and self.size + vectors.nbytes > HELD_BYTES:
+                self.size -= self.held.pop(next(iter(self.held)))[0].nbytes
+            self.held[grp], self.size = (vectors, np.asarray(table.column("label"))), self.size + vectors.nbytes
+        return self.held[grp]
+
+
+def by_pivots(e: np.ndarray, pivots: np.ndarray, ranges: dict[int, tuple[float, float]], groups: Groups, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Label and distance of the nearest centroid of each row of e.
+
+    By the triangle inequality a centroid at a distance r from its pivot is at least |d - r| from what is d from the pivot. Groups are
+    visited by the least they may have, each for the rows only for which that is not beyond the best found so far.
+    """
+    d = _distances(e, pivots)
+    grps = np.array(sorted(ranges))
+    low, high = (np.array([ranges[g][k] for g in grps]) for k in (0, 1))
+    bound = np.maximum(0, np.maximum(d[:, grps] - high, low - d[:, grps]))
+    best, label = np.full(len(e), np.inf), np.full(len(e), np.iinfo(np.int64).max)
+    # first each row's own group, that of its nearest pivot
+    own = d[:, grps].argmin(1)
+    order = [*dict.fromkeys(own.tolist()), *[g for g in np.argsort(bound.min(0), kind="stable").tolist() if g not in set(own.tolist())]]
+    for first in (True, False):
+        for g in order:
+            rows = np.flatnonzero(own == g) if first else np.flatnonzero((own != g) & (bound[:, g] <= best + SLACK))
+            if len(rows):
+                labels, away = _closest(e[rows], *groups.get(int(grps[g])), block)
+                nearer = (away < best[rows]) | ((away == best[rows]) & (labels < label[rows]))
+                best[rows[nearer]], label[rows[nearer]] = away[nearer], labels[nearer]
+    return label, best
+
+
+def _nearest_by_pivots(rows: DataFrame, cents: DataFrame, block: int) -> DataFrame:
+    spark = rows.sparkSession
+    pivots = np.array([r["centroid"] for r in cents.select("centroid", "label").orderBy(F.xxhash64("label"), "label").limit(PIVOTS).collect()])
+    shared = spark.sparkContext.broadcast(pivots)
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                d = _distances(_dense(b.column("centroid")), shared.value)
+                yield pa.record_batch([pa.array(d.argmin(1), pa.int32()), pa.array(d.min(1)), b.column("label").cast(pa.int32()), b.column("centroid")], ["grp", "away", "label", "centroid"])
+
+    root = f"{shared_root(spark)}/centroids-{uuid.uuid4().hex}"
+    cents.select("label", "centroid").mapInArrow(grouped, "grp int, away double, label int, centroid array<double>").repartition("grp").write.partitionBy("grp").parquet(root)
+    ranges = {r["grp"]: (r["low"], r["high"]) for r in spark.read.parquet(root).groupBy("grp").agg(F.min("away").alias("low"), F.max("away").alias("high")).collect()}  # PIVOTS rows at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = Groups(root)
+        for b in batches:
+            if b.num_rows:
+                yield _batch_of(b.column("read_id"), *by_pivots(_dense(b.column("embedding")), shared.value, ranges, groups, block))
+
+    return rows.mapInArrow(run, NEAREST)
 
 
 def refine(reads: DataFrame, cents: DataFrame, delta: DataFrame, first_round: bool = False, by_sql: bool = False) -> DataFrame:

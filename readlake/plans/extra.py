@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from readlake.functions import sequence as s
 from readlake.functions import vector as v
-from readlake.operators import batches, cluster, decode, federated, match, metrics, voting
+from readlake.operators import align, batches, cluster, decode, federated, match, metrics, voting
 from readlake.plans import views
-from readlake.plans.catalogue import _CONS, _FOUND, PG, R, RN, TABLE, E, _assignments, _IDENT, _labelled_reads, _lgamma, _pred, _psi, _sum, query, r6, rounded
+from readlake.plans.catalogue import _CONS, _FOUND, PG, G, R, RN, TABLE, E, _assignments, _IDENT, _labelled_reads, _lgamma, _pred, _psi, _sum, query, r6, rounded
 from readlake.session import keep, shared_root
 from readlake.sources import sinks, text
 
@@ -296,6 +296,33 @@ def corrected_cores(spark: SparkSession, d: str) -> DataFrame:
     return cluster.corrected_cores(rows.join(cores, "cluster_id"), share=0.12)
 
 
+@query(
+    "WITH " + G + """,
+t AS (SELECT gt_id, gt_seq AS core, left(gt_seq, 9) || substr(gt_seq, 11, 9) || 'GG' || substr(gt_seq, 20, 10) || translate(substr(gt_seq, 30, 1), 'ACGT', 'CGTA') || substr(gt_seq, 31) AS seq FROM g WHERE length(gt_seq) >= 36)
+SELECT gt_id, levenshtein(core, seq)::INT AS n, seq FROM t"""
+)
+def aligned_references(spark: SparkSession, d: str) -> DataFrame:
+    """References aligned to copies of which a base is lost, two more and one changed: as many edits as the edit distance, and they make the copy."""
+    core, cut = F.col("core"), lambda a, n: F.substr("core", F.lit(a), F.lit(n))
+    seq = F.concat(cut(1, 9), cut(11, 9), F.lit("GG"), cut(20, 10), F.translate(cut(30, 1), "ACGT", "CGTA"), F.substr(core, F.lit(31)))
+    rows = keep(views.references(spark, d).where(F.length("gt_seq") >= 36).select(F.col("gt_id").alias("cluster_id"), F.col("gt_id").alias("read_id"), F.col("gt_seq").alias("core")).withColumn("seq", seq))
+    found = align.aligned(rows).join(rows, ["cluster_id", "read_id"])
+    n = F.aggregate("edits", F.lit(0), lambda x, e: x + F.when(e["base"].startswith(align.MORE), F.length(e["base"]) - 1).otherwise(1))
+    return found.select(F.col("cluster_id").alias("gt_id"), n.alias("n"), align.edited(F.col("core"), F.col("edits")).alias("seq"))
+
+
+@query(
+    "WITH " + G + """,
+t AS (SELECT gt_id, left(gt_seq, 9) || substr(gt_seq, 11, 19) || translate(substr(gt_seq, 30, 1), 'ACGT', 'CGTA') || substr(gt_seq, 31) AS core, gt_seq FROM g WHERE length(gt_seq) >= 36)
+SELECT gt_id AS cluster_id, CASE WHEN levenshtein(core, gt_seq) > 0 THEN gt_seq ELSE core END AS core, 7::BIGINT AS n_members FROM t"""
+)
+def mended_cores(spark: SparkSession, d: str) -> DataFrame:
+    """Cores that lack a base and have a changed one, mended by seven members that have neither."""
+    core = F.concat(F.substr("seq", F.lit(1), F.lit(9)), F.substr("seq", F.lit(11), F.lit(19)), F.translate(F.substr("seq", F.lit(30), F.lit(1)), "ACGT", "CGTA"), F.substr("seq", F.lit(31)))
+    rows = views.references(spark, d).where(F.length("gt_seq") >= 36).select(F.col("gt_id").alias("cluster_id"), F.col("gt_seq").alias("seq"), F.explode(F.sequence(F.lit(1), F.lit(7))).cast("long").alias("read_id"))
+    return align.corrected(keep(rows.withColumn("core", core))).select("cluster_id", "core", "n_members")
+
+
 # ---------------------------------------------------------------- diagnostics on evidence
 
 

@@ -93,8 +93,8 @@ def write_metrics(row: DataFrame, path: str) -> None:
     row.coalesce(1).write.json(path)  # one row
 
 
-def write_log(row: DataFrame, path: str) -> None:
-    row.coalesce(1).write.mode("append").csv(path, header=True)  # one row for each round
+def write_log(row: DataFrame, path: str, mode: str = "append") -> None:
+    row.coalesce(1).write.mode(mode).csv(path, header=True)  # one row for each round
 
 
 def write_reads(reads: DataFrame, path: str, lines_per_file: int = 5_000_000) -> None:

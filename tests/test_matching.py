@@ -14,6 +14,8 @@ def some(rng, n):
 
 def edited(rng, seq, n):
     for _ in range(n):
+        if not seq:
+            break
         k, kind = rng.randrange(len(seq)), rng.randrange(3)
         seq = seq[:k] + (rng.choice("ACGT") + seq[k + 1 :] if kind == 0 else seq[k + 1 :] if kind == 1 else rng.choice("ACGT") + seq[k:])
     return seq
