@@ -5,7 +5,8 @@ r draws of every block and one more of the first blocks of a permutation. The bl
 still fits in its turn, and so do the blocks after it in the permutation, until no document of the source fits: what is missing is
 then less than any document not taken. The one document that comes closest to it is added, if that brings the source
 nearer to its target. Where it ends nearer if the block gives only the documents before the first that does not fit, and the
-closest one, that is done instead. These documents go where the block goes that the rest ends in. A tree then splits the block draws of all sources among the output shards: at each node
+closest one, that is done instead. At last, of SWAPPED documents that are taken once more and as many that are not, by hash, the set is
+exchanged whose sizes bring the source nearest to its target, of all such sets. These documents go where the block goes that the rest ends in. A tree then splits the block draws of all sources among the output shards: at each node
 the left half's share of each source is a draw from the multivariate hypergeometric distribution, so quotas are exact at every
 level and no shard is favoured. A shard takes disjoint runs of each source's permuted draws and orders documents by a hash.
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from readlake.llm import common as c
 
 WEIGHTS, CAP, SHARDS, BLOCK_DOCS, SEED = (5, 2, 1), 3, 64, 2048, 17
+SWAPPED = 10
 BROADCAST_SOURCES = 20_000
 
 
@@ -119,6 +121,29 @@ def closest(units: DataFrame, found: DataFrame, gaps: dict[int, int]) -> dict[in
     return {s: (*nearest[s],) if s in nearest and nearest[s]["off"] < gap else (gap, None, None) for s, gap in gaps.items()}
 
 
+def _exchange(group: pa.Table) -> pa.Table:
+    """The documents of a source whose exchange brings it nearest to its target: of all sets the fewest documents, then the first set."""
+    group = group.sort_by([("one_more", "ascending"), ("key", "ascending"), ("doc_id", "ascending")])
+    change = np.where(np.asarray(group.column("one_more")), -1, 1) * np.asarray(group.column("size"))
+    sums, count = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    for x in change:
+        sums, count = np.concatenate([sums, sums + x]), np.concatenate([count, count + 1])
+    off = np.abs(group.column("gap")[0].as_py() - sums)
+    near = np.flatnonzero(off == off.min())
+    best = int(near[count[near].argmin()])
+    return group.filter(pa.array([bool(best >> i & 1) for i in range(len(change))])).select(["s", "key", "doc_id"])
+
+
+def exchanged(rows: DataFrame, cap: int) -> DataFrame:
+    """(s, key, doc_id) of the documents whose extra take is given to another or taken away. rows: s, key, doc_id, size, rest, whole, one_more."""
+    gap = rows.groupBy("s").agg((F.first("rest") - F.sum(F.when(F.col("one_more"), F.col("size")).otherwise(0))).alias("gap")).where("gap <> 0")
+    # rows that repeat a doc_id are taken alike
+    units = rows.where((F.col("size") > 0) & (F.col("whole") < cap)).groupBy("s", "one_more", "key", "doc_id").agg(F.sum("size").alias("size"))
+    first = F.row_number().over(Window.partitionBy("s", "one_more").orderBy("key", "doc_id"))
+    some = units.withColumn("place", first).where(F.col("place") <= SWAPPED).join(gap, "s").select("s", "one_more", "key", "doc_id", "size", "gap")
+    return some.groupBy("s").applyInArrow(_exchange, some.select("s", "key", "doc_id").schema)
+
+
 def _is_fit() -> Column:
     return (F.col("s") == F.col("fit_s")) & (F.col("key") == F.col("fit_key")) & F.col("doc_id").eqNullSafe(F.col("fit_doc_id"))
 
@@ -164,7 +189,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, sha
     rows = rows.join(fits.select(*(F.col(n).alias(f"fit_{n}") for n in ("s", "key", "doc_id"))), _is_fit(), "left")
     rows = rows.withColumn("fitted", F.col("extra") == "all").join(F.broadcast(picked.drop("way")), "s", "left")
     near_is_it = F.coalesce((F.col("key") == F.col("near_key")) & F.col("doc_id").eqNullSafe(F.col("near_id")), F.lit(False))
-    rows = rows.withColumn("one_more", F.col("fitted") | F.col("fit_key").isNotNull() | near_is_it).join(small(ends), "s")
+    rows = c.cut(rows.withColumn("one_more", F.col("fitted") | F.col("fit_key").isNotNull() | near_is_it).drop("fit_s", "fit_key", "fit_doc_id", "near_key", "near_id"))
+    flips = exchanged(rows, cap)
+    rows = rows.join(flips.select(*(F.col(n).alias(f"fit_{n}") for n in ("s", "key", "doc_id"))), _is_fit(), "left")
+    rows = rows.withColumn("one_more", F.col("one_more") != F.col("fit_key").isNotNull()).join(small(ends), "s")
 
     epochs = F.sequence(F.lit(0), F.col("whole") + F.col("one_more").cast("int") - 1)
     epochs = F.when(F.col("whole") + F.col("one_more").cast("int") > 0, epochs).otherwise(F.array().cast("array<int>"))
