@@ -300,6 +300,16 @@ def founders(pairs: DataFrame, reads: DataFrame) -> DataFrame:
     return reads.select("read_id").join(near, "read_id", "left").select("read_id", F.coalesce("founder", "read_id").alias("cluster_id"))
 
 
+def anchor_state(events: DataFrame) -> DataFrame:
+    """(anchor, cluster): what an index of anchors holds after events (anchor, cluster, at) in order of `at`: the last one of an anchor decides, and one without cluster deletes it."""
+    return events.groupBy("anchor").agg(F.max_by("cluster", "at").alias("cluster")).where("cluster IS NOT NULL")
+
+
+def look_up(probes: DataFrame, state: DataFrame) -> DataFrame:
+    """The probes (anchor, ...) with the cluster of their anchor, null where the index has none."""
+    return probes.join(state, "anchor", "left")
+
+
 def identity_summary(scores: DataFrame, score: str = "score", perfect: float = 0.99) -> DataFrame:
     """n, mean_identity, n_perfect (above `perfect`)."""
     return scores.agg(F.count("*").alias("n"), F.avg(score).alias("mean_identity"), F.count_if(F.col(score) > perfect).alias("n_perfect"))

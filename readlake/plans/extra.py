@@ -157,6 +157,90 @@ def file_chunks(spark: SparkSession, d: str) -> DataFrame:
     return text.read_indexed(spark, path)
 
 
+@query(
+    _FOUND
+    + """,
+b AS (SELECT f.founder AS cid, y.seq AS reference, f.read_id, x.seq FROM f JOIN r x USING (read_id) JOIN r y ON y.read_id = f.founder WHERE f.read_id <> f.founder)
+SELECT 'I' AS dataset, 'train' AS split, dense_rank() OVER (ORDER BY cid) - 1 AS block_id, string_agg(seq, ',' ORDER BY read_id) AS reads, min(reference) AS reference FROM b GROUP BY cid"""
+)
+def file_training(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of reads and the lines of their references, in files whose ends cut blocks, paired by their numbers."""
+    root, blocks = _folder(spark, "training"), keep(_founder_blocks(spark, d).where("seq IS NOT NULL"))
+    sinks.write_block_lines(blocks.withColumn("reference", F.lit(None).cast("string")), f"{root}/I/train/reads.txt")
+    blocks.groupBy("cid").agg(F.min("reference").alias("reference")).repartitionByRange("cid").sortWithinPartitions("cid").select(F.col("reference").alias("value")).write.text(f"{root}/I/train/reference.txt")
+    return text.read_training(spark, root, "I", "train").withColumn("reads", F.array_join("reads", ","))
+
+
+@query(_FOUND + "\nSELECT row_number() OVER (ORDER BY read_id::VARCHAR) AS place, read_id::VARCHAR AS read_id, founder::VARCHAR AS cluster_id FROM f WHERE read_id <> founder")
+def file_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata in order of the ids as text over all files, each of which has a header."""
+    path = _folder(spark, "metadata")
+    sinks.write_metadata(_assignments(views.reads(spark, d)).select(*(F.col(n).cast("string").alias(n) for n in ("read_id", "cluster_id"))), path)
+    rows = text.lines(spark, path, F.col("value").startswith("read_id"), across=True).where(~F.col("value").startswith("read_id"))
+    part = F.split("value", ",")
+    return rows.select((F.col("line_no") - F.col("marks")).alias("place"), part[0].alias("read_id"), part[1].alias("cluster_id"))
+
+
+@query(
+    _CONS
+    + """,
+d AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY num_reads DESC, label) AS k FROM el JOIN co USING (label))
+SELECT row_number() OVER (ORDER BY label) AS place, label AS cluster_id, num_reads::INT AS num_reads, seq FROM d WHERE k = 1"""
+)
+def file_distinct_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """One record for each distinct sequence, written in order of ids: the place of each header in the files."""
+    path = _folder(spark, "distinct")
+    sinks.write_consensus(voting.keep_largest(decode.consensus(keep(_labelled_reads(spark, d)))), path)
+    headers = text.lines(spark, path, F.col("value").startswith(">"), across=True).where(F.col("value").startswith(">"))
+    places = headers.select(F.col("marks").alias("place"), F.regexp_extract("value", r"cluster_(\d+)", 1).cast("int").alias("cluster_id"))
+    return places.join(text.read_consensus(spark, path), "cluster_id").select("place", "cluster_id", "num_reads", "seq")
+
+
+@query("SELECT 2 AS round, vec_id::BIGINT AS read_id, CASE WHEN vec_id % 3 = 0 THEN -1 ELSE label END::INT AS label FROM embeddings")
+def file_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots of two rounds and the beginning of a third; the last finished one is found and read."""
+    root, state = _folder(spark, "rounds"), views.scored(spark, d).select("read_id", "label", "u_epi", "u_ale", "strength")
+    for number, label in ((1, F.col("label")), (2, F.when(F.col("read_id") % 3 == 0, -1).otherwise(F.col("label")))):
+        sinks.write_round({"state": state.withColumn("label", label), "sizes": state.groupBy("label").agg(F.count("*").alias("n"))}, root, number)
+    state.limit(1).write.parquet(f"{root}/round=3/state")
+    number = sinks.last_round(spark, root)
+    return spark.read.parquet(f"{root}/round={number}/state").select(F.lit(number).alias("round"), "read_id", "label")
+
+
+@query(R + "\nSELECT read_id::VARCHAR AS read_id, seq FROM r WHERE length(seq) >= 145 OR length(seq) < 40")
+def file_globs(spark: SparkSession, d: str) -> DataFrame:
+    """Reads of two lists of files, given by two globs; a third folder is in neither."""
+    path, size = _folder(spark, "globs"), F.length("seq")
+    rows = keep(views.reads(spark, d).select("read_id", "seq"))
+    for name, part in (("long-a", size >= 145), ("short-b", size < 40), ("other", (size >= 40) & (size < 145))):
+        sinks.write_reads(rows.where(part), f"{path}/{name}")
+    return text.read_indexed(spark, [f"{path}/long-*/*", f"{path}/short-*/*"])
+
+
+@query(R + "\nSELECT row_number() OVER (ORDER BY tag) AS place, tag FROM (SELECT DISTINCT tag FROM r EXCEPT SELECT DISTINCT tag FROM r WHERE length(seq) = 150 AND lang = 'de')")
+def missing_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Missing ids, sorted: each with its place."""
+    rows = views.reads(spark, d)
+    absent = match.missing(rows, rows.where((F.length("seq") == 150) & (F.col("lang") == "de")), "tag")
+    return voting.numbered(absent, "tag").select(F.col("line_no").cast("long").alias("place"), "tag")
+
+
+@query(
+    R
+    + """,
+e AS (SELECT substr(seq, 1, 7) AS anchor, read_id, CASE WHEN length(seq) % 3 = 0 AND length(seq) < 150 THEN NULL ELSE read_id END AS cluster FROM r WHERE length(seq) >= 14),
+s AS (SELECT anchor, last(cluster ORDER BY read_id) AS cluster FROM e GROUP BY 1)
+SELECT read_id, cluster FROM (SELECT read_id, right(seq, 7) AS anchor FROM r WHERE length(seq) >= 14) p LEFT JOIN s USING (anchor)"""
+)
+def anchor_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """An index of head anchors after inserts and deletes in order of read_id, a later insert taking an anchor over; tails are looked up."""
+    rows = views.reads(spark, d).where(F.length("seq") >= 14)
+    gone = (F.length("seq") % 3 == 0) & (F.length("seq") < 150)
+    events = rows.select(F.substring("seq", 1, 7).alias("anchor"), F.when(~gone, F.col("read_id")).alias("cluster"), F.col("read_id").alias("at"))
+    probes = rows.select("read_id", F.substring("seq", -7, 7).alias("anchor"))
+    return match.look_up(probes, match.anchor_state(events)).select("read_id", "cluster")
+
+
 # ---------------------------------------------------------------- founders and ids
 
 _BLOCKS = _FOUND + ",\nblocks AS (SELECT f.founder AS cid, y.seq AS reference, f.read_id, x.seq FROM f JOIN r x USING (read_id) JOIN r y ON y.read_id = f.founder WHERE f.read_id <> f.founder)"
@@ -319,7 +403,7 @@ SELECT gt_id AS cluster_id, CASE WHEN levenshtein(core, gt_seq) > 0 THEN gt_seq
 def mended_cores(spark: SparkSession, d: str) -> DataFrame:
     """Cores that lack a base and have a changed one, mended by seven members that have neither."""
     core = F.concat(F.substr("seq", F.lit(1), F.lit(9)), F.substr("seq", F.lit(11), F.lit(19)), F.translate(F.substr("seq", F.lit(30), F.lit(1)), "ACGT", "CGTA"), F.substr("seq", F.lit(31)))
-    rows = views.references(spark, d).where(F.length("gt_seq") >= 36).select(F.col("gt_id").alias("cluster_id"), F.col("gt_seq").alias("seq"), F.explode(F.sequence(F.lit(1), F.lit(7))).cast("long").alias("read_id"))
+    rows = views.references(spark, d).where(F.length("gt_seq") >= 36).select(F.col("gt_id").alias("cluster_id"), F.col("gt_seq").alias("seq"), F.explode(F.sequence(F.lit(1), F.lit(7)).cast("array<long>")).alias("read_id"))
     return align.corrected(keep(rows.withColumn("core", core))).select("cluster_id", "core", "n_members")
 
 

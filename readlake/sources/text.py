@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from readlake.functions import sequence as s
 
 
-def lines(spark: SparkSession, path: str, mark: Column | None = None, across: bool = False) -> DataFrame:
+def lines(spark: SparkSession, path: str | list[str], mark: Column | None = None, across: bool = False) -> DataFrame:
     """path, line_no, value; with `mark`, a condition on value, also marks: how many lines up to this one meet it, and since: how many other lines
     with text stand after the last of these, this one included. Numbers begin anew in each file, or go on over the files in order of their paths (`across`).
 
@@ -61,8 +61,8 @@ def _parts(value: str | Column = "value") -> Column:
     return F.split(F.trim(value), r"\s+")
 
 
-def read_indexed(spark: SparkSession, path: str) -> DataFrame:
-    """read_id, seq from lines `<id> <seq>`; lines with fewer than two fields go, the last line of an id wins."""
+def read_indexed(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """read_id, seq from lines `<id> <seq>` of a path, a glob, or several of them; lines with fewer than two fields go, the last line of an id wins."""
     rows = lines(spark, path).where(F.size(_parts()) >= 2).select(F.get(_parts(), F.lit(0)).alias("read_id"), F.element_at(_parts(), -1).alias("seq"), F.struct("path", "line_no").alias("at"))
     return rows.groupBy("read_id").agg(F.max_by("seq", "at").alias("seq"))
 
@@ -178,11 +178,11 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_training(spark: SparkSession, root: str, dataset: str, split: str) -> DataFrame:
-    """dataset, split, block_id, reads, reference: blocks of reads.txt paired with the lines of reference.txt; empty blocks go."""
-    rows = lines(spark, f"{root}/{dataset}/{split}/reads.txt", F.col("value").startswith("=")).withColumnRenamed("marks", "block_id")
-    rows = rows.where(F.col("value") != "").where(~F.col("value").startswith("="))
+    """dataset, split, block_id, reads, reference: blocks of reads.txt paired with the lines of reference.txt; empty blocks go. Both may be folders, whose files are one text."""
+    ends = F.col("value").startswith("=")
+    rows = lines(spark, f"{root}/{dataset}/{split}/reads.txt", ends, across=True).withColumnRenamed("marks", "block_id").where((F.col("value") != "") & ~ends)
     reads = rows.groupBy("block_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]).alias("reads"))
-    refs = lines(spark, f"{root}/{dataset}/{split}/reference.txt").select((F.col("line_no") - 1).alias("block_id"), F.col("value").alias("reference"))
+    refs = lines(spark, f"{root}/{dataset}/{split}/reference.txt", across=True).select((F.col("line_no") - 1).alias("block_id"), F.col("value").alias("reference"))
     return reads.join(refs, "block_id").select(F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), "block_id", "reads", "reference")
 
 
