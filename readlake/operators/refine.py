@@ -89,7 +89,9 @@ def radius(reads: DataFrame, cents: DataFrame, quantile: float = 0.95, fallback:
 
 
 def nearest_sql(reads: DataFrame, cents: DataFrame) -> DataFrame:
-    """(read_id, nearest, distance) by built-in expressions: each read meets each of a few centroids. Ties: least label."""
+    """(read_id, nearest, distance) by built-in expressions: each read meets each of a few centroids, which are counted first; many go to nearest(). Ties: least label."""
+    if cents.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return nearest(reads, cents)
     c = cents.select(F.col("label").alias("c_label"), "centroid")
     met = reads.select("read_id", "embedding").crossJoin(F.broadcast(c)).select("read_id", "c_label", v.unit_distance(F.col("embedding"), F.col("centroid")).alias("d"))
     return met.groupBy("read_id").agg(F.min(F.struct("d", "c_label")).alias("m")).select("read_id", F.col("m.c_label").alias("nearest"), F.col("m.d").alias("distance"))

@@ -62,15 +62,15 @@ def left_label(reads: DataFrame, truth: DataFrame, size: int = 80) -> DataFrame:
     return reads.withColumn("key", key("seq")).join(known, "key", "left").drop("key").withColumn("tag", F.coalesce("tag", F.lit("-1")))
 
 
-def block_numbers(lines: DataFrame, separator: Column, order: str, within: str | None = None) -> DataFrame:
-    """The number of each line's block, from 0: a separator begins the next one. `within` keeps the window partitioned."""
-    over = (Window.partitionBy(within) if within else Window.partitionBy()).orderBy(order)
+def block_numbers(lines: DataFrame, separator: Column, order: str, within: str) -> DataFrame:
+    """The number of each line's block in its group, from 0: a separator begins the next one. Lines of a whole file are numbered by sources.text.lines, without a window over them."""
+    over = Window.partitionBy(within).orderBy(order)
     return lines.withColumn("block_id", F.sum(separator.cast("long")).over(over.rowsBetween(Window.unboundedPreceding, 0)) - 1)
 
 
-def block_edges(rows: DataFrame, block: str, order: str, within: str | None = None) -> DataFrame:
-    """is_first and is_last of every row in its block, by comparing neighbours."""
-    over = (Window.partitionBy(within) if within else Window.partitionBy()).orderBy(order)
+def block_edges(rows: DataFrame, block: str, order: str, within: str) -> DataFrame:
+    """is_first and is_last of every row in its block, by comparing neighbours in its group."""
+    over = Window.partitionBy(within).orderBy(order)
     return rows.withColumns({"is_first": ~F.col(block).eqNullSafe(F.lag(block).over(over)), "is_last": ~F.col(block).eqNullSafe(F.lead(block).over(over))})
 
 
