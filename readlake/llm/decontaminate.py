@@ -3,16 +3,18 @@
 Texts are A-Z folded and cut into words; a shingle is five words (an item under five words is one shingle). A window of a
 document is as long as an item and lies where a shingle of the document meets the same shingle of some item of that
 length, moved inside the document at its ends; a window without a common shingle has similarity 0 to every item. Each window
-and each item gets a SimHash of 256 bits of its shingles, counted with their multiplicity. The bits are cut into 16 blocks of 16. Two
-fingerprints within radius 63 differ in at most 3 bits of some block, and then two bits turned on the window's side and one on the item's
-make the blocks equal. So an index of every block of every item under each change of one bit or none, asked with each change of two bits or
-fewer, finds all of them by a join on one key, and takes about a sixth of unlike pairs of one length. A pair counts at its first such
-block and at one pair of changes only. What is within the radius is verified exactly: sum of least multiplicities over sum of greatest,
-against min_similarity. Items of more than 16,000 shingles, which the counters of the fingerprint don't hold, are verified without it.
+and each item gets a SimHash of 256 bits of its shingles, counted with their multiplicity. The bits are cut into 32 blocks of 8. Two
+fingerprints within radius 63 differ in at most one bit of some block, so an index of every block of every item, one side of it under each
+change of one bit or none, finds all of them by a join on one key. At so wide a radius any complete index meets many unlike pairs of one
+length (here two thirds of them, 1.1 times on average); narrow blocks keep what a window asks to 32 keys. A pair counts at its first such
+block only. What is within the radius is verified exactly: sum of least multiplicities over sum of greatest, against min_similarity.
+Only keys, fingerprints and numbers of windows go through the index; words are joined to the pairs within the radius. Items of more
+than 16,000 shingles, which the counters of the fingerprint don't hold, are verified without it.
 
 At similarity 0.8 about 39 of 256 bits differ, with deviation 5.8: the radius lies over four deviations out.
-The table of item shingles and the index are broadcast only if they have at most broadcast_rows rows, counted first; else they are shuffled,
-and then windows fetch their words from the texts after the join.
+The table of item shingles and the index are broadcast only if they have at most broadcast_rows rows, counted first. Changed bits are on the
+items' side (288 rows an item, 32 a window) if that can be broadcast, else on the windows' side if 32 rows an item can, else on the items'
+side in a shuffled join. Where item shingles are shuffled, windows fetch their words from the texts after the join.
 
 Defined results: null and empty texts and items match nothing. A document shorter than an item is one window. Items may repeat
 an item_id; a null item_id matches but is not listed. Rows that repeat a doc_id are judged together: what one of them holds, all hold.
@@ -30,9 +32,9 @@ from readlake.llm import common as c
 from readlake.llm.line_dedup import _lower
 
 WIDTH, MIN_SIMILARITY, BROADCAST_ROWS = 5, 0.8, 1_000_000
-PARTS, BLOCKS, BITS, APART = 4, 16, 16, 3  # longs of a fingerprint; blocks, bits of each, and bits of a block that may differ
+PARTS, BLOCKS, BITS, APART = 4, 32, 8, 1  # longs of a fingerprint; blocks, bits of each, and bits of a block that may differ
 RADIUS, LONGEST = BLOCKS * (APART + 1) - 1, 16_000
-_LANES = 0x0001000100010001
+_LANES, _LANE = 0x0001000100010001, 16
 
 
 def words(text: Column) -> Column:
@@ -65,7 +67,7 @@ def with_print(rows: DataFrame, array: str, width: int, name: str) -> DataFrame:
     """
     keys = rows.columns
     parts = [F.xxhash64(F.lit(i), F.col("h")).alias(f"x{i}") for i in range(PARTS)]
-    sums = [F.sum(F.shiftrightunsigned(f"x{i}", k).bitwiseAND(F.lit(_LANES))).alias(f"s{i}_{k}") for i in range(PARTS) for k in range(BITS)]
+    sums = [F.sum(F.shiftrightunsigned(f"x{i}", k).bitwiseAND(F.lit(_LANES))).alias(f"s{i}_{k}") for i in range(PARTS) for k in range(_LANE)]
     short = F.size(array) < LONGEST + width
     counted = with_shingles(rows.where(short), array, width).select(*keys, *parts).groupBy(*keys).agg(F.count("*").alias("n"), *sums)
     over = (F.lit((1 << 14) - 1) - F.floor(F.col("n") / 2)) * F.lit(_LANES)  # lifts a counter over half of n to bit 14
@@ -73,7 +75,7 @@ def with_print(rows: DataFrame, array: str, width: int, name: str) -> DataFrame:
 
     def part(i: int) -> Column:
         out = bits(i, 0)
-        for k in range(1, BITS):
+        for k in range(1, _LANE):
             out = out.bitwiseOR(bits(i, k))
         return out
 
@@ -87,22 +89,19 @@ def _masks(most: int) -> list[int]:
 
 
 def with_keys(rows: DataFrame, name: str, turned: int) -> DataFrame:
-    """A row for each block and each change of at most `turned` bits, with block, change and key: length, block and bits in one number."""
-    out = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("value", F.expr(f"shiftrightunsigned({name}[block div 4], 16 * (block % 4)) & 65535L"))
+    """A row for each block and each change of at most `turned` bits, with block and key: length, block and bits in one number."""
+    out = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("value", F.expr(f"shiftrightunsigned({name}[block div 8], 8 * (block % 8)) & 255L"))
     out = out.withColumn("change", F.explode(F.lit(_masks(turned)).cast("array<long>")))
     key = F.expr("shiftleft(CAST(length AS BIGINT), 24) | shiftleft(CAST(block AS BIGINT), 16)").bitwiseOR(F.col("value").bitwiseXOR(F.col("change")))
-    return out.withColumn("key", key).drop("value")
+    return out.withColumn("key", key).drop("value", "change")
 
 
 def _first_meeting(a: str, b: str) -> Column:
-    """Whether this block is the first that differs in APART bits or fewer, and this change the one that counts for its difference."""
+    """Whether two fingerprints are within the radius, and this block is the first that differs in APART bits or fewer."""
     apart = [F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))) for i in range(PARTS)]
-    block = lambda i: F.shiftrightunsigned(apart[i // 4], 16 * (i % 4)).bitwiseAND(F.lit(65535))
+    block = lambda i: F.shiftrightunsigned(apart[i // 8], 8 * (i % 8)).bitwiseAND(F.lit(255))
     first = F.coalesce(*(F.when(F.bit_count(block(i)) <= APART, F.lit(i)) for i in range(BLOCKS)))
-    own = F.expr(f"shiftrightunsigned({a}[block div 4] ^ {b}[block div 4], 16 * (block % 4)) & 65535L")
-    counts = F.when(F.bit_count(own) == APART, own.bitwiseXOR(own.bitwiseAND(-own))).otherwise(own)
-    near = sum((F.bit_count(x) for x in apart), F.lit(0)) <= RADIUS
-    return near & (F.col("block") == first) & (F.col("change") == counts)
+    return (sum((F.bit_count(x) for x in apart), F.lit(0)) <= RADIUS) & (F.col("block") == first)
 
 
 def similarity(a: str, b: str) -> Column:
@@ -129,18 +128,31 @@ def windows(docs: DataFrame, items: DataFrame, width: int, broadcast: bool) -> D
     return texts.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row_hash") == F.col("of_hash"))).select("doc_id", "length", "start", taken).distinct()
 
 
+def met(windows: DataFrame, items: DataFrame, n_items: int, broadcast_rows: int) -> DataFrame:
+    """(window, item_hash) of the fingerprints of one length within the radius, each pair once. windows: window, length, print; items: item_hash, length, item_print.
+
+    A key holds the block and all bits of it, so a pair meets at a block under one change at most.
+    """
+    entries = n_items * BLOCKS
+    small = F.broadcast if entries <= broadcast_rows else (lambda df: df)
+    on_items = entries * len(_masks(APART)) <= broadcast_rows or entries > broadcast_rows
+    index = with_keys(items, "item_print", APART if on_items else 0).select("key", "item_hash")
+    asked = with_keys(windows, "print", 0 if on_items else APART).select("key", "block", "window", "print")
+    prints = small(items.select("item_hash", "item_print"))
+    return asked.join(small(index), "key").join(prints, "item_hash").where(_first_meeting("print", "item_print")).select("window", "item_hash")
+
+
 def candidates(docs: DataFrame, items: DataFrame, width: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
     """The windows (see windows()), and the pairs of windows and items that the index finds within the radius."""
     n = items.agg(F.sum("length").alias("n"), F.count("*").alias("items")).first()
     found = windows(docs, items, width, n["n"] <= broadcast_rows).withColumn("w", F.split("words", " "))
     found = with_print(found.select("doc_id", "length", "start", "w"), "w", width, "print")
+    found = c.cut(found.withColumn("window", F.xxhash64("doc_id", "length", "start", "w")))
     own = with_print(items.select("item_id", "length", "w"), "w", width, "item_print").withColumnRenamed("w", "item_w")
     own = c.cut(own.withColumn("item_hash", F.xxhash64("item_id", "item_w")))
-    small = F.broadcast if n["items"] * BLOCKS * len(_masks(1)) <= broadcast_rows else (lambda df: df)
-    index = with_keys(own.where("item_print IS NOT NULL"), "item_print", 1).select("key", "item_hash")
-    asked = with_keys(found.where("print IS NOT NULL"), "print", APART - 1)
+    pairs = met(found.where("print IS NOT NULL"), own.where("item_print IS NOT NULL"), n["items"], broadcast_rows)
     few = F.broadcast if n["n"] <= broadcast_rows else (lambda df: df)
-    near = asked.join(small(index), "key").join(few(own.where("item_print IS NOT NULL").drop("length")), "item_hash").where(_first_meeting("print", "item_print"))
+    near = found.join(pairs, "window").join(few(own.select("item_hash", "item_id", "item_w")), "item_hash")
     long = found.where("print IS NULL").join(own.where("item_print IS NULL"), "length")
     columns = ["doc_id", "start", "w", "item_id", "item_w"]
     return found, near.select(*columns).unionByName(long.select(*columns))

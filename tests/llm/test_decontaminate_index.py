@@ -58,3 +58,25 @@ def test_rows_that_repeat_a_doc_id_or_have_none(spark):
     docs = spark.createDataFrame([(1, prose(1, 60)), (1, item), (1, prose(2, 10) + " " + " ".join(item.split()[:6])), (None, item), (None, "x"), (2, " \n")], "doc_id long, text string")
     got = decontaminate.flag(docs, spark.createDataFrame([(5, item), (None, item), (5, item)], "item_id long, text string")).collect()
     assert sorted((str(r["doc_id"]), r["contaminated"], list(r["items"])) for r in got) == [("1", True, [5])] * 3 + [("2", False, [])] + [("None", True, [5])] * 2
+
+
+def test_every_pair_within_the_radius_meets_once(spark):
+    """Fingerprints that differ in 0 to 80 bits, spread evenly over the blocks or not, by all three plans of the index."""
+    rng = random.Random(3)
+    signed = lambda x: [((x >> 64 * i & (1 << 64) - 1) ^ 1 << 63) - (1 << 63) for i in range(4)]
+    items = [(k, 10 + k % 2, rng.getrandbits(256)) for k in range(40)]
+    asked = []
+    for k in range(400):
+        off, order = k % 81, [8 * (b % 32) + b // 32 for b in range(256)] if k % 3 else rng.sample(range(256), 256)
+        asked.append((k, items[k % 40][1], items[k % 40][2] ^ sum(1 << b for b in order[:off])))
+    want = sorted((a, i) for a, la, x in asked for i, li, y in items if la == li and (x ^ y).bit_count() <= decontaminate.RADIUS)
+    windows = spark.createDataFrame([(k, n, signed(x)) for k, n, x in asked], "window long, length int, print array<long>")
+    own = spark.createDataFrame([(k, n, signed(x)) for k, n, x in items], "item_hash long, length int, item_print array<long>")
+    assert len(want) >= 300
+    for rows in (10**6, 40 * 32, 0):
+        assert sorted(map(tuple, decontaminate.met(windows, own, 40, rows).collect())) == want
+
+
+def test_what_goes_through_the_index_is_narrow(spark):
+    windows = spark.createDataFrame([(1, 10, [0] * 4)], "window long, length int, print array<long>")
+    assert decontaminate.with_keys(windows, "print", 0).count() == 32 and decontaminate.with_keys(windows, "print", 1).count() == 288
