@@ -7,6 +7,7 @@ letters are coded in order, so numbers of one length sort as their texts do.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -76,6 +77,14 @@ def spaced(off: np.ndarray, bits: int) -> np.ndarray:
     return (off & (off >> bits) == 0) & (off & (off >> (2 * bits)) == 0)
 
 
+def parts_of(depth: int, near: int, bits: int) -> tuple[tuple[int, int], ...]:
+    """A number and a mask for each of `near` parts of an anchor; the leading 1 is in all."""
+    n = max(1, min(near, depth))
+    cuts = [depth * i // n for i in range(n + 1)]
+    part = lambda a, b: ((1 << (bits * (b - a))) - 1) << (bits * (depth - b))
+    return tuple((i, part(a, b) | 1 << (bits * depth)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)))
+
+
 class AnchorIndex:
     """Anchors of one slot, with exact lookup, deletion, and the nearest anchor under a number of differences.
 
@@ -89,11 +98,8 @@ class AnchorIndex:
         self._masks = cache(self._masks)
 
     def _masks(self, length: int) -> tuple[tuple[tuple[int, int], ...], int]:
-        """A number and a mask for each part (the leading 1 is in all), and the lowest bits of the bases."""
-        bits, n = self.coder.bits, max(1, min(self.near, length))
-        cuts = [length * i // n for i in range(n + 1)]
-        part = lambda a, b: ((1 << (bits * (b - a))) - 1) << (bits * (length - b))
-        return tuple((i, part(a, b) | 1 << (bits * length)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))), spread_low(bits, length)
+        """The parts, and the lowest bits of the bases."""
+        return parts_of(length, self.near, self.coder.bits), spread_low(self.coder.bits, length)
 
     def _of(self, code: int) -> tuple[tuple[tuple[int, int], ...], int]:
         return self._masks((code.bit_length() - 1) // self.coder.bits)
@@ -115,13 +121,12 @@ class AnchorIndex:
     def get(self, anchor: str | int) -> object | None:
         return self.exact.get(self.coder.text(anchor) if isinstance(anchor, str) else anchor)
 
-    def nearest(self, anchor: str | int) -> tuple[object | None, int]:
-        """(cluster, differences) of the closest anchor with fewer than `near` differences, ties to the least anchor; else (None, near)."""
-        code = self.coder.text(anchor) if isinstance(anchor, str) else anchor
+    def best(self, code: int) -> tuple[int, int]:
+        """(differences, anchor) of the closest anchor with fewer than `near` differences, ties to the least anchor; else (near, 0)."""
         if code < 0 or not self.near:
-            return None, self.near
+            return self.near, 0
         if code in self.exact:
-            return self.exact[code], 0
+            return 0, code
         masks, low = self._of(code)
         bits, best = self.coder.bits, (self.near, 0)
         for i, mask in masks:
@@ -132,4 +137,54 @@ class AnchorIndex:
                 n = (off & low).bit_count()
                 if n <= best[0] and (n, other) < best:
                     best = (n, other)
-        return (self.exact[best[1]], best[0]) if best[0] < self.near else (None, self.near)
+        return best
+
+    def nearest(self, anchor: str | int) -> tuple[object | None, int]:
+        """(cluster, differences) of what best() finds; else (None, near)."""
+        off, found = self.best(self.coder.text(anchor) if isinstance(anchor, str) else anchor)
+        return (self.exact[found], off) if off < self.near else (None, self.near)
+
+
+class AnchorTable:
+    """Anchors of one depth in order under each of their parts, for lookups of many anchors at a time. Anchors of -1 are left out.
+
+    places: of the anchors in the array that was given.
+    """
+
+    def __init__(self, codes: np.ndarray, near: int, depth: int, coder: Coder):
+        self.near, self.depth, self.bits = near, depth, coder.bits
+        self.places = np.flatnonzero(codes >= 0)
+        self.codes = codes[self.places]
+        self.parts = []
+        for _, mask in parts_of(depth, near, coder.bits):
+            keys = self.codes & mask
+            order = np.argsort(keys, kind="stable")
+            self.parts.append((mask, keys[order], order))
+
+    def pairs(self, asked: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """What is asked, where in codes, and the differences, if fewer than `near`; about `most` are compared at a time. A pair may come again."""
+        if not len(self.codes) or not self.near:
+            return
+        real = np.flatnonzero(asked >= 0)
+        for mask, keys, order in self.parts:
+            low = np.searchsorted(keys, asked[real] & mask)
+            n = np.searchsorted(keys, asked[real] & mask, "right") - low
+            rows, low, n = real[n > 0], low[n > 0], n[n > 0]
+            ends, a = np.cumsum(n), 0
+            while a < len(rows):
+                b = max(a + 1, int(np.searchsorted(ends, most + (ends[a - 1] if a else 0), "right")))
+                size = n[a:b]
+                at = order[np.arange(size.sum()) + np.repeat(low[a:b] - (np.cumsum(size) - size), size)]
+                row = np.repeat(rows[a:b], size)
+                off = np.bitwise_count(differing(self.codes[at] ^ asked[row], self.bits, self.depth))
+                near = off < self.near
+                yield row[near], at[near], off[near].astype(np.int64)
+                a = b
+
+    def nearest(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in codes the closest anchor of each is, ties to the first, and the differences: `near` where none has fewer."""
+        n = max(1, len(self.codes))
+        best = np.full(len(asked), self.near * n, np.int64)
+        for row, at, off in self.pairs(asked):
+            np.minimum.at(best, row, off * n + at)
+        return best % n, best // n

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readlake.operators import align
-from readlake.operators.anchors import AnchorIndex, Coder, differing, spaced
+from readlake.operators.anchors import AnchorIndex, AnchorTable, Coder, differing, spaced
 from readlake.operators.match import chosen, founders, near_cores, slot_pairs
 from readlake.session import keep
 
@@ -75,64 +75,148 @@ class ClusterConfig:
 
 
 class OnlineClusters:
-    """State of one prefix: an index for each slot, and the inner anchors of all founders."""
+    """State of one prefix: anchors of the founders by slot, and the inner anchors of all founders.
+
+    Reads are placed in blocks. A block is looked up at once in ordered tables of earlier founders. What founders since then can change, reads
+    that have joined none, and reads near such a read that comes before them, are placed one by one, the latest founders being in `slots`.
+    """
+
+    BLOCK, LATEST = 4096, 64
 
     def __init__(self, cfg: ClusterConfig):
         self.cfg = cfg
-        self.slots = {s: AnchorIndex(cfg.near, cfg.coder) for s in "ab" + cfg.inner_names}
-        self.inner = {s: np.zeros(64, np.int64) for s in cfg.inner_names}
+        #: half as wide where a number fits; 0 for none
+        self.number = np.uint32 if cfg.coder.bits * cfg.inner < 32 else np.int64
+        self.inner = {s: np.zeros(64, self.number) for s in cfg.inner_names}
         self.founders = 0
-        #: of the columns of codes: the slot of each inner one
+        #: the slot of each inner column of codes, and the columns of each slot
         self.columns = [s for _ in cfg.moves for s in cfg.inner_names]
+        self.columns_of = {"a": [0], "b": [1], **{s: [2 + k for k, x in enumerate(self.columns) if x == s] for s in cfg.inner_names}}
         self.still = 2 + len(cfg.inner_names) * cfg.moves.index(0)
+        self.tables = {s: self._table(s, np.zeros(0, np.int64)) for s in "ab" + cfg.inner_names}
+        self.owners = {s: np.zeros(0, object) for s in self.tables}
+        self._forget()
+
+    def _table(self, slot: str, codes: np.ndarray) -> AnchorTable:
+        return AnchorTable(codes, self.cfg.near, self.cfg.depth if slot in "ab" else self.cfg.inner, self.cfg.coder)
+
+    def _forget(self) -> None:
+        self.slots = {s: AnchorIndex(self.cfg.near, self.cfg.coder) for s in self.tables}
+        self.latest: list[tuple[object, dict[str, int]]] = []
+
+    def _anchors(self, codes: list[int]) -> dict[str, int]:
+        """Those without drift."""
+        return {"a": codes[0], "b": codes[1], **dict(zip(self.cfg.inner_names, codes[self.still :], strict=False))}
+
+    def _fold(self) -> None:
+        """The latest founders go into the tables, when they are many; of equal anchors the last one counts."""
+        if len(self.latest) < max(self.LATEST, self.founders // 8):
+            return
+        for slot, table in self.tables.items():
+            new = [(own[slot], i) for i, own in self.latest if own[slot] >= 0]
+            codes = np.concatenate([np.array([x for x, _ in new[::-1]], np.int64), table.codes])
+            owners = np.empty(len(codes), object)
+            owners[: len(new)] = [i for _, i in new[::-1]]
+            owners[len(new) :] = self.owners[slot]
+            codes, first = np.unique(codes, return_index=True)
+            self.tables[slot], self.owners[slot] = self._table(slot, codes), owners[first]
+        self._forget()
 
     def found(self, read_id: object, codes: list[int]) -> None:
         """The read is a founder: its anchors without drift are entered."""
-        still = dict(zip(self.cfg.inner_names, codes[self.still :], strict=False))
-        for slot, code in {"a": codes[0], "b": codes[1], **still}.items():
+        anchors = self._anchors(codes)
+        for slot, code in anchors.items():
             if code >= 0:
                 self.slots[slot].insert(code, read_id)
-        for slot, code in still.items():
+        for slot in self.cfg.inner_names:
             if self.founders == len(self.inner[slot]):
                 self.inner[slot] = np.concatenate([self.inner[slot], np.zeros_like(self.inner[slot])])
-            self.inner[slot][self.founders] = code
+            self.inner[slot][self.founders] = max(anchors[slot], 0)
         self.founders += 1
+        self.latest.append((read_id, anchors))
 
     def _doubtful(self, codes: list[int]) -> bool:
         """Whether an inner anchor of some founder differs in fewer than `far` spaced places."""
         cfg, bits = self.cfg, self.cfg.coder.bits
         for slot in cfg.inner_names:
-            own = np.array([c for s, c in zip(self.columns, codes[2:], strict=True) if s == slot and c >= 0], np.int64)
+            own = np.array([c for s, c in zip(self.columns, codes[2:], strict=True) if s == slot and c >= 0], self.number)
             theirs = self.inner[slot][: self.founders]
-            theirs = theirs[theirs >= 0]
+            theirs = theirs[theirs > 0]
             for a in range(0, len(theirs), 4096):
                 off = differing(theirs[a : a + 4096, None] ^ own, bits, cfg.inner)
-                n = np.bitwise_count(off)
-                if ((n < cfg.far) & spaced(off, bits)).any():
+                if spaced(off[np.bitwise_count(off) < cfg.far], bits).any():
                     return True
         return False
 
-    def place_codes(self, read_id: object, codes: list[int]) -> tuple[object | None, str]:
-        cfg = self.cfg
-        for slot, code in zip("ab", codes, strict=False):
-            found, off = self.slots[slot].nearest(code)
-            if off < cfg.near:
-                return found, "joined"
-        best = (cfg.near, None)
-        for slot, code in zip(self.columns, codes[2:], strict=True):
-            found, off = self.slots[slot].nearest(code)
-            if off < best[0]:
-                best = (off, found)
-        if best[0] < cfg.near:
-            return best[1], "joined"
-        if self._doubtful(codes):
-            return None, "ambiguous"
-        self.found(read_id, codes)
-        return read_id, "founder"
+    def _known(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(off, at), both (reads, columns): differences from the nearest anchor in the tables, and where it is. A column is asked only where none before it decides."""
+        near, off, at = self.cfg.near, np.full(codes.shape, self.cfg.near, np.int64), np.zeros(codes.shape, np.int64)
+        for slot, cols in self.columns_of.items():
+            cells = np.ix_(np.flatnonzero((off[:, : min(cols[0], 2)] >= near).all(axis=1)), cols)
+            found, n = self.tables[slot].nearest(codes[cells].ravel())
+            at[cells], off[cells] = found.reshape(-1, len(cols)), n.reshape(-1, len(cols))
+        return off, at
+
+    def _changeable(self, codes: np.ndarray, off: np.ndarray, hopeful: np.ndarray) -> np.ndarray:
+        """Reads with an anchor near one of the latest founders, or of a hopeful read before them, in a column that may decide."""
+        near, out = self.cfg.near, np.zeros(len(codes), bool)
+        order = np.concatenate([np.full(len(self.latest), -1), hopeful])
+        for slot, cols in self.columns_of.items():
+            own = self.still + self.cfg.inner_names.find(slot) if cols[0] > 1 else cols[0]
+            table = self._table(slot, np.concatenate([np.array([x[slot] for _, x in self.latest], np.int64), codes[hopeful, own]]))
+            # what is equal to an anchor of the head stays with it; a slot before this one decides without it
+            todo = np.flatnonzero((off[:, : min(cols[0], 2)] >= near).all(axis=1) & ((off[:, 0] > 0) | (cols[0] > 0)) & ~out)
+            for row, place, _ in table.pairs(codes[np.ix_(todo, cols)].ravel()):
+                row = todo[row // len(cols)]
+                out[row[order[table.places[place]] < row]] = True
+        return out
+
+    def _place_one(self, codes: list[int], off: list[int], at: list[int]) -> object | None:
+        """The cluster of a read by tables and latest founders; None if it joins none."""
+        near, best = self.cfg.near, (self.cfg.near, None)
+        for k, slot in enumerate(["a", "b", *self.columns]):
+            if k in (1, 2) and best[0] < near:
+                break
+            n, who = off[k], self.owners[slot][at[k]] if off[k] < near else None
+            m, anchor = self.slots[slot].best(codes[k])
+            if m < near and (m < n or (m == n and anchor <= self.tables[slot].codes[at[k]])):
+                n, who = m, self.slots[slot].exact[anchor]
+            if n < best[0]:
+                best = (n, who)
+        return best[1]
+
+    def _place_block(self, ids: list, codes: np.ndarray) -> list[tuple[object | None, str]]:
+        self._fold()
+        near = self.cfg.near
+        off, at = self._known(codes)
+        joined = (off < near).any(axis=1)
+        changeable = self._changeable(codes, off, np.flatnonzero(~joined))
+        # head, else tail, else the first of the inner columns with the fewest differences
+        column = np.where(off[:, 0] < near, 0, np.where(off[:, 1] < near, 1, 2 + off[:, 2:].argmin(axis=1) if off.shape[1] > 2 else 1))
+        who = np.full(len(ids), None, object)
+        for k, slot in enumerate(["a", "b", *self.columns]):
+            some = np.flatnonzero(joined & (column == k))
+            who[some] = self.owners[slot][at[some, k]]
+        out = [(x, "joined") for x in who]
+        for i in np.flatnonzero(~joined | changeable).tolist():
+            own = codes[i].tolist()
+            if changeable[i] and (found := self._place_one(own, off[i].tolist(), at[i].tolist())) is not None:
+                out[i] = (found, "joined")
+            elif self._doubtful(own):
+                out[i] = (None, "ambiguous")
+            else:
+                self.found(ids[i], own)
+                out[i] = (ids[i], "founder")
+        return out
 
     def place_all(self, ids: list, seqs: list[str]) -> list[tuple[object | None, str]]:
         """(cluster, status) of reads in order: joined, founder or ambiguous."""
-        return [self.place_codes(i, codes) for i, codes in zip(ids, self.cfg.codes(seqs).tolist(), strict=True)]
+        codes, out = self.cfg.codes(seqs), []
+        while len(out) < len(ids):
+            a = len(out)
+            b = a + min(self.BLOCK, max(512, self.founders))
+            out += self._place_block(ids[a:b], codes[a:b])
+        return out
 
     def place(self, read_id: object, seq: str) -> tuple[object | None, str]:
         return self.place_all([read_id], [seq])[0]

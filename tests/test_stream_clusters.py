@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from readlake.operators import match
-from readlake.operators.anchors import AnchorIndex, Coder
+from readlake.operators.anchors import AnchorIndex, AnchorTable, Coder, differing
 from readlake.operators.cluster import ClusterConfig, OnlineClusters, cluster, online
 from readlake.streaming import clusters
 
@@ -101,6 +102,37 @@ def test_online_equals_plain_texts(spark):
     assert {s for _, s in got.values()} == {"joined", "founder"} or "ambiguous" in {s for _, s in got.values()}
 
 
+def test_blocks_do_not_change_assignments():
+    """Many small blocks, and founders that go into the tables at once or late, give what one read at a time gives."""
+    rows = noisy(500, refs=25, seed=21, rate=0.05) + [(10_000 + i, s) for i, s in noisy(200, refs=60, seed=22, rate=0.1)]
+    ids, seqs = [i for i, _ in rows], [s for _, s in rows]
+    for cfg in (ClusterConfig(), ClusterConfig(near=2, drift=1), ClusterConfig(inner_slots=0), ClusterConfig(near=4, inner_depth=20)):
+        alone = OnlineClusters(cfg)
+        want = [alone.place(i, s) for i, s in rows]
+        assert len({s for _, s in want}) >= 2
+        for latest in (1, 64, 10**6):
+            state = OnlineClusters(cfg)
+            state.LATEST = latest
+            assert state.place_all(ids, seqs) == want
+        cuts = [0, 3, 3, 90, 400, len(rows)]
+        state = OnlineClusters(cfg)
+        assert [x for a, b in zip(cuts[:-1], cuts[1:]) for x in state.place_all(ids[a:b], seqs[a:b])] == want
+    assert [x for x in OnlineClusters(ClusterConfig(near=0)).place_all(ids[:50], seqs[:50]) if x[1] == "joined"] == []
+
+
+def test_anchor_table_finds_what_comparison_finds():
+    rng, coder = random.Random(4), Coder("ACGT")
+    some = ["".join(rng.choices("ACGT", k=9)) for _ in range(300)]
+    codes = np.array(sorted({coder.text(x) for x in some}), np.int64)
+    asked = np.array([coder.text("".join(rng.choices("ACGT", k=9))) for _ in range(200)] + [-1], np.int64)
+    off = np.bitwise_count(differing(codes[None] ^ asked[:, None], 2, 9)).astype(int)
+    at, n = AnchorTable(codes, 3, 9, coder).nearest(asked)
+    for row, (a, m) in enumerate(zip(at, n)):
+        least = off[row].min()
+        assert m == (least if least < 3 and asked[row] >= 0 else 3)
+        assert m == 3 or a == int(off[row].argmin())
+
+
 def test_primers_small_clusters_and_other_letters(spark):
     rows = [(i, "TTTT" + s[4:146] + "GGGG") for i, s in noisy(60, seed=3)]
     cfg = ClusterConfig(head_skip=4, tail_skip=4, least=2, inner_slots=1)
