@@ -5,7 +5,12 @@ identifier, each with its lexical patterns: the word before it, and the two word
 hexadecimal strings, are seeds. Spark then scores the graph of patterns and instances: a pattern's confidence is the mean score of
 its distinct instances, shrunk by one doubtful instance; an instance's score is the chance that one of its patterns is right;
 seeds stay at 1. After `rounds` rounds, patterns with enough distinct instances and confidence mark all their instances, seen or
-not, as kind "id". Only candidates and patterns are shuffled, never texts.
+not, as kind "id".
+
+A second pass counts what else stands after trusted patterns: a pattern is open if strings of the shape of an identifier are at least
+`confidence` of its distinct fillers, shrunk in the same way, so that "token =" is and "the" is not. A third pass marks every filler of
+open patterns, whatever its shape: a string of letters, or of one digit. Workers hold at most PATTERNS patterns at a time; where more are
+trusted or open, groups of them by hash take a pass each. Only candidates and patterns are shuffled, never texts.
 
 Base kinds, leftmost and non-overlapping per kind, failing matches dropped without retries: see the patterns below.
 Starts and ends count code points, ends exclusive. Defined results: null and empty texts have no spans. Rows that repeat a doc_id
@@ -15,9 +20,13 @@ are each read on their own. An identifier that overlaps a base span is not one o
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Set
+from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +45,9 @@ _IDENT = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._/+-]*[A-Za-z0-9])?")
 _HEX = re.compile(r"[0-9a-f]{32,}\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _CONTEXT = 96
+_FILLER = re.compile(r"[^\W_](?:[\w.+/-]*[^\W_])?")
+_WORD, _OPENING, _EDGE = re.compile(r"\S+"), "\"'([{<", re.compile(r"[\"'(\[{<]+")
+LEAST, DIGITS, PATTERNS = 6, 2, 262_144
 
 
 def _luhn(digits: str) -> bool:
@@ -77,27 +89,121 @@ def base_spans(text: str | None) -> list[tuple[int, int, str]]:
 
 
 def _patterns(text: str, start: int) -> list[str]:
-    left = text[max(0, start - _CONTEXT) : start].rstrip("\"'([{<").lower().split()[-2:]
+    left = text[max(0, start - _CONTEXT) : start].rstrip(_OPENING).lower().split()[-2:]
     return [" ".join(left[-n:]) for n in (1, 2) if len(left) >= n]
 
 
-def candidates(text: str | None, base: list[tuple[int, int, str]], least: int = 6, digits: int = 2) -> list[tuple[int, int, str, bool, bool, list[str]]]:
+def _apart(base: list[tuple[int, int, str]]) -> Callable[[int, int], bool]:
+    """Whether a span overlaps none of these, which are in order of their starts."""
+    starts, ends = [a for a, _, _ in base], [0, *accumulate((b for _, b, _ in base), max)]
+    return lambda a, b: ends[bisect_left(starts, b)] <= a
+
+
+def candidates(text: str | None, base: list[tuple[int, int, str]], least: int = LEAST, digits: int = DIGITS) -> list[tuple[int, int, str, bool, bool, list[str]]]:
     """(start, end, instance, seed, base, patterns) of base spans and of strings of the shape of an identifier."""
     if not text or not (base or _DIGIT.search(text)):
         return []
     out = [(a, b, text[a:b], True, True, _patterns(text, a)) for a, b, _ in base]
-    taken = sorted((a, b) for a, b, _ in base)
+    apart = _apart(base)
     for m in _IDENT.finditer(text):
         a, b = m.span()
-        if b - a >= least and sum("0" <= x <= "9" for x in m[0]) >= digits and not any(x < b and a < y for x, y in taken):
+        if b - a >= least and sum("0" <= x <= "9" for x in m[0]) >= digits and apart(a, b):
             out.append((a, b, m[0], bool(_HEX.match(m[0])), False, _patterns(text, a)))
     return out
 
 
+class Fillers:
+    """Finds what stands right after one of some patterns, as _patterns() gives them, but for what overlaps base spans.
+
+    A filler begins a word, or follows quotes or brackets inside of it, as in key="value".
+    """
+
+    def __init__(self, patterns: Set[str]):
+        self.patterns, self.last = patterns, {p.rsplit(" ", 1)[-1] for p in patterns}
+
+    def _ends(self, left: str) -> bool:
+        """Whether a pattern may end with that; a very long word is cut by _patterns()."""
+        return left in self.last or len(left) > _CONTEXT - 8
+
+    def _may(self, word: str) -> bool:
+        return self._ends(word) or any(self._ends(word[: m.start()]) for m in _EDGE.finditer(word))
+
+    def of(self, text: str | None) -> list[tuple[str, int, int]]:
+        """(pattern, start, end)"""
+        words = set((text or "").lower().split())
+        if self.last.isdisjoint(words) and not any(map(self._may, words)):
+            return []
+        begins, before = [], ""
+        for w in _WORD.finditer(text):
+            a, word = w.start(), w[0]
+            if self._ends(before):
+                begins.append(a + len(word) - len(word.lstrip(_OPENING)))
+            begins += [a + m.end() for m in _EDGE.finditer(word) if m.start() and self._ends(word[: m.start()].lower())]
+            before = word.lower()
+        spans = [m.span() for x in begins if (m := _FILLER.match(text, x))]
+        found = [(p, a, b) for a, b in spans for p in _patterns(text, a) if p in self.patterns]
+        apart = _apart(base_spans(text)) if found else None
+        return [x for x in found if apart(x[1], x[2])]
+
+
+def _in_groups(patterns: DataFrame) -> Iterator[frozenset[str]]:
+    """All patterns, about PATTERNS at a time."""
+    groups = patterns.count() // PATTERNS + 1
+    for g in range(groups):
+        part = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(groups)) == g) if groups > 1 else patterns
+        if some := frozenset(r[0] for r in part.collect()):
+            yield some
+
+
+def open_patterns(docs: DataFrame, trusted: DataFrame, confidence: float = 0.7) -> DataFrame:
+    """(pattern): the trusted patterns whose fillers are identifiers as a rule."""
+
+    def counted(some: frozenset[str]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = Fillers(some)
+            for batch in batches:
+                for part in c.slices(batch):
+                    seen = set()
+                    for text in part.column("text").to_pylist():
+                        for p, a, b in find.of(text):
+                            shaped = b - a >= LEAST and sum("0" <= x <= "9" for x in text[a:b]) >= DIGITS
+                            seen.add((p, xxhash.xxh3_64_intdigest(text[a:b].encode("utf-8", "surrogatepass")) - (1 << 63), shaped))
+                    yield pa.record_batch([pa.array([x[0] for x in seen], pa.string()), pa.array([x[1] for x in seen], pa.int64()), pa.array([x[2] for x in seen], pa.bool_())], ["pattern", "i", "shaped"])
+
+        found = docs.select("text").mapInArrow(run, "pattern string, i long, shaped boolean").groupBy("pattern", "i").agg(F.max("shaped").alias("shaped"))
+        share = F.sum(F.col("shaped").cast("double")) / (F.count("*") + 1)
+        return found.groupBy("pattern").agg(share.alias("share")).where(F.col("share") >= confidence).select("pattern")
+
+    parts = [counted(some) for some in _in_groups(trusted)]
+    return c.cut(reduce(DataFrame.unionByName, parts)) if parts else trusted
+
+
+def open_marks(docs: DataFrame, patterns: DataFrame) -> DataFrame | None:
+    """(doc_id, text_hash, start, end): all fillers of the patterns; None if there are no patterns."""
+
+    def marked(some: frozenset[str]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = Fillers(some)
+            for batch in batches:
+                for part in c.slices(batch):
+                    found, at = [], []
+                    for i, text in enumerate(part.column("text").to_pylist()):
+                        spots = {(a, b) for _, a, b in find.of(text)}
+                        found += spots
+                        at += [i] * len(spots)
+                    ids = [part.column(k).cast(pa.int64()).take(pa.array(at, pa.int64())) for k in ("doc_id", "text_hash")]
+                    yield pa.record_batch([*ids, pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32())], ["doc_id", "text_hash", "start", "end"])
+
+        return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, start int, end int")
+
+    parts = [marked(some) for some in _in_groups(patterns)]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base and found of every row of docs: one pass over the texts."""
+    """row, doc_id, text_hash, base and found of every row of docs: one pass over the texts."""
     span = "array<struct<start: int, end: int, kind: string>>"
-    schema = f"row long, doc_id long, base {span}, found array<struct<start: int, end: int, instance: string, seed: boolean, base: boolean, patterns: array<string>>>"
+    schema = f"row long, doc_id long, text_hash long, base {span}, found array<struct<start: int, end: int, instance: string, seed: boolean, base: boolean, patterns: array<string>>>"
     t_base = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
     t_found = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("seed", pa.bool_()), ("base", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
     names = [f.name for f in t_found.value_type]
@@ -113,9 +219,9 @@ def scan(docs: DataFrame) -> DataFrame:
                     found.append([dict(zip(names, x, strict=True)) for x in candidates(text, spans)])
                 ids = pa.array(range(row, row + part.num_rows), pa.int64())
                 row += part.num_rows
-                yield pa.record_batch([ids, part.column("doc_id").cast(pa.int64()), pa.array(base, t_base), pa.array(found, t_found)], ["row", "doc_id", "base", "found"])
+                yield pa.record_batch([ids, part.column("doc_id").cast(pa.int64()), part.column("text_hash"), pa.array(base, t_base), pa.array(found, t_found)], ["row", "doc_id", "text_hash", "base", "found"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
 def trusted_patterns(found: DataFrame, rounds: int = 3, least_instances: int = 3, confidence: float = 0.7) -> DataFrame:
@@ -143,6 +249,12 @@ def find_private(docs: DataFrame, rounds: int = 3, least_instances: int = 3, con
     others = found.where(~F.col("base"))
     by_pattern = others.select("row", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern").select("row", "start", "end")
     extra = by_pattern.unionByName(others.where("seed").select("row", "start", "end"))
+    marks = open_marks(docs, open_patterns(docs, c.cut(trusted), confidence))
+    if marks is not None:
+        # by what the row holds, not by its place, which another run of docs may change
+        marks = marks.select(F.col("doc_id").alias("of"), "text_hash", "start", "end").distinct()
+        rows = seen.select("row", "doc_id", F.col("text_hash").alias("own_hash"))
+        extra = extra.unionByName(rows.join(marks, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("own_hash") == F.col("text_hash"))).select("row", "start", "end"))
     extra = extra.groupBy("row").agg(F.collect_set(F.struct(F.col("start"), F.col("end"), F.lit("id").alias("kind"))).alias("extra"))
     spans = F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start: int, end: int, kind: string>>")))
     ranks = F.array(*map(F.lit, KINDS))
