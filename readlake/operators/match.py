@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readlake.functions.sequence import edit_identity, hamming, identity
+from readlake.operators.voting import numbered
 from readlake.session import keep
 
 
@@ -34,6 +35,32 @@ def near_lengths(pred: DataFrame, truth: DataFrame, most: int) -> DataFrame:
     return p.join(t, ["bucket", "salt"]).where(F.abs(F.length("pred_seq") - F.length("gt_seq")) <= most).drop("bucket", "salt")
 
 
+TILE_ROWS, TASK_PAIRS = 4096, 8_000_000
+
+
+def group_pairs(rows: DataFrame, group: str, id_: str, level: Column, levels: int, tile: int = TILE_ROWS, most: int = TASK_PAIRS) -> DataFrame:
+    """(group, x_..., y_...): all pairs of rows of one group, x with the lesser id.
+
+    The rows in order of group and id are cut into runs of `tile` rows, and these by level (0 to levels - 1, a class of what the pairs are
+    weighed by). Two such blocks of a group meet as one tile: a task holds `tile` rows of a side at most, and has about `most` pairs.
+    Tiles of one greater level share tasks, and pairs come row by row, so that files hold equal ids and like weights together.
+    """
+    ranked = numbered(rows.withColumn("_key", F.struct(group, id_)), "_key").withColumns({"_run": F.floor((F.col("line_no") - 1) / tile), "_level": level.cast("int")})
+    ranked = ranked.drop("_key", "line_no", "chunk_id")
+    blocks = keep(ranked.groupBy(group, "_run", "_level").agg(F.count("*").alias("_n")))
+    side = lambda df, s: df.select(group, *(F.col(c).alias(f"{s}_{c.lstrip('_')}") for c in df.columns if c != group))
+    tiles = side(blocks, "x").join(side(blocks, "y"), group).where("x_run <= y_run").withColumn("top", F.greatest("x_level", "y_level"))
+    pairs = {r["top"]: r["n"] for r in tiles.groupBy("top").agg(F.sum(F.col("x_n") * F.col("y_n")).alias("n")).collect()}  # a row for each level
+    keys = [group, "x_run", "x_level", "y_run", "y_level"]
+
+    def met(top: int) -> DataFrame:
+        of = tiles.where(F.col("top") == top).select(*keys)
+        dealt = lambda s: side(ranked, s).join(of, [group, f"{s}_run", f"{s}_level"]).repartition(pairs.get(top, 0) // most + 1, *keys)
+        return dealt("x").hint("merge").join(dealt("y"), keys).where(F.col(f"x_{id_}") < F.col(f"y_{id_}")).drop(*keys[1:])
+
+    return reduce(DataFrame.unionByName, map(met, range(levels)))
+
+
 def best_match(pairs: DataFrame, score: Column, by: str = "pred_id") -> DataFrame:
     """(by, other, score): the best partner of each id; ties to the least partner."""
     other = "gt_id" if by == "pred_id" else "pred_id"
