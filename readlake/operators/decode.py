@@ -50,7 +50,9 @@ def fused(evidence: DataFrame, weights: DataFrame) -> DataFrame:
 
 def fused_counts(reads: DataFrame, weights: DataFrame, extra: float = 1.0) -> DataFrame:
     """What fused() gives for pseudo_counts(), with a row for each place of a read and not four."""
-    at = reads.select("read_id", F.posexplode(F.split("seq", "")).alias("pos", "seen")).where("seen <> ''").join(weights, "read_id")
+    # reads meet their weights whole; places are summed up where they are made
+    heard = reads.select("read_id", "seq").join(weights, "read_id")
+    at = heard.select("label", "weight", F.posexplode(F.split("seq", "")).alias("pos", "seen")).where("seen <> ''")
     sums = at.groupBy("label", "pos").agg(F.sum("weight").alias("w"), *(F.sum(F.when(F.col("seen") == b, F.col("weight")).otherwise(0.0)).alias(b) for b in "ACGT"))
     bases = F.explode(F.array(*(F.struct(F.lit(b).alias("base"), (extra * F.col("w") + F.col(b)).alias("alpha")) for b in "ACGT")))
     return sums.select("label", "pos", bases.alias("b")).select("label", "pos", "b.base", "b.alpha")

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _cut(rows: DataFrame, id_: str, letters: str, *keep: str) -> DataFrame:
     """Reads of READ letters from the whole text: all its letters of the alphabet, in order, cut on end."""
-    bases = rows.select(id_, *keep, F.regexp_replace(F.upper("text"), f"[^{letters}]", "").alias("bases"))
+    bases = rows.select(id_, *keep, F.regexp_replace(F.upper("text"), f"[^{letters}]+", "").alias("bases"))
     starts = F.when(F.length("bases") > 0, F.sequence(F.lit(0), F.floor((F.length("bases") - 1) / READ).cast("int")))
     cut = bases.select("*", F.explode_outer(starts).alias("k")).where("k IS NOT NULL")
     return cut.select((F.col(id_) * PER_DOC + F.col("k")).alias("read_id"), F.substr("bases", F.col("k") * READ + 1, F.lit(READ)).alias("seq"), *keep)
