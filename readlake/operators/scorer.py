@@ -31,11 +31,17 @@ def kmer_counts(reads: DataFrame, k: int = 3) -> DataFrame:
     return rows.groupBy("read_id", "kmer").agg(F.count("*").alias("n"))
 
 
+def _occurrences(seq: Column, word: str) -> Column:
+    """How often a word of bases is in seq, overlaps included. One that can't overlap itself is counted by what its removal takes away."""
+    if any(word[:b] == word[-b:] for b in range(1, len(word))):
+        return F.regexp_count(seq, F.lit(f"{word[0]}(?={word[1:]})"))
+    return (F.length(seq) - F.length(F.replace(seq, F.lit(word)))) / len(word)
+
+
 def kmer_embedding(seq: Column, k: int = 2) -> Column:
-    """Unit vector of k-mer frequencies; zero for shorter sequences. One pass over the sequence, then a count for each k-mer."""
-    words = F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.substr(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    counts = F.transform(F.array(*map(F.lit, kmers(k))), lambda w: F.size(F.filter(words, lambda x: x == w)).cast("double"))
-    return v.unit(counts)
+    """Unit vector of k-mer frequencies; zero for shorter sequences."""
+    known = F.coalesce(seq, F.lit(""))
+    return v.unit(F.array(*(_occurrences(known, w).cast("double") for w in kmers(k))))
 
 
 def default_scorer(reads: DataFrame, k: int = 2) -> DataFrame:
