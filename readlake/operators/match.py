@@ -79,6 +79,28 @@ def _index(rows: DataFrame, bases: int, shifting: bool) -> DataFrame:
     return rows.select(F.col("id").alias("other_id"), "seq", F.explode(at).alias("at")).select("other_id", "at", F.xxhash64(F.substr("seq", F.col("at") + 1, F.lit(bases))).alias("key"))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast, where it is counted and has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _like_lengths(others: DataFrame, rows: DataFrame, most: int) -> DataFrame:
+    """Those of others whose length differs by `most` at most from that of some row."""
+    sizes = rows.select(F.length("seq").alias("size")).distinct().select(F.explode(F.sequence(F.col("size") - most, F.col("size") + most)).alias("size")).distinct()
+    return others.join(_few(keep(sizes)), F.length("seq") == F.col("size"), "left_semi")
+
+
+def _blocks(rows: DataFrame, bases: int, errors: int = 0) -> DataFrame:
+    """id, begin, key of the blocks of rows that have more than `errors` of them."""
+    blocks = rows.where(F.length("seq") >= bases * (errors + 1)).select("id", "seq", F.explode(F.sequence(F.lit(0), F.floor(F.length("seq") / bases).cast("int") - 1)).alias("i"))
+    return blocks.select("id", (F.col("i") * bases).alias("begin"), F.xxhash64(F.substr("seq", F.col("i") * bases + 1, F.lit(bases))).alias("key"))
+
+
+def _asked(index: DataFrame, rows: DataFrame, bases: int) -> DataFrame:
+    """What the index has under keys that rows may ask for; where these are few, the other windows are never shuffled."""
+    return index.join(_few(keep(_blocks(rows, bases).select("key").distinct())), "key", "left_semi")
+
+
 def near_candidates(rows: DataFrame, index: DataFrame, often: DataFrame, errors: int, bases: int, shifting: bool) -> DataFrame:
     """(id, other_id), each pair once, with all pairs of at most `errors` errors among them. rows: id, seq.
 
@@ -86,9 +108,7 @@ def near_candidates(rows: DataFrame, index: DataFrame, often: DataFrame, errors:
     places at most, or not at all. The blocks that the index has least often (often: key, n) are asked for, so that ends
     which all sequences share make no candidates. Rows of fewer blocks have no candidates.
     """
-    blocks = rows.where(F.length("seq") >= bases * (errors + 1)).select("id", "seq", F.explode(F.sequence(F.lit(0), F.floor(F.length("seq") / bases).cast("int") - 1)).alias("i"))
-    blocks = blocks.select("id", (F.col("i") * bases).alias("begin"), F.xxhash64(F.substr("seq", F.col("i") * bases + 1, F.lit(bases))).alias("key"))
-    blocks = blocks.join(often, "key", "left").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(0)), "begin")))
+    blocks = _blocks(rows, bases, errors).join(often, "key", "left").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(0)), "begin")))
     asked = blocks.where((F.col("place") <= errors + 1) & F.col("n").isNotNull()).select("id", "begin", "key")
     moved = F.abs(F.col("at") - F.col("begin"))
     return asked.join(index, "key").where(moved <= (errors if shifting else 0)).select("id", "other_id").distinct()
@@ -106,7 +126,7 @@ def _best_by_radius(rows: DataFrame, others: DataFrame, score: Column, wrong: Co
     rest = keep(rows.join(same.select("id"), "id", "left_anti"))
     if not rest.limit(1).count():
         return same, rest
-    index = keep(_index(others, BLOCK_BASES, shifting))
+    index = keep(_asked(_index(_like_lengths(others, rest, most), BLOCK_BASES, shifting), rest, BLOCK_BASES))
     often = keep(index.groupBy("key").agg(F.count("*").alias("n")))
     for radius in RADII:
         met = near_candidates(rest, index, often, radius, BLOCK_BASES, shifting)
@@ -123,6 +143,7 @@ def _best_by_radius(rows: DataFrame, others: DataFrame, score: Column, wrong: Co
 
 def best_by_identity(pred: DataFrame, truth: DataFrame, most: int = 10) -> DataFrame:
     """For each prediction, the reference of the most equal bases. What has none within few errors is compared base by base with all of like length."""
+    pred, truth = keep(pred), keep(truth)  # read at each radius
     rows, others = pred.select(F.col("pred_id").alias("id"), F.col("pred_seq").alias("seq")), truth.select(F.col("gt_id").alias("id"), F.col("gt_seq").alias("seq"))
     same = identity(F.col("seq"), F.col("other_seq"))
     longer = F.greatest(F.length("seq"), F.length("other_seq"))
@@ -133,6 +154,7 @@ def best_by_identity(pred: DataFrame, truth: DataFrame, most: int = 10) -> DataF
 
 def best_by_edit(pred: DataFrame, truth: DataFrame, most: int = 20) -> DataFrame:
     """For each reference, the prediction with the best edit identity. What has none within few edits is compared with all of like length."""
+    pred, truth = keep(pred), keep(truth)  # read at each radius
     rows, others = truth.select(F.col("gt_id").alias("id"), F.col("gt_seq").alias("seq")), pred.select(F.col("pred_id").alias("id"), F.col("pred_seq").alias("seq"))
     found, rest = _best_by_radius(rows, others, edit_identity(F.col("seq"), F.col("other_seq")), F.levenshtein("seq", "other_seq"), most, 100.0, True)
     far = best_match(near_lengths(pred, rest.toDF("gt_id", "gt_seq"), most), edit_identity(F.col("pred_seq"), F.col("gt_seq")), "gt_id")
