@@ -8,7 +8,9 @@ seeds stay at 1. After `rounds` rounds, patterns with enough distinct instances
 not, as kind "id".
 
 A second pass counts what else stands after trusted patterns: a pattern is open if strings of the shape of an identifier are at least
-`confidence` of its distinct fillers, shrunk in the same way, so that "token =" is and "the" is not. A third pass marks every filler of
+`confidence` of its distinct fillers, shrunk in the same way, so that "token =" is and "the" is not. The first pass knows the strings of that
+shape that may stand after a pattern, and so how many others close it for certain: patterns that nothing can open are not looked for, and a
+worker that has met one more than a pattern may have looks for it no longer. A third pass marks every filler of
 open patterns, whatever its shape: a string of letters, or of one digit. Workers hold at most PATTERNS patterns at a time; where more are
 trusted or open, groups of them by hash take a pass each. Only candidates and patterns are shuffled, never texts.
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator, Set
 from functools import reduce
 from itertools import accumulate
@@ -47,7 +50,7 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _CONTEXT = 96
 _FILLER = re.compile(r"[^\W_](?:[\w.+/-]*[^\W_])?")
 _WORD, _OPENING, _EDGE = re.compile(r"\S+"), "\"'([{<", re.compile(r"[\"'(\[{<]+")
-LEAST, DIGITS, PATTERNS = 6, 2, 262_144
+LEAST, DIGITS, PATTERNS, HELD = 6, 2, 262_144, 1_000_000
 
 
 def _luhn(digits: str) -> bool:
@@ -112,6 +115,23 @@ def candidates(text: str | None, base: list[tuple[int, int, str]], least: int =
     return out
 
 
+def _is_shaped(x: str) -> bool:
+    return len(x) >= LEAST and sum("0" <= c <= "9" for c in x) >= DIGITS
+
+
+def _hash(x: str) -> int:
+    return xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def shaped(text: str | None, base: list[tuple[int, int, str]]) -> set[tuple[str, int]]:
+    """(pattern, hash) of all strings of the shape of an identifier that may be fillers, and of some others."""
+    if not text or not _DIGIT.search(text):
+        return set()
+    apart = _apart(base)
+    spans = [m.span() for m in _FILLER.finditer(text) if _is_shaped(m[0]) and apart(*m.span())]
+    return {(p, _hash(text[a:b])) for a, b in spans for p in _patterns(text, a)}
+
+
 class Fillers:
     """Finds what stands right after one of some patterns, as _patterns() gives them, but for what overlaps base spans.
 
@@ -119,7 +139,16 @@ class Fillers:
     """
 
     def __init__(self, patterns: Set[str]):
-        self.patterns, self.last = patterns, {p.rsplit(" ", 1)[-1] for p in patterns}
+        self.patterns, self.ending = set(patterns), Counter(p.rsplit(" ", 1)[-1] for p in patterns)
+        self.last = set(self.ending)
+
+    def drop(self, pattern: str) -> None:
+        """From now on that is none of the patterns."""
+        self.patterns.remove(pattern)
+        last = pattern.rsplit(" ", 1)[-1]
+        self.ending[last] -= 1
+        if not self.ending[last]:
+            self.last.remove(last)
 
     def _ends(self, left: str) -> bool:
         """Whether a pattern may end with that; a very long word is cut by _patterns()."""
@@ -131,7 +160,8 @@ class Fillers:
     def of(self, text: str | None) -> list[tuple[str, int, int]]:
         """(pattern, start, end)"""
         words = set((text or "").lower().split())
-        if self.last.isdisjoint(words) and not any(map(self._may, words)):
+        # only words with other characters than letters and digits, and very long ones, may end in the middle
+        if self.last.isdisjoint(words) and not any(self._may(w) for w in words if not w.isalnum() or len(w) > _CONTEXT - 8):
             return []
         begins, before = [], ""
         for w in _WORD.finditer(text):
@@ -146,28 +176,48 @@ class Fillers:
         return [x for x in found if apart(x[1], x[2])]
 
 
-def _in_groups(patterns: DataFrame) -> Iterator[frozenset[str]]:
-    """All patterns, about PATTERNS at a time."""
+def _in_groups(patterns: DataFrame) -> Iterator[dict[str, int | None]]:
+    """All patterns, about PATTERNS at a time, with their limits as far as there are any."""
     groups = patterns.count() // PATTERNS + 1
     for g in range(groups):
         part = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(groups)) == g) if groups > 1 else patterns
-        if some := frozenset(r[0] for r in part.collect()):
+        if some := {r["pattern"]: r["most"] if "most" in r else None for r in part.collect()}:
             yield some
 
 
+def may_open(trusted: DataFrame, near: DataFrame, confidence: float = 0.7) -> DataFrame:
+    """(pattern, most): the trusted patterns that may be open, and how many other fillers one may have. near: pattern, i of all that shaped() finds.
+
+    With n strings of the shape at most, of which a pattern has n / (n + others + 1) at most, one other more than `most` closes it.
+    """
+    n = near.join(trusted, "pattern").groupBy("pattern").agg(F.count_distinct("i").alias("n")).where(F.col("n") >= confidence * (F.col("n") + 1) - 1e-9)
+    return n.select("pattern", (F.floor(F.col("n") * (1 / confidence - 1)) + 1).alias("most"))
+
+
 def open_patterns(docs: DataFrame, trusted: DataFrame, confidence: float = 0.7) -> DataFrame:
-    """(pattern): the trusted patterns whose fillers are identifiers as a rule."""
+    """(pattern): the trusted patterns whose fillers are identifiers as a rule. trusted: pattern, and most, if that is known."""
 
-    def counted(some: frozenset[str]) -> DataFrame:
+    def counted(some: dict[str, int | None]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find = Fillers(some)
+            find, others, held = Fillers(some.keys()), defaultdict(set), 0
             for batch in batches:
                 for part in c.slices(batch):
                     seen = set()
                     for text in part.column("text").to_pylist():
                         for p, a, b in find.of(text):
-                            shaped = b - a >= LEAST and sum("0" <= x <= "9" for x in text[a:b]) >= DIGITS
-                            seen.add((p, xxhash.xxh3_64_intdigest(text[a:b].encode("utf-8", "surrogatepass")) - (1 << 63), shaped))
+                            i, like = _hash(text[a:b]), _is_shaped(text[a:b])
+                            seen.add((p, i, like))
+                            if like or some[p] is None or p not in find.patterns or i in others[p]:
+                                continue
+                            others[p].add(i)
+                            held += 1
+                            if len(others[p]) > some[p]:
+                                # closed by what is passed on
+                                held -= len(others.pop(p))
+                                find.drop(p)
+                    if held > HELD:
+                        others.clear()
+                        held = 0
                     yield pa.record_batch([pa.array([x[0] for x in seen], pa.string()), pa.array([x[1] for x in seen], pa.int64()), pa.array([x[2] for x in seen], pa.bool_())], ["pattern", "i", "shaped"])
 
         found = docs.select("text").mapInArrow(run, "pattern string, i long, shaped boolean").groupBy("pattern", "i").agg(F.max("shaped").alias("shaped"))
@@ -175,15 +225,15 @@ def open_patterns(docs: DataFrame, trusted: DataFrame, confidence: float = 0.7)
         return found.groupBy("pattern").agg(share.alias("share")).where(F.col("share") >= confidence).select("pattern")
 
     parts = [counted(some) for some in _in_groups(trusted)]
-    return c.cut(reduce(DataFrame.unionByName, parts)) if parts else trusted
+    return c.cut(reduce(DataFrame.unionByName, parts)) if parts else trusted.select("pattern")
 
 
 def open_marks(docs: DataFrame, patterns: DataFrame) -> DataFrame | None:
     """(doc_id, text_hash, start, end): all fillers of the patterns; None if there are no patterns."""
 
-    def marked(some: frozenset[str]) -> DataFrame:
+    def marked(some: dict[str, int | None]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find = Fillers(some)
+            find = Fillers(some.keys())
             for batch in batches:
                 for part in c.slices(batch):
                     found, at = [], []
@@ -201,25 +251,27 @@ def open_marks(docs: DataFrame, patterns: DataFrame) -> DataFrame | None:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text_hash, base and found of every row of docs: one pass over the texts."""
+    """row, doc_id, text_hash, base, found and near (what may open patterns) of every row of docs: one pass over the texts."""
     span = "array<struct<start: int, end: int, kind: string>>"
-    schema = f"row long, doc_id long, text_hash long, base {span}, found array<struct<start: int, end: int, instance: string, seed: boolean, base: boolean, patterns: array<string>>>"
+    schema = f"row long, doc_id long, text_hash long, base {span}, found array<struct<start: int, end: int, instance: string, seed: boolean, base: boolean, patterns: array<string>>>, near array<struct<pattern: string, i: long>>"
     t_base = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
     t_found = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("seed", pa.bool_()), ("base", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
+    t_near = pa.list_(pa.struct([("pattern", pa.string()), ("i", pa.int64())]))
     names = [f.name for f in t_found.value_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in c.slices(batch):
-                base, found = [], []
+                base, found, near = [], [], []
                 for text in part.column("text").to_pylist():
                     spans = base_spans(text)
                     base.append([{"start": a, "end": b, "kind": k} for a, b, k in spans])
                     found.append([dict(zip(names, x, strict=True)) for x in candidates(text, spans)])
+                    near.append([{"pattern": p, "i": i} for p, i in shaped(text, spans)])
                 ids = pa.array(range(row, row + part.num_rows), pa.int64())
                 row += part.num_rows
-                yield pa.record_batch([ids, part.column("doc_id").cast(pa.int64()), part.column("text_hash"), pa.array(base, t_base), pa.array(found, t_found)], ["row", "doc_id", "text_hash", "base", "found"])
+                yield pa.record_batch([ids, part.column("doc_id").cast(pa.int64()), part.column("text_hash"), pa.array(base, t_base), pa.array(found, t_found), pa.array(near, t_near)], ["row", "doc_id", "text_hash", "base", "found", "near"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
@@ -249,7 +301,8 @@ def find_private(docs: DataFrame, rounds: int = 3, least_instances: int = 3, con
     others = found.where(~F.col("base"))
     by_pattern = others.select("row", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern").select("row", "start", "end")
     extra = by_pattern.unionByName(others.where("seed").select("row", "start", "end"))
-    marks = open_marks(docs, open_patterns(docs, c.cut(trusted), confidence))
+    near = seen.select(F.explode("near").alias("n")).select("n.*")
+    marks = open_marks(docs, open_patterns(docs, c.cut(may_open(trusted, near, confidence)), confidence))
     if marks is not None:
         # by what the row holds, not by its place, which another run of docs may change
         marks = marks.select(F.col("doc_id").alias("of"), "text_hash", "start", "end").distinct()

@@ -56,3 +56,23 @@ def test_repeated_ids_and_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, pattern string, text_hash int")
     got = pii.find_private(docs).where(F.size("spans") == 1).collect()
     assert [[tuple(x) for x in r["spans"]] for r in got] == [[(9, 12, "id")]] * 3 and len(got) == 3 and pii.find_private(docs).count() == len(rows)
+
+
+def test_counts_stop_where_patterns_are_closed(spark):
+    """The bounds change nothing, and what closed patterns have is not passed on."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    code = lambda: f"{word()}{rng.randrange(10**5):05}"
+    texts = [f"id = {code()} no: {code() if k % 9 else word()} the {word() if k % 8 else code()} of ({code() if k % 3 else word()}) " + "the " + " the ".join(word() for _ in range(20)) for k in range(90)]
+    docs = table(spark, texts)
+    patterns = ["=", "id =", "no:", "the", "of", "never"]
+    trusted = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    near = spark.createDataFrame([x for t in texts for x in pii.shaped(t, pii.base_spans(t))], "pattern string, i long")
+    may = pii.may_open(trusted, near)
+    assert "never" not in {r["pattern"] for r in may.collect()}
+    want = {r["pattern"] for r in pii.open_patterns(docs, trusted).collect()}
+    assert {r["pattern"] for r in pii.open_patterns(docs, may).collect()} == want == {"=", "id =", "no:"}
+    most = {r["pattern"]: r["most"] for r in may.collect()}
+    find = pii.Fillers(set(most))
+    find.drop("the")
+    assert all(p != "the" for t in texts for p, _, _ in find.of(t)) and "the" not in find.last and most["the"] < 90
