@@ -8,8 +8,9 @@ prefix; what is held is the anchors of the founders of the current prefix. `stre
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,8 @@ class OnlineClusters:
     """
 
     BLOCK, LATEST = 4096, 64
+    #: reads whose anchors are coded at a time
+    CODED = 16_384
 
     def __init__(self, cfg: ClusterConfig):
         self.cfg = cfg
@@ -211,13 +214,23 @@ class OnlineClusters:
 
     def place_all(self, ids: list, seqs: list[str]) -> list[tuple[object | None, str]]:
         """(cluster, status) of reads in order: joined, founder or ambiguous."""
-        codes, out = self.cfg.codes(seqs), []
-        while len(out) < len(ids):
-            a = len(out)
-            b = a + min(self.BLOCK, max(512, self.founders))
-            out += self._place_block(ids[a:b], codes[a:b])
+        out = []
+        for first in range(0, len(ids), self.CODED):
+            codes = self.cfg.codes(seqs[first : first + self.CODED])
+            while len(out) < first + len(codes):
+                a = len(out) - first
+                b = min(len(codes), a + min(self.BLOCK, max(512, self.founders)))
+                out += self._place_block(ids[first + a : first + b], codes[a:b])
         return out
 
+    def restore(self, known: Iterable[tuple[object, str]]) -> None:
+        """Founders (read_id, seq) of before, in order of arrival; they go into the tables as they come, not all at once."""
+        known = iter(known)
+        while some := [*islice(known, self.CODED)]:
+            for (read_id, _), codes in zip(some, self.cfg.codes([seq for _, seq in some]), strict=True):
+                self.found(read_id, codes.tolist())
+            self._fold()
+
     def place(self, read_id: object, seq: str) -> tuple[object | None, str]:
         return self.place_all([read_id], [seq])[0]
 

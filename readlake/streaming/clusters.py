@@ -34,15 +34,16 @@ class FounderState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = OnlineClusters(self.cfg)
-        known = [*self.founders.get()] if self.founders.exists() else []
-        for (read_id, _), codes in zip(known, self.cfg.codes([seq for _, seq in known]).tolist() if known else [], strict=True):
-            state.found(read_id, codes)
+        if self.founders.exists():
+            state.restore(self.founders.get())
         reads = pd.concat([*rows]).sort_values("read_id", kind="stable")
-        ids, seqs = reads["read_id"].tolist(), reads["seq"].tolist()
-        placed = state.place_all(ids, seqs)
-        if new := [(i, seq) for i, seq, (_, status) in zip(ids, seqs, placed, strict=True) if status == "founder"]:
-            self.founders.appendList(new)
-        yield pd.DataFrame({"read_id": ids, "cluster_id": pd.array([c for c, _ in placed], dtype="Int64"), "status": [s for _, s in placed]})
+        for a in range(0, len(reads), state.CODED):
+            part = reads.iloc[a : a + state.CODED]
+            ids, seqs = part["read_id"].tolist(), part["seq"].tolist()
+            placed = state.place_all(ids, seqs)
+            if new := [(i, seq) for i, seq, (_, status) in zip(ids, seqs, placed, strict=True) if status == "founder"]:
+                self.founders.appendList(new)
+            yield pd.DataFrame({"read_id": ids, "cluster_id": pd.array([c for c, _ in placed], dtype="Int64"), "status": [s for _, s in placed]})
 
     def close(self) -> None:
         pass
