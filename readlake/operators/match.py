@@ -272,6 +272,12 @@ def _anchors(reads: DataFrame, keys: _Keys, begin: Column) -> DataFrame:
     return reads.where(inside).select("read_id", F.substr("seq", begin.cast("int"), F.lit(keys.depth)).alias("anchor"))
 
 
+def _moved_anchors(reads: DataFrame, keys: _Keys, begins: list[int]) -> DataFrame:
+    """read_id, anchor of all the windows that lie in a read, each anchor of it once: a read is one row until then."""
+    inside = lambda b: F.when((F.lit(b) >= 1) & (F.length("seq") >= b + keys.depth - 1), F.substr("seq", F.lit(b), F.lit(keys.depth)))
+    return reads.select("read_id", F.explode(F.array_distinct(F.array_compact(F.array(*map(inside, begins))))).alias("anchor"))
+
+
 def _distinct(anchors: DataFrame, keys: _Keys) -> DataFrame:
     """anchor, id, code, text: distinct anchors, each with its least read."""
     code, text = keys.columns(F.col("anchor"))
@@ -315,13 +321,13 @@ def slot_pairs(reads: DataFrame, cfg, slots: str = "abcd") -> DataFrame:
                 return reduce(DataFrame.unionByName, [*pairs, found])
             found = keep(found)
             pairs.append(found)
-            rest = rest.join(found.select(F.col("right_id").alias("read_id")).distinct(), "read_id", "left_anti")
+            rest = keep(rest.join(found.select(F.col("right_id").alias("read_id")).distinct(), "read_id", "left_anti"))
     for slot in "cd":
         if slot in slots and slot in cfg.inner_names:
             still = _distinct(_anchors(reads, inner, F.lit(cfg.begin(slot) + 1)), inner)
             code, text = inner.columns(F.col("anchor"))
-            moved = reduce(DataFrame.unionByName, (_anchors(rest, inner, F.lit(cfg.begin(slot, move) + 1)) for move in cfg.moves))
-            probes = moved.distinct().select(F.col("read_id").alias("id"), code.alias("code"), text.alias("text"))
+            moved = _moved_anchors(rest, inner, [cfg.begin(slot, move) + 1 for move in cfg.moves])
+            probes = moved.select(F.col("read_id").alias("id"), code.alias("code"), text.alias("text"))
             near = candidates(probes, still, inner).where(F.col("distance") <= most)
             pairs.append(near.select("left_id", "right_id", F.lit(2).alias("slot"), "distance"))
     return reduce(DataFrame.unionByName, pairs)
