@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from readlake.functions import vector as v
 from readlake.functions.sequence import BASES
+from readlake.session import keep
+
+PIECE, BROADCAST_PIECES, KNOWN = 256, 1024, 1 + len(BASES)
 
 
 class Scorer(Protocol):
@@ -44,23 +47,42 @@ def kmer_embedding(seq: Column, k: int = 2) -> Column:
     return v.unit(F.array(*(_occurrences(known, w).cast("double") for w in kmers(k))))
 
 
+def _pieces(reads: DataFrame) -> DataFrame:
+    """(read_id, label, piece, seq): sequences cut after every PIECE letters; most reads have one piece."""
+    numbers = F.when(F.length("seq") > 0, F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / PIECE).cast("int")))
+    cut = reads.select("read_id", "label", "seq", F.explode(numbers).alias("piece"))
+    return cut.select("read_id", "label", "piece", F.substr("seq", F.col("piece") * PIECE + 1, F.lit(PIECE)).alias("seq"))
+
+
+def _profiles(reads: DataFrame) -> DataFrame:
+    """(label, piece, s, e, a): strength and uncertainties of what a read may have at each place of a piece: no base, A, C, G, T, place by place."""
+    places = reads.select("label", F.posexplode(F.split("seq", "")).alias("pos", "base")).where("base <> ''")
+    counts = places.groupBy("label", "pos").agg(F.count("*").alias("n"), *(F.count_if(F.col("base") == b).alias(b) for b in BASES))
+    each_base = counts.select("label", "pos", "n", F.posexplode(F.array(F.lit(0).cast("long"), *BASES)).alias("known", "own"))
+    against = (F.col("n") - F.col("own")) / (len(BASES) - 1) + 1
+    alpha = F.array((F.col("own") + 1).cast("double"), *[against] * (len(BASES) - 1))
+    at = (F.col("pos") % PIECE * KNOWN + F.col("known")).alias("at")
+    scored = each_base.select("label", F.floor(F.col("pos") / PIECE).cast("int").alias("piece"), at, v.total(alpha).alias("s"), v.epistemic(alpha).alias("e"), v.aleatoric(alpha).alias("a"))
+    # a piece has every place up to its longest read's end, so that the order of places is their index; PIECE * KNOWN entries at most
+    whole = scored.groupBy("label", "piece").agg(F.array_sort(F.collect_list(F.struct("at", "s", "e", "a"))).alias("p"))
+    return whole.select("label", "piece", *(F.col(f"p.{c}").alias(c) for c in "sea"))
+
+
 def default_scorer(reads: DataFrame, k: int = 2) -> DataFrame:
     """reads with embedding, strength, u_epi, u_ale, each read by its own bases.
 
     At a place of its cluster a read has evidence for its base from every read there that has it, and evidence against from the others, shared by the other
     bases: a base that most reads have is sure, one that few have is not. Letters other than A, C, G, T have no evidence for them.
     Counts per (label, place, base) come by aggregation with map-side combine; a read without bases scores as one place without evidence.
+    Reads meet the profiles of their clusters in whole pieces and are cut into places after that, so that no read's places are shuffled; what is
+    shuffled are counts of a task's clusters. Sums of a piece follow its places: copies in a cluster score alike. Profiles are kept and counted: few travel to the reads.
     """
-    places = reads.select("read_id", "label", F.posexplode(F.split("seq", "")).alias("pos", "base")).where("base <> ''")
-    counts = places.groupBy("label", "pos").agg(F.count("*").alias("n"), *(F.count_if(F.col("base") == b).alias(b) for b in BASES))
-    own = F.explode(F.array(*(F.struct(F.lit(b).alias("base"), F.col(b).alias("own")) for b in BASES), F.struct(F.lit("N").alias("base"), F.lit(0).cast("long").alias("own"))))
-    each_base = counts.select("label", "pos", "n", own.alias("b")).select("label", "pos", "n", "b.base", "b.own")
-    against = (F.col("n") - F.col("own")) / (len(BASES) - 1) + 1
-    alpha = F.array((F.col("own") + 1).cast("double"), *[against] * (len(BASES) - 1))
-    scored = each_base.select("label", "pos", F.col("base").alias("known"), v.total(alpha).alias("s"), v.epistemic(alpha).alias("e"), v.aleatoric(alpha).alias("a"))
-    known = F.when(F.col("base").isin(*BASES), F.col("base")).otherwise("N").alias("known")
-    met = places.select("read_id", "label", "pos", known).join(scored, ["label", "pos", "known"])
-    each = met.groupBy("read_id").agg(F.avg("s").alias("strength"), F.avg("e").alias("u_epi"), F.avg("a").alias("u_ale"))
+    profiles = keep(_profiles(reads))
+    few = profiles.limit(BROADCAST_PIECES + 1).count() <= BROADCAST_PIECES
+    met = _pieces(reads).join(F.broadcast(profiles) if few else profiles, ["label", "piece"])
+    places = met.select("read_id", "s", "e", "a", F.posexplode(F.split("seq", "")).alias("pos", "base")).where("base <> ''")
+    at = F.col("pos") * KNOWN + F.instr(F.lit(BASES), F.col("base"))
+    each = places.select("read_id", *(F.get(c, at).alias(c) for c in "sea")).groupBy("read_id").agg(F.avg("s").alias("strength"), F.avg("e").alias("u_epi"), F.avg("a").alias("u_ale"))
     none = F.array(*[F.lit(1.0)] * len(BASES))
     rows = reads.withColumn("embedding", kmer_embedding(F.col("seq"), k)).join(each, "read_id", "left")
     return rows.withColumns({"strength": F.coalesce("strength", v.total(none)), "u_epi": F.coalesce("u_epi", v.epistemic(none)), "u_ale": F.coalesce("u_ale", v.aleatoric(none))})

@@ -16,7 +16,7 @@ from readlake.sources.sinks import write_log, write_round
 
 def one_round(reads: DataFrame, labels: DataFrame, number: int, scorer: Scorer = default_scorer) -> dict[str, DataFrame]:
     """Tables labels, state, centroids, delta of a round. reads: read_id, seq; labels: read_id, label."""
-    state = keep(refine.zones(keep(scorer(reads.join(labels, "read_id")))))
+    state = refine.zones(keep(scorer(reads.join(labels, "read_id"))))  # the cuts are one row
     cents = keep(refine.centroids(state))
     delta = keep(refine.radius(state, cents))
     done = keep(refine.refine(state, cents, delta, first_round=number == 1))
